@@ -30,7 +30,7 @@ LIMIT = 2048
 MEMO = 1 << 18
 OUT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_tokens", pa.int64()), ("over_limit", pa.bool_())])
 #: White space as Unicode has it (what \\s means in the vocabulary's patterns).
-WHITE = r"\t-\r \u0085   -     　"
+WHITE = r"\t-\r \u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 def byte_symbols() -> list[str]:
