@@ -37,6 +37,13 @@ def settle(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df does not have."""
+    while name.lower() in (c.lower() for c in df.columns):
+        name = f"_{name}"
+    return name
+
+
 def crc_mod(id_col: str, m: int) -> Column:
     """crc32 of the id as text, mod m (null for a null id)."""
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % m
