@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import embedding_dedup, langid, quality, simhash, token_counts
+from . import embedding_dedup, langid, quality, simhash, suffix_dedup, token_counts
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_simhash": simhash.op2_simhash,
+        "op3_suffix_dedup": suffix_dedup.op3_suffix_dedup,
         "op4_embedding_dedup": embedding_dedup.op4_embedding_dedup,
         "op5_token_counts": token_counts.op5_token_counts,
         "op6_quality": quality.op6_quality,
