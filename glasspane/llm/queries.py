@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import embedding_dedup, langid, quality, simhash, suffix_dedup, token_counts
+from . import embedding_dedup, langid, quality, simhash, suffix_dedup, token_counts, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,9 +16,20 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_embedding_dedup": embedding_dedup.op4_embedding_dedup,
         "op5_token_counts": token_counts.op5_token_counts,
         "op6_quality": quality.op6_quality,
+        "op9_warc": warc.op9_warc,
         "op10_language_id": langid.op10_language_id,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    digits = "'0123456789ABCDEFGHIJKLMNOPQRSTUV', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'"
+    base32 = " || ".join(f"translate(lpad(upper(to_base(('0x' || substr(h, {1 + 10 * i}, 10))::BIGINT, 32)), 8, '0'), {digits})" for i in range(4))
+    return {
+        "op9_warc": f"""
+            WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages),
+            f AS (SELECT *, min(page_id) OVER (PARTITION BY h) AS first FROM p)
+            SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes, {base32} AS payload_digest,
+                CASE WHEN page_id IS NULL OR page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+                CASE WHEN page_id <> first THEN first END AS refers_to
+            FROM f""",
+    }
