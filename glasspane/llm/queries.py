@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import embedding_dedup, langid, quality, simhash, suffix_dedup, token_counts, warc
+from . import decontaminate, embedding_dedup, langid, quality, sentencepiece_codec, simhash, suffix_dedup, token_counts, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,6 +16,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_embedding_dedup": embedding_dedup.op4_embedding_dedup,
         "op5_token_counts": token_counts.op5_token_counts,
         "op6_quality": quality.op6_quality,
+        "op7_sentencepiece": sentencepiece_codec.op7_sentencepiece,
+        "op8_decontamination": decontaminate.op8_decontamination,
         "op9_warc": warc.op9_warc,
         "op10_language_id": langid.op10_language_id,
     }
@@ -25,6 +27,8 @@ def oracle_sql() -> dict[str, str]:
     digits = "'0123456789ABCDEFGHIJKLMNOPQRSTUV', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'"
     base32 = " || ".join(f"translate(lpad(upper(to_base(('0x' || substr(h, {1 + 10 * i}, 10))::BIGINT, 32)), 8, '0'), {digits})" for i in range(4))
     return {
+        "op7_sentencepiece": sentencepiece_codec.op7_sentencepiece,
+        "op8_decontamination": decontaminate.op8_decontamination,
         "op9_warc": f"""
             WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages),
             f AS (SELECT *, min(page_id) OVER (PARTITION BY h) AS first FROM p)
