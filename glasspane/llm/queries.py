@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, embedding_dedup, langid, quality, sentencepiece_codec, simhash, suffix_dedup, token_counts, warc
+from . import decontaminate, embedding_dedup, langid, quality, secrets, sentencepiece_codec, simhash, suffix_dedup, token_counts, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_secrets": secrets.op1_secrets,
         "op2_simhash": simhash.op2_simhash,
         "op3_suffix_dedup": suffix_dedup.op3_suffix_dedup,
         "op4_embedding_dedup": embedding_dedup.op4_embedding_dedup,
