@@ -27,6 +27,16 @@ def java_class(ranges: list[tuple[int, int]]) -> str:
     return "".join(rf"\x{{{a:X}}}" if a == b else rf"\x{{{a:X}}}-\x{{{b:X}}}" for a, b in ranges)
 
 
+def once(value: str) -> str:
+    """The same value, computed in one place: the optimiser copies no expression that hangs on a random number into filters
+    and projections above it, where nested lambdas would multiply."""
+    return f"IF(rand() < 0, NULL, {value})"
+
+
+def once_column(value: Column) -> Column:
+    return F.when(F.rand() < 0, F.lit(None)).otherwise(value)
+
+
 ZERO_WIDTH = java_class([(c, c) for c in V.ZERO_WIDTH])
 BIDI = java_class(V.BIDI_RANGES)
 TAGS = java_class([V.TAG_RANGE])

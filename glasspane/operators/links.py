@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as V
-from ..functions.text import decode_rounds_sql, decode_sql, lit
+from ..functions.text import decode_rounds_sql, decode_sql, lit, once, once_column
 from .rules import finding_sql, prompt_findings, total, verdict
 
 SCHEME = r"(?i)^[a-z][a-z0-9+.-]*://"
@@ -62,22 +62,22 @@ def with_hit(df: DataFrame, url: str, out: str = "hit") -> DataFrame:
     steps, entries = [], f"array(named_struct('url', {url}, 'trail', CAST(array() AS array<string>), 'place', CAST(array() AS array<int>)))"
     for level in range(V.UNWRAP_LEVELS + 1):
         steps.append(f"__{out}_{level}")
-        df = df.withColumn(steps[-1], F.expr(f"IF({url} IS NULL, NULL, {parsed_sql(entries)})"))
+        df = df.withColumn(steps[-1], F.expr(once(f"IF({url} IS NULL, NULL, {parsed_sql(entries)})")))
         entries = nested_sql(steps[-1])
     hits = f"array_sort(filter(concat({', '.join(steps)}), e -> e.assistant IS NOT NULL), (a, b) -> CASE WHEN a.place < b.place THEN -1 WHEN a.place > b.place THEN 1 ELSE 0 END)"
     first = f"try_element_at({hits}, 1)"
     picked = f"transform(array({first}), h -> named_struct('assistant', h.assistant, 'param', h.param, 'raw', h.raw, 'trail', coalesce(h.trail, array()), 'valid', element_at({steps[0]}, 1).valid))"
-    return df.withColumn(out, F.expr(f"element_at({picked}, 1)")).drop(*steps)
+    return df.withColumn(out, F.expr(once(f"element_at({picked}, 1)"))).drop(*steps)
 
 
 def check_links(links: DataFrame, url: str = "url") -> DataFrame:
     """links with assistant, param, prompt, unwrapped_from, findings, score, verdict, notes and error."""
     df = with_hit(links, url, "__hit")
-    df = df.withColumn("__decoded", F.when(F.col("__hit.raw").isNotNull(), F.expr(decode_rounds_sql("__hit.raw"))))
+    df = df.withColumn("__decoded", F.when(F.col("__hit.raw").isNotNull(), F.expr(once(decode_rounds_sql("__hit.raw")))))
     df = df.withColumn("prompt", F.col("__decoded.v"))
     df = prompt_findings(df, "prompt", "findings", "__notes")
     again = F.expr(finding_sql("ENC-002", "concat('decoded ', __decoded.n + 1, ' times')"))
-    df = df.withColumn("findings", F.when(F.col("__decoded.n") >= 1, F.concat(F.array(again), "findings")).otherwise(F.col("findings")))
+    df = df.withColumn("findings", once_column(F.when(F.col("__decoded.n") >= 1, F.concat(F.array(again), "findings")).otherwise(F.col("findings"))))
     assistant, trail = F.col("__hit.assistant"), F.col("__hit.trail")
     found, carries = assistant.isNotNull(), F.col("prompt").isNotNull()
     score = F.when(carries, total(F.col("findings"))).otherwise(0)

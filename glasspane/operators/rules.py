@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as V
-from ..functions.text import base64_texts_sql, hidden_kinds_sql, let, lit, normalised, tag_text_sql
+from ..functions.text import base64_texts_sql, hidden_kinds_sql, let, lit, normalised, once, once_column, tag_text_sql
 
 FINDING = "struct<rule: string, category: string, weight: int, description: string, evidence: string>"
 
@@ -46,15 +46,16 @@ def prompt_findings(df: DataFrame, prompt: str, out: str = "findings", notes: st
     """df with the findings and notes of a prompt column; a null prompt has none."""
     tag, kinds, blobs, texts = (f"__{out}_{x}" for x in ("tag", "kinds", "blobs", "texts"))
     p = F.col(prompt)
-    df = df.withColumns({tag: F.expr(tag_text_sql(prompt)), kinds: F.expr(hidden_kinds_sql(prompt)), blobs: F.expr(base64_texts_sql(prompt))})
+    df = df.withColumns({tag: F.expr(once(tag_text_sql(prompt))), kinds: F.expr(once(hidden_kinds_sql(prompt))), blobs: F.expr(once(base64_texts_sql(prompt)))})
     df = df.withColumn(texts, normalised(F.concat(F.array(p, F.col(tag)), F.col(blobs))))
     hidden = finding_sql("HID-001", f"concat(size({kinds}), ' hidden character(s): ', array_join(array_sort(array_distinct({kinds})), ', '))")
     encoded = f"flatten(transform({blobs}, (b, i) -> concat(array({finding_sql('ENC-001', "concat('decodes to: ', substring(b, 1, 120))")}), {rule_findings_sql(f'element_at({texts}, i + 3)', lit('base64'))})))"
     found = f"concat(IF(size({kinds}) > 0, array({hidden}), array()), IF(trim({tag}) <> '', {rule_findings_sql(f'element_at({texts}, 2)', lit('hidden text'))}, array()), {rule_findings_sql(f'element_at({texts}, 1)')}, {encoded})"
-    df = df.withColumn(out, F.expr(f"IF({prompt} IS NULL, CAST(array() AS array<{FINDING}>), {found})"))
+    df = df.withColumn(out, F.expr(once(f"IF({prompt} IS NULL, CAST(array() AS array<{FINDING}>), {found})")))
     summary = F.element_at(F.col(texts), 1).rlike("(?U)" + V.SUMMARY_REQUEST) & has(F.col(out), "memory", "trust")
     shape = F.array(F.expr(finding_sql("SHP-001", "'summary request combined with memory/trust directives'")))
-    df = df.withColumn(out, first_of_each_rule(F.when(summary, F.concat(out, shape)).otherwise(F.col(out))))
+    df = df.withColumn(out, once_column(F.when(summary, F.concat(out, shape)).otherwise(F.col(out))))
+    df = df.withColumn(out, once_column(first_of_each_rule(F.col(out))))
     urls = F.regexp_extract_all(p, F.lit(V.URL_IN_TEXT), F.lit(0))
     lines = F.array(
         F.when((F.size(kinds) > 0) & (F.trim(tag) != ""), F.concat(F.lit("Invisible tag characters spell out: "), tag)),
