@@ -1,7 +1,7 @@
 """Quality classifier: supervised subword embeddings.
 
 A text's features are its words (runs between white space), its byte n-grams that lie within one word with its bordering
-white space, and one end mark, all hashed into `BUCKETS`. Each bucket has a learned vector; the mean over a text's
+white space, a mark for each word that repeats the one before it, and one end mark, all hashed into `BUCKETS`. Each bucket has a learned vector; the mean over a text's
 features goes through a softmax of two classes; both are trained by plain stochastic gradient descent in numpy on a
 bounded sample of labelled rows. As the output is linear in the mean, a fitted model holds one number per bucket (the
 difference of the two class scores), and scoring is a gather and a mean inside Spark tasks.
@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 from .common import crc_mod, read_table, record_batch, segment_sums, text_column, text_parts
 
 BUCKETS, DIM, GRAMS = 1 << 16, 16, (2, 3, 4)
+#: The bucket of all pairs of a word and itself.
+AGAIN = 1
 #: Most labelled rows that are learned from, the first by a hash of doc_id.
 TRAIN_ROWS = 4000
 EPOCHS, RATE = 6, 0.5
@@ -50,7 +52,10 @@ def features(data: np.ndarray, offsets: np.ndarray) -> list[tuple[np.ndarray, np
     powers = np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(n, BASE)]))
     back = np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(n, INVERSE)]))
     total = np.concatenate([[np.uint64(0)], np.add.accumulate(wide * powers[:n])])
-    out.append((owner[first], bucket((total[last + 1] - total[first]) * back[first])))
+    word = (total[last + 1] - total[first]) * back[first]
+    out.append((owner[first], bucket(word)))
+    again = first[1:][(word[1:] == word[:-1]) & (owner[first[1:]] == owner[first[:-1]])]
+    out.append((owner[again], np.full(len(again), AGAIN)))
     inner = np.concatenate([[0], np.cumsum(space)])
     for k in GRAMS:
         if n < k:

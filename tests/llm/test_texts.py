@@ -146,13 +146,13 @@ def test_quality_on_held_out_rows(spark):
 
 
 def test_subword_features_match_a_plain_reading():
-    texts = ["ab cd", "", "é x", "a"]
+    texts = ["ab cd", "", "é x x", "a"]
     arr = pa.array(texts)
     from glasspane.llm.common import text_parts
 
     for _, _, data, offsets in text_parts(arr):
         got = Counter(int(o) for owner, _ in quality.features(data, offsets) for o in owner)
-    words = {0: 2, 2: 2, 3: 1}
+    words = {0: 2, 2: 4, 3: 1}  # with the word that comes twice
     grams = {i: 0 for i in range(4)}
     for i, t in enumerate(texts):
         raw = t.encode()
