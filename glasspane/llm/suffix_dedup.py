@@ -265,7 +265,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, keep
     rows = settle(contents_of(docs, window, gram, id_col, text_col), "contents")
     contents = rows.groupBy("sha").agg(F.count("*").alias("copies"), F.min("doc_id").alias("doc"), F.first("hashes").alias("hashes"), F.first("places").alias("places"))
     anchors = settle(contents.where(F.size("hashes") > 0).select("sha", "doc", F.explode(F.arrays_zip("hashes", "places")).alias("a")).select("sha", "doc", F.col("a.hashes").alias("h"), F.col("a.places").alias("at")), "anchors")
-    twice = anchors.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
+    # A table of its own: a join of two exchanges, whose hot keys can be split at run time.
+    twice = settle(anchors.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "anchors-twice")
     shared = anchors.join(twice, "h").groupBy("sha").agg(F.first("doc").alias("doc"), F.sort_array(F.collect_list(F.struct("at", "h"))).alias("anchors"))
     texts = docs.select(F.col(id_col).cast("long").alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("sha", F.unhex(F.sha2("text", 256)))
     candidates = settle(texts.join(shared, "sha").where(F.col("_id").eqNullSafe(F.col("doc"))).select("sha", "doc", "text", "anchors"), "candidates")
