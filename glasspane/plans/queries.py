@@ -77,12 +77,11 @@ def body() -> Column:
     return F.substring(F.coalesce("text", F.lit("")), 1, 40)
 
 
-def with_prompt(spark, sf_dir) -> DataFrame:
-    return read(spark, sf_dir, "documents").select("doc_id", "source", "text", F.concat(pick([t[0] for t in TEMPLATES], row_id()), F.lit(" "), body()).alias("asked"))
-
-
-def with_link(spark, sf_dir) -> DataFrame:
-    return with_prompt(spark, sf_dir).select("doc_id", "source", F.concat(pick([p[0] for p in PREFIXES], row_id()), F.url_encode("asked")).alias("url"))
+def with_link(spark, sf_dir, tail: Column | None = None) -> DataFrame:
+    """A link for each document: a template, and a tail that is the text's digest unless another is given."""
+    tail = F.substring(F.md5(F.coalesce("text", F.lit(""))), 1, 8) if tail is None else tail
+    asked = F.concat(pick([t[0] for t in TEMPLATES], row_id()), F.lit(" "), tail)
+    return read(spark, sf_dir, "documents").select("doc_id", "source", F.concat(pick([p[0] for p in PREFIXES], row_id()), F.url_encode(asked)).alias("url"))
 
 
 def checked(spark, sf_dir) -> DataFrame:
@@ -98,7 +97,7 @@ def link_findings(spark, sf_dir):
 
 
 def link_prompts(spark, sf_dir):
-    return checked(spark, sf_dir).select("doc_id", "assistant", "param", F.md5("prompt").alias("prompt_md5"), F.length("prompt").cast("long").alias("prompt_chars"))
+    return links.check_links(with_link(spark, sf_dir, body())).select("doc_id", "assistant", "param", F.md5("prompt").alias("prompt_md5"), F.length("prompt").cast("long").alias("prompt_chars"))
 
 
 def wrapped(url: Column, times: Column) -> Column:
@@ -172,7 +171,7 @@ def page_verdicts(spark, sf_dir):
 
 
 def review_candidates(spark, sf_dir):
-    return pages.candidates(pages.page_chunks(seeded_pages(spark, sf_dir)), 8).select("page_id", "place", "where", "verdict", "text")
+    return pages.candidates(pages.page_chunks(seeded_pages(spark, sf_dir)), 8).where("verdict IS NOT NULL").select("page_id", "place", "where", "verdict", "text")
 
 
 def text_files(spark, sf_dir):
