@@ -28,8 +28,6 @@ def oracle_sql() -> dict[str, str]:
     digits = "'0123456789ABCDEFGHIJKLMNOPQRSTUV', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'"
     base32 = " || ".join(f"translate(lpad(upper(to_base(('0x' || substr(h, {1 + 10 * i}, 10))::BIGINT, 32)), 8, '0'), {digits})" for i in range(4))
     return {
-        "op7_sentencepiece": sentencepiece_codec.op7_sentencepiece,
-        "op8_decontamination": decontaminate.op8_decontamination,
         "op9_warc": f"""
             WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages),
             f AS (SELECT *, min(page_id) OVER (PARTITION BY h) AS first FROM p)

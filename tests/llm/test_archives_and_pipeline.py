@@ -68,3 +68,8 @@ def test_pipeline(spark, tmp_path):
 
 def test_every_operator_has_its_query():
     assert sorted(int(n[2:].split("_")[0]) for n in queries.queries()) == list(range(1, 11))
+
+
+def test_sql_is_text():
+    assert all(isinstance(q, str) for q in queries.oracle_sql().values())
+    assert set(queries.oracle_sql()) <= set(queries.queries())
