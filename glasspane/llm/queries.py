@@ -28,6 +28,17 @@ def oracle_sql() -> dict[str, str]:
     digits = "'0123456789ABCDEFGHIJKLMNOPQRSTUV', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'"
     base32 = " || ".join(f"translate(lpad(upper(to_base(('0x' || substr(h, {1 + 10 * i}, 10))::BIGINT, 32)), 8, '0'), {digits})" for i in range(4))
     return {
+        "op4_embedding_dedup": """
+            WITH RECURSIVE v AS (
+                SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings),
+            ok AS (
+                SELECT * FROM v WHERE label IS NOT NULL AND e IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+            links AS (
+                SELECT a.vec_id AS a, b.vec_id AS b FROM ok a JOIN ok b ON a.label = b.label AND len(a.e) = len(b.e) AND a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.e, b.e) >= 0.93),
+            reached AS (
+                SELECT vec_id AS a, vec_id AS b FROM v UNION SELECT r.a, l.b FROM reached r JOIN links l ON l.a = r.b),
+            named AS (SELECT a AS vec_id, min(b) AS component_id FROM reached GROUP BY 1)
+            SELECT vec_id, (SELECT count(*) FROM links WHERE a = vec_id) AS n_links, component_id, vec_id = component_id AS kept FROM named""",
         "op9_warc": f"""
             WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages),
             f AS (SELECT *, min(page_id) OVER (PARTITION BY h) AS first FROM p)
