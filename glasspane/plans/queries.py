@@ -1,4 +1,4 @@
-"""Registered queries over the driver's tables, each with SQL that must give the same rows.
+"""Registered queries over the driver's tables, with SQL that must give the same rows where SQL can state them.
 
 The tables hold no assistant links and no hidden orders, so each query puts known ones in by a rule on the row's id
 (templates below), runs the operators on them, and the SQL states what must come out.
@@ -66,7 +66,7 @@ def chosen(values: list, at: str) -> str:
 
 
 T = len(TEMPLATES)
-PROMPT_SQL = f"{chosen([t[0] for t in TEMPLATES], 'doc_id')} || ' ' || substr(coalesce(text, ''), 1, 40)"
+PROMPT_SQL = f"{chosen([t[0] for t in TEMPLATES], 'doc_id')} || ' ' || coalesce(text, '')"
 
 
 def row_id() -> Column:
@@ -74,7 +74,7 @@ def row_id() -> Column:
 
 
 def body() -> Column:
-    return F.substring(F.coalesce("text", F.lit("")), 1, 40)
+    return F.coalesce("text", F.lit(""))
 
 
 def with_link(spark, sf_dir, tail: Column | None = None) -> DataFrame:
@@ -100,6 +100,12 @@ def link_prompts(spark, sf_dir):
     return links.check_links(with_link(spark, sf_dir, body())).select("doc_id", "assistant", "param", F.md5("prompt").alias("prompt_md5"), F.length("prompt").cast("long").alias("prompt_chars"))
 
 
+def document_link_verdicts(spark, sf_dir):
+    """Links that carry whole texts, judged: what the rules say of ordinary prose beside the templates."""
+    rows = links.check_links(with_link(spark, sf_dir, body()))
+    return rows.groupBy((row_id() % T).cast("int").alias("template"), "verdict").agg(F.count("*").alias("n"), F.sum("score").alias("total"))
+
+
 def wrapped(url: Column, times: Column) -> Column:
     once = lambda u: F.concat(F.lit("https://r.example/go?x=1&u="), F.url_encode(u))
     return F.aggregate(F.sequence(F.lit(1), F.lit(3)), url, lambda u, i: F.when(i <= times, once(u)).otherwise(u))
@@ -171,7 +177,11 @@ def page_verdicts(spark, sf_dir):
 
 
 def review_candidates(spark, sf_dir):
-    return pages.candidates(pages.page_chunks(seeded_pages(spark, sf_dir)), 8).where("verdict IS NOT NULL").select("page_id", "place", "where", "verdict", "text")
+    return pages.candidates(pages.page_chunks(seeded_pages(spark, sf_dir)), 8).select("page_id", "place", "where", "verdict", "text")
+
+
+def flagged_candidates(spark, sf_dir):
+    return review_candidates(spark, sf_dir).where("verdict IS NOT NULL")
 
 
 def text_files(spark, sf_dir):
@@ -256,7 +266,7 @@ def conversation_prompts(spark, sf_dir):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (link_verdicts, link_findings, link_prompts, nested_redirects, encoding_rounds, prompt_params, hidden_characters, tag_smuggling, base64_payloads, page_links, article_links, page_chunk_places, page_verdicts, review_candidates, text_files, link_templates, site_summary, site_status, review_listing, anonymised_texts, prompt_templates, confusion_matrix, evaluation_sets, review_policy, annotation_slices, conversation_prompts)
+    found = (link_verdicts, link_findings, link_prompts, document_link_verdicts, nested_redirects, encoding_rounds, prompt_params, hidden_characters, tag_smuggling, base64_payloads, page_links, article_links, page_chunk_places, page_verdicts, review_candidates, flagged_candidates, text_files, link_templates, site_summary, site_status, review_listing, anonymised_texts, prompt_templates, confusion_matrix, evaluation_sets, review_policy, annotation_slices, conversation_prompts)
     return {f.__name__: f for f in found}
 
 
@@ -298,7 +308,7 @@ def oracle_sql() -> dict[str, str]:
         "article_links": "SELECT 'https://s' || page_id || '.example/' AS base, 'https://s' || page_id || '.example' || p.path AS url, CAST(p.place AS INT) AS place FROM (SELECT page_id, unnest([{'path': '/blog/post-' || (page_id % 7) || '-of-many', 'place': 1}, {'path': '/a-b', 'place': 2}]) AS p FROM pages)",
         "page_chunk_places": f"SELECT place AS \"where\", how, count(*) AS n FROM pages JOIN (VALUES {', '.join(f'({i}, {quoted(s[1])}, {quoted(places[s[1]])})' for i, s in enumerate(SNIPPETS) if s[1] in places)}) v(t, place, how) ON page_id % {len(SNIPPETS)} = t WHERE contains(html, '</article>') GROUP BY 1, 2",
         "page_verdicts": f"SELECT coalesce({content}, 'LOOKS_SAFE') AS verdict, CAST({chosen([s[3] for s in SNIPPETS], 'page_id')} AS INT) AS score, CAST({chosen([int(s[1] in places) for s in SNIPPETS], 'page_id')} AS BIGINT) AS hidden_chunks, count(*) AS n FROM pages GROUP BY 1, 2, 3",
-        "review_candidates": f"SELECT page_id, CAST(1 AS INT) AS place, {chosen([s[1] for s in SNIPPETS], 'page_id')} AS \"where\", {content} AS verdict, {chosen(SAID, 'page_id')} AS text FROM pages WHERE ({content}) IS NOT NULL AND contains(html, '</article>')",
+        "flagged_candidates": f"SELECT page_id, CAST(1 AS INT) AS place, {chosen([s[1] for s in SNIPPETS], 'page_id')} AS \"where\", {content} AS verdict, {chosen(SAID, 'page_id')} AS text FROM pages WHERE ({content}) IS NOT NULL AND contains(html, '</article>')",
         "text_files": f"SELECT CASE WHEN doc_id % 3 = 1 THEN 'LOOKS_SAFE' ELSE 'SUSPICIOUS' END AS verdict, CAST(CASE WHEN doc_id % 3 = 1 THEN 0 ELSE 5 END AS INT) AS score, CAST(3 AS BIGINT) AS chunks, CAST(0 AS BIGINT) AS hidden_chunks, count(*) AS n FROM documents GROUP BY 1, 2",
         "link_templates": f"SELECT replace(t, 'https://evil.example', '<URL>') AS template, CAST(count(DISTINCT source) AS INT) AS n_sites, count(*) AS links, count(*) FILTER (v IN ('SUSPICIOUS', 'DANGEROUS')) AS flagged, min(t) AS example FROM (SELECT source, {chosen([t[0] for t in TEMPLATES], 'doc_id')} AS t, {verdict} AS v FROM documents) GROUP BY 1",
         "site_summary": f"""WITH {sites}, o AS (SELECT * FROM s WHERE status = 'ok'),
@@ -307,7 +317,11 @@ def oracle_sql() -> dict[str, str]:
             SELECT *, printf('%.1f%%', 100.0 * reachable / sites) AS reachable_share, CASE WHEN with_prompt = 0 THEN 'n/a' ELSE printf('%.1f%%', 100.0 * flagged / with_prompt) END AS flagged_share FROM c""",
         "site_status": f"SELECT status, count(*) AS n FROM (SELECT {status.replace('n %', 'range %')} AS status FROM range(40)) GROUP BY 1",
         "anonymised_texts": r"""
-            SELECT doc_id, md5(trim(regexp_replace('Visit <url> or mail <domain>:  ' || '<site>' || ' is best ' || replace(substr(coalesce(text, ''), 1, 40), source || 'shop', '<site>'), '[\s\x{A0}]+', ' ', 'g'))) AS scrubbed_md5 FROM documents""",
+            WITH t AS (SELECT doc_id, source, 'Visit https://www.' || source || 'shop.com/a?b or mail ' || source || 'shop.com:  ' || source || 'shop is best ' || coalesce(text, '') AS t FROM documents),
+            u AS (SELECT doc_id, source, regexp_replace(t, '(?i)https?://\S+|www\.\S+', '<url>', 'g') AS t FROM t),
+            d AS (SELECT doc_id, source, regexp_replace(t, '(?i)\b(?:[a-z0-9-]+\.)+(?:com|net|org|io|co|ai|app|dev|info|biz|shop|store|site|online|xyz|[a-z]{2})\b', '<domain>', 'g') AS t FROM u),
+            n AS (SELECT doc_id, regexp_replace(t, '(?i)' || regexp_escape(source || 'shop'), '<site>', 'g') AS t FROM d)
+            SELECT doc_id, md5(trim(regexp_replace(t, '[\s\x0B\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+', ' ', 'g'))) AS scrubbed_md5 FROM n""",
         "prompt_templates": "SELECT substr('see <URL> and <URL> now ' || repeat('x', 400), 1, 300) AS template, count(*) AS n FROM documents GROUP BY 1",
         "confusion_matrix": f"""
             WITH c AS (SELECT count(*) FILTER ({bad} AND {hit}) AS tp, count(*) FILTER ({bad} AND NOT {hit}) AS fn, count(*) FILTER (NOT ({bad}) AND {hit}) AS fp, count(*) FILTER (NOT ({bad}) AND NOT {hit}) AS tn, count(*) FILTER (NOT ({bad}) AND ({verdict}) = 'DANGEROUS') AS dangerous_benign FROM documents)
