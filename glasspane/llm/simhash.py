@@ -9,6 +9,12 @@ verified, never all pairs.
 
 Defined cases: null text is empty, its fingerprint zero, linked like any other; equal rows are one class; rows with a
 null id get the component of their class and never name one; an empty table gives an empty result.
+
+These values are those of op2. The pipeline's stage has its own: it links documents whose sets of 5-word shingles have a
+Jaccard similarity of 0.8 or more (`similar`). At 0.8, 64-bit fingerprints differ in 10 bits on average and often in more
+than 15; pigeonhole blocks for such a radius would have runs of 3 bits or tens of thousands of choices a document. So the
+candidates come from minima of hashes of the set (bands of 5 minima, 30 bands: a pair at 0.8 shares none with probability
+7e-6), and each is checked by its exact similarity. Equal sets are one class from the start.
 """
 
 from __future__ import annotations
@@ -26,6 +32,13 @@ from .common import fresh, group_bounds, read_table, record_batch, settle, strea
 from .components import components, forest
 
 SHINGLE, SEED, DISTANCE, GROUP = 3, 42, 3, 1024
+#: Of the pipeline's stage: words a shingle, least similarity as a fraction, bands and minima in each. Candidates of up to
+#: PAIRED classes under a band are paired in place; of more, their sets are searched together, PIECE shingles at a time.
+STAGE_SHINGLE, ABOVE, BELOW, BANDS, MINIMA, PAIRED, PIECE = 5, 4, 5, 30, 5, 32, 1 << 20
+#: Odd factors of the minima's hashes.
+FACTORS = np.random.default_rng(SEED).integers(0, 1 << 63, BANDS * MINIMA, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+PRINTS = pa.schema([("doc_id", pa.int64()), ("cls", pa.int64()), ("n", pa.int32()), ("keys", pa.list_(pa.int64()))])
+SETS = pa.schema([("cls", pa.int64()), ("shingles", pa.list_(pa.int64()))])
 OUT = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
 FOUND = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("t", pa.int32()), ("fp", pa.int64())])
 
@@ -42,19 +55,24 @@ BLOCKS = masks(list(range(64)), 6, DISTANCE)
 INNER = [[m | s for s in masks([i for i in range(64) if not m >> i & 1], 8, DISTANCE)] for m in BLOCKS]
 
 
-def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
+def shingle_hashes(text: bytes, shingle: int) -> list[int]:
     words = text.lower().split()
     if not words:
-        return 0
+        return []
     n = len(words)
     joined = b" ".join(words)
     if n <= shingle:
-        hashes = [xxhash.xxh64_intdigest(joined, SEED)]
-    else:
-        ends = np.cumsum([len(w) + 1 for w in words])
-        starts = np.concatenate([[0], ends[:-1]])
-        digest = xxhash.xxh64_intdigest
-        hashes = [digest(joined[a:b], SEED) for a, b in zip(starts[: n - shingle + 1].tolist(), (ends[shingle - 1 :] - 1).tolist(), strict=True)]
+        return [xxhash.xxh64_intdigest(joined, SEED)]
+    ends = np.cumsum([len(w) + 1 for w in words])
+    starts = np.concatenate([[0], ends[:-1]])
+    digest = xxhash.xxh64_intdigest
+    return [digest(joined[a:b], SEED) for a, b in zip(starts[: n - shingle + 1].tolist(), (ends[shingle - 1 :] - 1).tolist(), strict=True)]
+
+
+def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
+    hashes = shingle_hashes(text, shingle)
+    if not hashes:
+        return 0
     h = np.array(hashes, ">u8").view(np.uint8).reshape(-1, 8)
     counts = np.zeros(64, np.int64)
     for i in range(0, len(h), 1 << 14):
@@ -138,9 +156,120 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
+def shingle_set(text: bytes) -> np.ndarray:
+    return np.unique(np.array(shingle_hashes(text, STAGE_SHINGLE), np.uint64))
+
+
+def class_of(shingles: np.ndarray) -> int:
+    """A signed 64-bit number that stands for the set."""
+    return xxhash.xxh64_intdigest(shingles.tobytes(), SEED) - (1 << 63)
+
+
+def band_keys(shingles: np.ndarray) -> np.ndarray:
+    """One number for each band; none for an empty set."""
+    if not len(shingles):
+        return np.zeros(0, np.int64)
+    least = np.full(len(FACTORS), np.iinfo(np.uint64).max)
+    for i in range(0, len(shingles), 1024):
+        np.minimum(least, (shingles[i : i + 1024, None] * FACTORS).min(axis=0), out=least)
+    return np.array([xxhash.xxh64_intdigest(band.tobytes(), k) for k, band in enumerate(least.reshape(BANDS, MINIMA))], np.uint64).view(np.int64)
+
+
+def prints_of(docs: DataFrame) -> DataFrame:
+    def run(batches):
+        for batch in batches:
+            sets = [shingle_set(t.as_buffer().to_pybytes()) for t in text_column(batch, "text")]
+            yield record_batch(PRINTS, batch.column("doc_id"), [class_of(x) for x in sets], [len(x) for x in sets], pa.array([band_keys(x) for x in sets], pa.list_(pa.int64())))
+
+    return docs.mapInArrow(run, "doc_id long, cls long, n int, keys array<long>")
+
+
+def sets_of(docs: DataFrame) -> DataFrame:
+    def run(batches):
+        for batch in batches:
+            sets = [shingle_set(t.as_buffer().to_pybytes()) for t in text_column(batch, "text")]
+            yield record_batch(SETS, [class_of(x) for x in sets], pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64())))
+
+    return docs.mapInArrow(run, "cls long, shingles array<long>")
+
+
+def similar_sets(sizes: np.ndarray, flat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Set numbers of a forest with the components of all pairs of these sets that are similar enough.
+
+    A search from set to set: each that is reached is compared with all that are not, so copies of one text leave early.
+    """
+    known, at = np.unique(flat, return_inverse=True)
+    mark = np.zeros(len(known), np.int64)
+    own = np.split(at, np.cumsum(sizes)[:-1])
+    left = np.arange(len(sizes))
+    queue, a, b = [], [], []
+    while len(left):
+        if not queue:
+            queue.append(int(left[0]))
+            left = left[1:]
+            at = np.concatenate([own[i] for i in left]) if len(left) else at[:0]
+            continue
+        x = queue.pop()
+        mark[own[x]] = 1
+        common = np.add.reduceat(mark[at], np.concatenate([[0], np.cumsum(sizes[left])[:-1]]))
+        mark[own[x]] = 0
+        hit = (ABOVE + BELOW) * common >= ABOVE * (sizes[left] + sizes[x])
+        if hit.any():
+            a += [x] * int(hit.sum())
+            b += left[hit].tolist()
+            queue += left[hit].tolist()
+            at = at[np.repeat(~hit, sizes[left])]
+            left = left[~hit]
+    return np.array(a, np.int64), np.array(b, np.int64)
+
+
+def similar(docs: DataFrame, prints: DataFrame) -> DataFrame:
+    """(a, b): links between classes of sets, with the components of all candidates that are similar enough.
+
+    docs: doc_id, text; prints: their classes and bands.
+    """
+    classes = prints.groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("keys").alias("keys"))
+    bands = settle(classes.select("cls", "doc_id", "n", F.explode("keys").alias("key")), "similar-bands")
+    shared = bands.groupBy("key").agg(F.count("*").alias("members"), F.sum("n").alias("total")).where("members > 1")
+    met = settle(bands.join(shared, "key"), "similar-met")
+    pair = f"filter(flatten(transform(m, x -> transform(m, y -> named_struct('a', x.cls, 'b', y.cls, 'na', x.n, 'nb', y.n)))), p -> p.a < p.b AND {BELOW} * least(p.na, p.nb) >= {ABOVE} * greatest(p.na, p.nb))"
+    few = met.where(F.col("members") <= PAIRED).groupBy("key").agg(F.collect_list(F.struct("cls", "n")).alias("m"))
+    pairs = settle(few.select(F.explode(F.expr(pair)).alias("p")).select("p.*").distinct(), "similar-pairs")
+    many = met.where(F.col("members") > PAIRED)
+    needed = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).unionByName(many.select("cls")).distinct()
+    ids = met.select("cls", "doc_id").distinct().join(needed, "cls", "left_semi").select("doc_id").distinct()
+    sets = settle(sets_of(docs.join(ids, "doc_id", "left_semi")).dropDuplicates(["cls"]), "similar-sets")
+    side = lambda c, x: sets.select(F.col("cls").alias(c), F.col("shingles").alias(x))
+    common = F.size(F.array_intersect("x", "y"))
+    close = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").where((ABOVE + BELOW) * common >= ABOVE * (F.col("na") + F.col("nb"))).select("a", "b")
+    # Pieces of a large group meet two by two: every pair of its sets is in one of the searches, and none is too large.
+    pieces = F.ceil(F.col("total") / PIECE).cast("int")
+    own = F.pmod(F.xxhash64("cls"), pieces).cast("int")
+    with_each = F.transform(F.sequence(F.lit(0), pieces - 1), lambda q: F.struct(F.least(own, q).alias("i"), F.greatest(own, q).alias("j")))
+    dealt_out = many.select("key", "cls", F.explode(with_each).alias("_d")).select("key", "cls", "_d.i", "_d.j").join(sets, "cls")
+
+    def search(table):
+        shingles, cls = table.column("shingles").combine_chunks(), table.column("cls").to_numpy()
+        x, y = similar_sets(shingles.value_lengths().to_numpy().astype(np.int64), shingles.flatten().to_numpy())
+        return pa.table({"a": cls[x], "b": cls[y]})
+
+    return close.unionByName(dealt_out.groupBy("key", "i", "j").applyInArrow(search, "a long, b long"))
+
+
+def similar_documents(docs: DataFrame) -> DataFrame:
+    """doc_id, component_id (smallest doc_id reachable over pairs of similarity ABOVE / BELOW or more) of rows with an id."""
+    texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    prints = settle(prints_of(texts), "similar-prints")
+    reached = components(similar(texts, prints))
+    named = prints.select("doc_id", "cls").join(reached.withColumnRenamed("node", "cls"), "cls", "left").select("doc_id", F.coalesce("component", "cls").alias("component"))
+    named = settle(named, "similar-named")
+    least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    return named.join(least, "component").select("doc_id", "component_id")
+
+
 def stage_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group stays, that with the smallest doc_id, and one row of that; rows without an id stay."""
-    found = settle(near_duplicates(docs).where("doc_id is not null"), "simhash-groups")
+    found = settle(similar_documents(docs), "simhash-groups")
     gone_id, row = fresh(docs, "gone_id"), fresh(docs, "row")
     gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias(gone_id)).distinct()
     rest = docs.join(gone, F.col("doc_id") == F.col(gone_id), "left_anti")

@@ -113,3 +113,43 @@ def test_vectors_that_are_empty_or_odd(spark):
     odd = spark.createDataFrame([(1, [1.0, 2.0], 0), (2, [1.0, 2.0], 0), (3, [1.0, 2.0, 3.0], 0), (4, [2.0, 4.0], 0), (5, [], 0), (None, [1.0, 2.0], 0), (6, [1.0, None], 0)], kind)
     got = {r.vec_id: (r.n_links, r.component_id) for r in embedding_dedup.near_duplicates(odd).collect()}
     assert got == {1: (2, 1), 2: (2, 1), 4: (2, 1), 3: (0, 3), 5: (0, 5), 6: (0, 6), None: (None, None)}
+
+
+@pytest.mark.parametrize(("paired", "piece"), [(32, 1 << 20), (2, 1 << 9)])
+def test_stage_links_edited_copies_like_brute_force(spark, monkeypatch, paired, piece):
+    """Copies with words replaced, at 0.8 to 0.95 and below, against all pairs of exact similarities."""
+    monkeypatch.setattr(simhash, "PAIRED", paired)
+    monkeypatch.setattr(simhash, "PIECE", piece)
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
+    texts = []
+    for _ in range(25):
+        base = [word() for _ in range(200)]
+        texts.append(" ".join(base))
+        for edits in (1, 2, 3, 4, 5, 8):
+            new = list(base)
+            for at in rng.sample(range(200), edits):
+                new[at] = word()
+            texts.append(" ".join(new))
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (t.split() for t in texts)]
+    found = {(i, j): len(sets[i] & sets[j]) / len(sets[i] | sets[j]) for i in range(len(sets)) for j in range(i)}
+    near = [p for p, x in found.items() if x >= 0.8]
+    assert sum(0.8 <= found[p] <= 0.95 for p in near) > 100
+    want = labels(len(texts), near)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in simhash.similar_documents(docs).collect()}
+    assert [got[i] for i in range(len(texts))] == want
+    assert sorted(r.doc_id for r in simhash.stage_near_duplicates(spark, docs, "").collect()) == sorted(set(want))
+
+
+def test_bands_of_similar_sets_meet():
+    """Share of pairs at 0.8 that share a band: measured, not assumed."""
+    rng = np.random.default_rng(12)
+    met = 0
+    for _ in range(1000):
+        x = rng.integers(0, 1 << 63, 180, dtype=np.uint64)
+        a, b = x[:160].copy(), x[:180].copy()
+        a = np.concatenate([a, rng.integers(0, 1 << 63, 20, dtype=np.uint64)])
+        assert len(np.intersect1d(a, b)) / len(np.union1d(a, b)) == 0.8
+        met += bool((simhash.band_keys(a) == simhash.band_keys(b)).any())
+    assert met >= 999
