@@ -178,6 +178,35 @@ def test_decontamination_finds_quotes_and_paraphrases(spark):
     assert decontaminate.contaminated(docs.limit(0), decontaminate.fit(docs.limit(0), bench)).count() == 0
 
 
+@pytest.mark.parametrize(("length", "changed"), [(36, 0.2), (36, 0.35), (150, 0.0), (150, 0.35), (300, 0.0)])
+def test_decontamination_candidates_against_all_items(spark, length, changed):
+    """Planted paraphrases and long items: all that the rules on words accept of all items is found."""
+    rng = random.Random(length + int(100 * changed))
+    lexicon = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(3, 7))) for _ in range(900)]
+    prose = lambda n: [rng.choice(lexicon) for _ in range(n)]
+    items = [[*prose(length - 6), "end.", *prose(5)] for _ in range(40)]
+    texts = [" ".join(prose(200)) for _ in range(60)]
+    for item in items:
+        new = list(item)
+        for at in rng.sample(range(length - 6), int(changed * length)):
+            new[at] = rng.choice(lexicon)
+        texts.append(" ".join([*prose(rng.randint(20, 60)), *new, *prose(40)]))
+    docs = docs_of(spark, texts)
+    bench = spark.createDataFrame([(i, " ".join(x) + ".") for i, x in enumerate(items)], "item_id long, text string")
+    want = set()
+    for d, text in enumerate(texts):
+        ws = decontaminate.item_words(text)
+        for i, item in enumerate(items):
+            iw, answer = decontaminate.item_words(" ".join(item)), decontaminate.item_words(" ".join(item[-5:]))
+            share = decontaminate.longest_common_subsequence(decontaminate.places(iw), len(iw), ws) / len(iw)
+            said = decontaminate.longest_common_subsequence(decontaminate.places(answer), len(answer), ws) >= 0.8 * len(answer)
+            if share >= 0.8 or share >= 0.6 and said:
+                want.add((d, i))
+    assert len(want) == len(items)
+    got = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(docs, decontaminate.fit(docs, bench)).collect()}
+    assert got == want
+
+
 def test_longest_common_subsequence():
     rng = random.Random(6)
     for _ in range(200):
