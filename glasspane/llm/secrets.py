@@ -6,8 +6,9 @@ and transitions of character classes, entropy, dictionary coverage, the path and
 is one SQL expression, the share of trees that vote for a secret, so a scan is a projection: one pass over the texts, no
 shuffle, no row for each candidate until the caller asks for it.
 
-Defined cases: null or empty texts have no findings; a null path is empty; a string that occurs more than once in a text
-is one finding with its first place and a count; repeated rows have equal findings; an empty table gives an empty result.
+Defined cases: null or empty texts have no findings; a null path is empty; every place where a candidate
+is found is a finding of its own, judged by the words around it, with a count of the string in the text; a string that is
+a secret in one place is replaced in all; repeated rows have equal findings; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -157,24 +158,29 @@ def tree_sql(description: str, names: list[str]) -> str:
 
 
 def scan(docs: DataFrame, forest: Forest, out: str, text_col: str = "text", path_col: str | None = "source") -> DataFrame:
-    """docs with a column `out`: array of (value, kind, at, n_found, score, is_secret), one for each distinct candidate."""
-    text, path = fresh(docs, "scanned_text"), fresh(docs, "scanned_path")
-    kind = "CASE " + " ".join(f"WHEN c RLIKE '{p}' THEN '{k}'" for k, p in KINDS.items()) + " ELSE 'token' END"
-    place = f"locate(c, {text})"
-    one = f"named_struct('value', c, 'kind', {kind}, 'at', {place}, 'n_found', CAST((length({text}) - length(replace({text}, c, ''))) / length(c) AS INT), 'before', substring({text}, greatest(1, {place} - 40), least(40, {place} - 1)), 'after', substring({text}, {place} + length(c), 16))"
+    """docs with a column `out`: array of (value, kind, at, n_found, score, is_secret), one for each place of a candidate."""
+    text, path, strings = fresh(docs, "scanned_text"), fresh(docs, "scanned_path"), fresh(docs, "scanned_strings")
+    kind = "CASE " + " ".join(f"WHEN o.c RLIKE '{p}' THEN '{k}'" for k, p in KINDS.items()) + " ELSE 'token' END"
+    gaps = F.split(text, CANDIDATE, -1)
+    # Each match begins where the gaps and matches before it end.
+    added = F.zip_with(F.slice(gaps, F.lit(1), F.size(strings)), F.col(strings), lambda g, v: F.struct(F.length(g).alias("g"), F.length(v).alias("v")))
+    state = lambda end, at: F.struct(end.alias("end"), at.alias("at"))
+    places = F.aggregate(added, state(F.lit(0), F.array().cast("array<int>")), lambda s, x: state(s["end"] + x["g"] + x["v"], F.concat(s["at"], F.array(s["end"] + x["g"] + 1))), lambda s: s["at"])
+    one = f"named_struct('value', o.c, 'kind', {kind}, 'at', o.at, 'n_found', CAST((length({text}) - length(replace({text}, o.c, ''))) / length(o.c) AS INT), 'before', substring({text}, greatest(1, o.at - 40), least(40, o.at - 1)), 'after', substring({text}, o.at + length(o.c), 16))"
     found = docs.withColumn(text, F.coalesce(F.col(text_col).cast("string"), F.lit(""))).withColumn(path, F.coalesce(F.col(path_col).cast("string"), F.lit("")) if path_col and path_col in docs.columns else F.lit(""))
-    found = found.withColumn(out, F.array_distinct(F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0))))
+    found = found.withColumn(strings, F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0)))
+    found = found.withColumn(out, F.zip_with(strings, places, lambda c, at: F.struct(c.alias("c"), at.alias("at"))))
     featured = f"named_struct('value', x.value, 'kind', x.kind, 'at', x.at, 'n_found', x.n_found, 'f', {features_sql('x', path)})"
     scored = f"named_struct('value', y.value, 'kind', y.kind, 'at', y.at, 'n_found', y.n_found, 'score', {forest.sql})"
     judged = f"named_struct('value', z.value, 'kind', z.kind, 'at', z.at, 'n_found', z.n_found, 'score', z.score, 'is_secret', z.score >= {THRESHOLD})"
-    sql = f"transform(transform(transform(transform({out}, c -> {one}), x -> {featured}), y -> {scored}), z -> {judged})"
-    return found.withColumn(out, F.expr(sql)).drop(text, path)
+    sql = f"transform(transform(transform(transform({out}, o -> {one}), x -> {featured}), y -> {scored}), z -> {judged})"
+    return found.withColumn(out, F.expr(sql)).drop(text, path, strings)
 
 
 def redact(docs: DataFrame, forest: Forest, text_col: str = "text", path_col: str | None = "source") -> DataFrame:
     """docs with every secret replaced by its kind in brackets, longest first; n_chars follows where there is such a column."""
     found = fresh(docs, "findings")
-    longest = f"array_sort(filter({found}, x -> x.is_secret), (a, b) -> IF(length(a.value) <> length(b.value), length(b.value) - length(a.value), IF(a.value < b.value, -1, IF(a.value > b.value, 1, 0))))"
+    longest = f"array_sort(array_distinct(transform(filter({found}, x -> x.is_secret), x -> named_struct('value', x.value, 'kind', x.kind))), (a, b) -> IF(length(a.value) <> length(b.value), length(b.value) - length(a.value), IF(a.value < b.value, -1, IF(a.value > b.value, 1, 0))))"
     clean = f"aggregate({longest}, {text_col}, (t, x) -> replace(t, x.value, concat('[', x.kind, ']')))"
     out = scan(docs, forest, found, text_col, path_col).withColumn(text_col, F.expr(clean)).drop(found)
     if "n_chars" in docs.columns:
@@ -184,7 +190,7 @@ def redact(docs: DataFrame, forest: Forest, text_col: str = "text", path_col: st
 
 
 def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, kind, at (1-based character), length, n_found, value_sha256, score, is_secret for each candidate; values are not shown."""
+    """doc_id, kind, at (1-based character), length, n_found, value_sha256, score, is_secret for each place of a candidate; values are not shown."""
     docs = read_table(spark, sf_dir, "documents")
     found = scan(docs, Forest.train(labelled_examples(spark)), "findings").select(F.col("doc_id").cast("long"), F.explode("findings").alias("x"))
     return found.select("doc_id", "x.kind", F.col("x.at").cast("long").alias("at"), F.length("x.value").cast("long").alias("length"), "x.n_found", F.sha2("x.value", 256).alias("value_sha256"), "x.score", "x.is_secret")

@@ -233,3 +233,18 @@ def test_secrets(spark):
     assert secrets.redact(docs, forest).columns == docs.columns
     first = secrets.scan(docs, forest, "out").where("doc_id = 0").first().out[0]
     assert texts[0][first.at - 1 :].startswith(first.value)
+
+
+def test_secrets_are_judged_in_every_place(spark):
+    key = hashlib.sha1(b"again").hexdigest()
+    texts = [f"commit {key} 🙂 " + "words and more words " * 30 + f'then token = "{key}" ends', f"see https://www.example.com/a/{key}/page.html and later " + "plain words " * 20 + f'token = "{key}"', f"commit {key} and commit {key}"]
+    docs = docs_of(spark, texts)
+    forest = secrets.Forest.train(secrets.labelled_examples(spark))
+    rows = {r.doc_id: [f for f in r.out if f.value == key] for r in secrets.scan(docs, forest, "out").collect()}
+    for i, t in enumerate(texts):
+        assert all(t[f.at - 1 :].startswith(key) for f in rows[i])
+    assert [f.is_secret for f in rows[0]] == [False, True] and [f.at - 1 for f in rows[0]] == [texts[0].index(key), texts[0].rindex(key)]
+    assert rows[1][-1].is_secret and rows[1][-1].at - 1 == texts[1].rindex(key)
+    assert [f.is_secret for f in rows[2]] == [False, False]
+    clean = {r.doc_id: r.text for r in secrets.redact(docs, forest).collect()}
+    assert key not in clean[0] and key not in clean[1] and clean[2] == texts[2]
