@@ -1,4 +1,4 @@
-"""Crawls as tables: sites, robots files and fetched pages come in, one record per site goes out."""
+"""Crawls as tables: sites, robots files and fetched pages come in, rows per site and page go out, or one record per site."""
 
 from __future__ import annotations
 
@@ -54,8 +54,11 @@ def shown(findings: str):
     return F.transform(F.slice(findings, 1, 20), lambda f: F.struct(f["verdict"].alias("verdict"), f["where"].alias("where"), f["how"].alias("how"), f["tag"].alias("tag"), F.transform(f["findings"], lambda x: x["rule"]).alias("rules"), f["text"].alias("text")))
 
 
-def site_records(sites: DataFrame, pages: DataFrame) -> DataFrame:
-    """One record per site. sites: site, robots, robots_status, home_status, llms, llms_status; pages: site, url, html (fetched)."""
+def site_tables(sites: DataFrame, pages: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(site, status, llms_txt), one row a site, and the page records of sites that may be read, one row a page.
+
+    sites: site, robots, robots_status, home_status, llms, llms_status; pages: site, url, html (fetched).
+    """
     home = F.concat(F.lit("https://"), "site", F.lit("/"))
     allowed = robots_allow("robots", "robots_status", home)
     status = (
@@ -65,10 +68,17 @@ def site_records(sites: DataFrame, pages: DataFrame) -> DataFrame:
         .otherwise("ok")
     )
     known = sites.withColumn("status", status)
-    read = page_records(pages.join(known.where("status = 'ok'").select("site"), "site", "left_semi")).groupBy("site").agg(F.array_sort(F.collect_list(F.struct("url", "ai_links", "content", "candidates"))).alias("pages"))
+    read = page_records(pages.join(known.where("status = 'ok'").select("site"), "site", "left_semi"))
     has_file = (F.col("status") == "ok") & (F.col("llms_status") == 200) & (F.trim("llms") != "") & ~F.ltrim(F.col("llms")).startswith("<")
     files = page_reports(paragraphs(known.where(has_file), "site", "llms")).select(F.col("page_id").alias("site"), F.struct("verdict", "chunks", "hidden_chunks", shown("findings").alias("findings")).alias("llms_txt"))
-    out = known.select("site", "status").join(read, "site", "left").join(files, "site", "left")
+    return known.select("site", "status").join(files, "site", "left"), read
+
+
+def site_records(sites: DataFrame, pages: DataFrame) -> DataFrame:
+    """One record per site, its pages in one array: for sinks. Summaries take the rows of site_tables, which no site's size bounds."""
+    known, read = site_tables(sites, pages)
+    nested = read.groupBy("site").agg(F.array_sort(F.collect_list(F.struct("url", "ai_links", "content", "candidates"))).alias("pages"))
+    out = known.join(nested, "site", "left").select("site", "status", "pages", "llms_txt")
     return out.withColumn("pages", F.coalesce("pages", F.array().cast(out.schema["pages"].dataType)))
 
 

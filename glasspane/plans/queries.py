@@ -213,15 +213,15 @@ def crawl_tables(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
 
 
 def site_summary(spark, sf_dir):
-    return reports.site_summary(crawl.site_records(*crawl_tables(spark, sf_dir)))
+    return reports.site_summary(*crawl.site_tables(*crawl_tables(spark, sf_dir)))
 
 
 def site_status(spark, sf_dir):
-    return reports.status_counts(crawl.site_records(*crawl_tables(spark, sf_dir)))
+    return reports.status_counts(crawl.site_tables(*crawl_tables(spark, sf_dir))[0])
 
 
 def review_listing(spark, sf_dir):
-    return reports.review_listing(crawl.site_records(*crawl_tables(spark, sf_dir))).groupBy("kind", "verdict", "place", "rules").agg(F.count("*").alias("n"))
+    return reports.review_listing(*crawl.site_tables(*crawl_tables(spark, sf_dir))).groupBy("kind", "verdict", "place", "rules").agg(F.count("*").alias("n"))
 
 
 def anonymised_texts(spark, sf_dir):

@@ -11,42 +11,65 @@ from ..functions.text import percent, prompt_template, scrubbed
 FLAGGED = ["SUSPICIOUS", "DANGEROUS"]
 
 
-def link_rows(sites: DataFrame, only_ok: bool = True) -> DataFrame:
-    """(site, page, assistant, param, verdict, score, rules, prompt, wrapped) of all links in records."""
+def page_rows(sites: DataFrame, only_ok: bool = True) -> DataFrame:
+    """(site, url, ai_links, content, candidates) of the pages in records."""
     rows = sites.where("status = 'ok'") if only_ok else sites
-    pages = rows.select("site", F.explode("pages").alias("p"))
-    return pages.select("site", F.col("p.url").alias("page"), F.explode("p.ai_links").alias("l")).select("site", "page", "l.*")
+    return rows.select("site", F.explode("pages").alias("p")).select("site", "p.*")
+
+
+def page_links(pages: DataFrame) -> DataFrame:
+    """(site, page, assistant, param, verdict, score, rules, prompt, wrapped) of all links of pages."""
+    return pages.select("site", F.col("url").alias("page"), F.explode("ai_links").alias("l")).select("site", "page", "l.*")
+
+
+def page_findings(pages: DataFrame) -> DataFrame:
+    return pages.select("site", F.col("url").alias("page"), F.explode("content.findings").alias("f")).select("site", "page", "f.*")
+
+
+def link_rows(sites: DataFrame, only_ok: bool = True) -> DataFrame:
+    """page_links of the pages in records."""
+    return page_links(page_rows(sites, only_ok))
 
 
 def content_rows(sites: DataFrame, only_ok: bool = True) -> DataFrame:
-    rows = sites.where("status = 'ok'") if only_ok else sites
-    pages = rows.select("site", F.explode("pages").alias("p"))
-    return pages.select("site", F.col("p.url").alias("page"), F.explode("p.content.findings").alias("f")).select("site", "page", "f.*")
+    return page_findings(page_rows(sites, only_ok))
 
 
 def status_counts(sites: DataFrame) -> DataFrame:
     return sites.groupBy(F.substring_index("status", ":", 1).alias("status")).agg(F.count("*").alias("n"))
 
 
-def site_summary(sites: DataFrame) -> DataFrame:
-    """One row: how many sites were tried, read, link to assistants, carry prompts, are flagged, and so on."""
-    link = lambda cond: F.exists("pages", lambda p: F.exists(p["ai_links"], cond))
-    found = lambda cond: F.coalesce(F.exists("pages", lambda p: F.coalesce(F.exists(p["content"]["findings"], cond), F.lit(False))), F.lit(False))
+def site_summary(sites: DataFrame, pages: DataFrame | None = None) -> DataFrame:
+    """One row: how many sites were tried, read, link to assistants, carry prompts, are flagged, and so on.
+
+    sites and pages: the two tables of crawl.site_tables, or records alone. Pages are added up within tasks before they meet.
+    """
+    pages = page_rows(sites) if pages is None else pages
+    link = lambda cond: F.max(F.exists("ai_links", cond))
+    found = lambda cond: F.max(F.coalesce(F.exists("content.findings", cond), F.lit(False)))
     carries = lambda x: x["prompt"] != ""
+    by_site = pages.groupBy("site").agg(
+        F.count("*").alias("n_pages"),
+        link(lambda x: F.lit(True)).alias("has_link"),
+        link(carries).alias("has_prompt"),
+        link(lambda x: carries(x) & x["verdict"].isin(*FLAGGED)).alias("has_flagged"),
+        link(lambda x: carries(x) & (x["verdict"] == "DANGEROUS")).alias("has_dangerous"),
+        found(lambda f: F.lit(True)).alias("told"),
+        found(lambda f: f["verdict"] == "DANGEROUS").alias("told_dangerous"),
+    )
     ok = F.col("status") == "ok"
     n = lambda c: F.count_if(ok & c).cast("long")
-    told = found(lambda f: F.lit(True))
-    flagged = link(lambda x: carries(x) & x["verdict"].isin(*FLAGGED))
-    out = sites.agg(
+    told, flagged = (F.coalesce(c, F.lit(False)) for c in ("told", "has_flagged"))
+    out = sites.select("site", "status", "llms_txt").join(by_site, "site", "left").agg(
         F.count("*").alias("sites"),
         n(F.lit(True)).alias("reachable"),
-        F.coalesce(F.sum(F.when(ok, F.size("pages"))), F.lit(0)).cast("long").alias("pages"),
-        n(link(lambda x: F.lit(True))).alias("with_link"),
-        n(link(carries)).alias("with_prompt"),
+        F.coalesce(F.sum(F.when(ok, F.col("n_pages"))), F.lit(0)).cast("long").alias("pages"),
+        n(F.col("has_link")).alias("with_link"),
+        n(F.col("has_prompt")).alias("with_prompt"),
         n(flagged).alias("flagged"),
-        n(link(lambda x: carries(x) & (x["verdict"] == "DANGEROUS"))).alias("dangerous"),
+        n(F.col("has_dangerous")).alias("dangerous"),
         n(told).alias("content_sites"),
-        n(found(lambda f: f["verdict"] == "DANGEROUS")).alias("content_dangerous"),
+        n(F.col("told_dangerous")).alias("content_dangerous"),
         n(F.col("llms_txt").isNotNull()).alias("llms_txt"),
         n(F.coalesce(F.size("llms_txt.findings") > 0, F.lit(False))).alias("llms_flagged"),
         n(told | flagged).alias("either"),
@@ -87,11 +110,12 @@ def site_numbers(sites: DataFrame) -> DataFrame:
     return within.join(before, "start").select("site", (F.col("within") + F.col("before")).cast("long").alias("number"))
 
 
-def review_listing(sites: DataFrame) -> DataFrame:
+def review_listing(sites: DataFrame, pages: DataFrame | None = None) -> DataFrame:
     """Findings without names, in the order for review: (kind, site, verdict, place, rules, text)."""
+    pages = page_rows(sites, False) if pages is None else pages
     numbers = site_numbers(sites)
-    content = content_rows(sites, False).select("site", F.lit("content").alias("kind"), "verdict", F.concat("where", F.lit(" / "), "how", F.lit(" / <"), "tag", F.lit(">")).alias("place"), "rules", "text")
-    links = link_rows(sites, False).where("prompt <> ''").select("site", F.lit("link").alias("kind"), "verdict", F.col("assistant").alias("place"), "rules", F.col("prompt").alias("text"))
+    content = page_findings(pages).select("site", F.lit("content").alias("kind"), "verdict", F.concat("where", F.lit(" / "), "how", F.lit(" / <"), "tag", F.lit(">")).alias("place"), "rules", "text")
+    links = page_links(pages).where("prompt <> ''").select("site", F.lit("link").alias("kind"), "verdict", F.col("assistant").alias("place"), "rules", F.col("prompt").alias("text"))
     files = sites.select("site", F.explode("llms_txt.findings").alias("f")).select("site", F.lit("llms.txt").alias("kind"), "f.verdict", F.col("f.how").alias("place"), "f.rules", "f.text")
     rows = content.unionByName(links).unionByName(files).join(numbers, "site")
     severity = F.when(F.col("verdict") == "DANGEROUS", 0).when(F.col("verdict") == "SUSPICIOUS", 1).when(F.col("verdict") == "LOOKS_SAFE", 2).otherwise(3)

@@ -78,3 +78,16 @@ def test_candidates_without_a_verdict_stay(spark, tmp_path):
     every = queries.review_candidates(spark, str(tmp_path)).collect()
     flagged = queries.flagged_candidates(spark, str(tmp_path)).collect()
     assert [r for r in every if r.verdict] == flagged and {r.page_id for r in flagged} == {1}
+
+
+def test_summaries_take_page_rows(spark, tmp_path):
+    """No site's pages are collected into one row, and the figures are those of the nested records."""
+    article = "<article><p>Some words about the harbour.</p></article>"
+    spark.createDataFrame([(i, f"u{i}", article) for i in range(90)], "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    for query in (queries.site_summary, queries.review_listing):
+        plan = query(spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+        assert "collect_list(struct(url" not in plan
+    tables = queries.crawl_tables(spark, str(tmp_path))
+    assert queries.site_summary(spark, str(tmp_path)).collect() == reports.site_summary(crawl.site_records(*tables)).collect()
+    listing = lambda rows: sorted(map(tuple, rows.collect()))
+    assert listing(reports.review_listing(*crawl.site_tables(*tables))) == listing(reports.review_listing(crawl.site_records(*tables)))
