@@ -177,7 +177,7 @@ def page_verdicts(spark, sf_dir):
 
 
 def review_candidates(spark, sf_dir):
-    return pages.candidates(pages.page_chunks(seeded_pages(spark, sf_dir)), 8).select("page_id", "place", "where", "verdict", "text")
+    return pages.candidates(pages.page_chunks(seeded_pages(spark, sf_dir)), None).select("page_id", "place", "where", "verdict", "text")
 
 
 def flagged_candidates(spark, sf_dir):
