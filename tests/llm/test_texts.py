@@ -248,3 +248,12 @@ def test_secrets_are_judged_in_every_place(spark):
     assert [f.is_secret for f in rows[2]] == [False, False]
     clean = {r.doc_id: r.text for r in secrets.redact(docs, forest).collect()}
     assert key not in clean[0] and key not in clean[1] and clean[2] == texts[2]
+
+
+def test_every_text_is_verified_by_default():
+    """A pipeline that gives other ids than the library fails on each text, not on one in sixteen."""
+    codec = sentencepiece_codec.Codec(open(sentencepiece_codec.default_model(), "rb").read())
+    codec.__dict__["original"] = type("Other", (), {"encode": staticmethod(lambda texts, num_threads: [[-1] for _ in texts])})()
+    for i in range(40):
+        with pytest.raises(ValueError, match="not the ids"):
+            codec.encode([f"text number {i}"])
