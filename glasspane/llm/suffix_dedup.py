@@ -1,4 +1,4 @@
-"""Removal of long repeated byte strings by longest-previous-factor arrays.
+"""Removal of long repeated byte strings by runs of equal windows in suffix order.
 
 A byte goes if a string of `window` bytes that covers it also starts elsewhere in the corpus (keep="none"), or started
 earlier, in order of (document, position), so that the first copy stays (keep="first").
@@ -7,9 +7,10 @@ One suffix array over a corpus fits no machine, so the suffixes are dealt out fi
 least hash is its anchor; equal windows have equal anchors at the same place. Only anchors whose hash occurs twice matter.
 Around each, the bytes that windows with this anchor can hold are sent to the anchor's group. There the suffixes that
 start at one distance before the anchors are put in suffix order (from one sort of what follows the anchors and one of
-what precedes them, with the LCP of neighbours). Suffixes with an LCP of `window` or more are a run of that order; the
-previous and next smaller text positions of a suffix within its run are its longest previous factor of at least `window`,
-and the same with larger positions gives the next factor. A suffix with either is repeated. All windows that hold an anchor overlap in
+what precedes them, with the LCP of neighbours). Suffixes with an LCP of `window` or more are a run of that order. All of a
+run of two or more are repeated, and all but the one of the first position stand earlier as well. Longest-previous-factor
+arrays (previous and next smaller positions with their LCP minima) are not computed: they would give the lengths of the
+factors, but only whether one of at least `window` bytes exists is asked, and a run says that of all its suffixes. All windows that hold an anchor overlap in
 it, so the bytes to remove around one anchor are one interval, from the farthest start to the farthest end.
 
 Exact copies are one content throughout (by SHA-256), whatever their number. The contexts of a batch are collapsed before
