@@ -1,24 +1,31 @@
-"""Removal of long repeated byte strings by runs of equal windows in suffix order.
+"""Removal of long repeated byte strings by longest-previous-factor arrays.
 
 A byte goes if a string of `window` bytes that covers it also starts elsewhere in the corpus (keep="none"), or started
 earlier, in order of (document, position), so that the first copy stays (keep="first").
 
 One suffix array over a corpus fits no machine, so the suffixes are dealt out first. Of the k-grams in a window the one of
 least hash is its anchor; equal windows have equal anchors at the same place. Only anchors whose hash occurs twice matter.
-Around each, the bytes that windows with this anchor can hold are sent to the anchor's group. There the suffixes that
-start at one distance before the anchors are put in suffix order (from one sort of what follows the anchors and one of
-what precedes them, with the LCP of neighbours). Suffixes with an LCP of `window` or more are a run of that order. All of a
-run of two or more are repeated, and all but the one of the first position stand earlier as well. Longest-previous-factor
-arrays (previous and next smaller positions with their LCP minima) are not computed: they would give the lengths of the
-factors, but only whether one of at least `window` bytes exists is asked, and a run says that of all its suffixes. All windows that hold an anchor overlap in
+Around each, the bytes that windows with this anchor can hold are sent to the anchor's group. There two suffix orders are
+made, of what follows the anchors and of what precedes them (read backwards), with the LCP of neighbours. The suffixes
+that start x bytes before an anchor and share those x bytes are an interval of the second order, so their own suffix order
+is that interval in the first order. In it the nearest suffixes with a smaller text position on either side, and the least
+LCP on the way to them, give the longest previous factor of each suffix; the nearest with a greater position give the
+longest next one. The intervals change only at the distinct LCPs of the second order, so each group is worked through once
+for each of these. A suffix whose factor has `window` bytes or more is repeated. All windows that hold an anchor overlap in
 it, so the bytes to remove around one anchor are one interval, from the farthest start to the farthest end.
 
+A second, shorter length (`passage`) is reported but not removed: how many bytes of a text strings of that length cover
+that also start elsewhere (with keep="first": earlier). Anchors are chosen for the shorter length; longer windows hold one
+of them, too.
+
 Exact copies are one content throughout (by SHA-256), whatever their number. The contexts of a batch are collapsed before
-the shuffle. A group of more than `GROUP` contexts is not held by a task; its windows are counted by their digests in a
-partial and final aggregation instead, which gives the same intervals.
+the shuffle. An anchor that occurs more than `GROUP` times is counted as such before anything is dealt out; its contexts
+are spread by their content, equal ones become one, and their windows are counted by digests in a partial and final
+aggregation instead of being put in suffix order, which gives the same intervals.
 
 Defined cases: null text is empty; texts shorter than the window keep all bytes; rows with equal text get equal results
-(with keep="first" the row with the smallest id keeps its text); an empty table gives an empty result.
+(with keep="first" the row with the smallest id keeps its text); an empty table gives an empty result; only the id and text
+columns are read, so other columns never clash.
 """
 
 from __future__ import annotations
@@ -32,16 +39,17 @@ from pyspark.sql import functions as F
 
 from .common import PART_BYTES, group_bounds, read_table, record_batch, settle, streamed_groups, text_column, utf8
 
-WINDOW, GRAM, GROUP = 400, 160, 20_000
+#: Bytes of a removed string, of one that is only reported (about 45 words), and of an anchor; most contexts of a group.
+WINDOW, PASSAGE, GRAM, GROUP = 400, 256, 128, 1500
 MULTIPLIER = 0x9E3779B97F4A7C55
 BASE, BACK = np.uint64(MULTIPLIER), np.uint64(pow(MULTIPLIER, -1, 1 << 64))
 LOW = np.uint64(PART_BYTES - 1)
 CONTENT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("sha", pa.binary()), ("hashes", pa.list_(pa.int64())), ("places", pa.list_(pa.int32()))])
 OWNER = pa.struct([("sha", pa.binary()), ("doc", pa.int64()), ("at", pa.int32())])
-CONTEXT = pa.schema([("h", pa.int64()), ("before", pa.int32()), ("context", pa.binary()), ("owners", pa.list_(OWNER))])
+CONTEXT = pa.schema([("h", pa.int64()), ("hot", pa.bool_()), ("before", pa.int32()), ("context", pa.binary()), ("owners", pa.list_(OWNER))])
 OWNERS = "array<struct<sha: binary, doc: long, at: int>>"
-SPAN = pa.schema([("sha", pa.binary()), ("start", pa.int32()), ("end", pa.int32()), ("h", pa.int64()), ("before", pa.int32()), ("context", pa.binary()), ("owners", pa.list_(OWNER))])
-APPLIED = pa.schema([("sha", pa.binary()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.binary())])
+SPAN = pa.schema([("sha", pa.binary()), ("length", pa.int32()), ("start", pa.int32()), ("end", pa.int32()), ("h", pa.int64()), ("before", pa.int32()), ("context", pa.binary()), ("owners", pa.list_(OWNER))])
+APPLIED = pa.schema([("sha", pa.binary()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("n_repeated", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.binary())])
 
 
 def powers(n: int, base: np.uint64) -> np.ndarray:
@@ -117,102 +125,171 @@ def contents_of(docs: DataFrame, window: int, gram: int, id_col: str, text_col:
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, n_bytes long, sha binary, hashes array<long>, places array<int>")
 
 
-def contexts_of(candidates: DataFrame, window: int, gram: int) -> DataFrame:
+def contexts_of(candidates: DataFrame, window: int, gram: int, group: int) -> DataFrame:
     """From (sha, doc, text, anchors): what windows around each anchor hold; equal contexts of a batch are one row."""
     reach = window - gram
 
+    def rows(seen: dict) -> pa.RecordBatch:
+        return record_batch(CONTEXT, *(list(c) for c in zip(*seen, strict=True)), list(seen.values()))
+
     def run(batches):
         for batch in batches:
             shas, docs, anchors = batch.column("sha").to_pylist(), batch.column("doc").to_pylist(), batch.column("anchors")
-            seen: dict[tuple[int, int, bytes], list] = {}
+            seen: dict[tuple[int, bool, int, bytes], list] = {}
             texts, size = text_column(batch, "text"), 0
             for i in range(batch.num_rows):
                 text, found = texts[i].as_buffer().to_pybytes(), anchors[i].values
-                for at, h in zip(found.field("at").to_pylist(), found.field("h").to_pylist(), strict=True):
+                for at, h, n in zip(*(found.field(k).to_pylist() for k in ("at", "h", "n")), strict=True):
                     before = min(at, reach)
                     context = text[at - before : at + window]
-                    owners = seen.setdefault((h, before, context), [])
+                    owners = seen.setdefault((h, n > group, before, context), [])
                     size += not owners and len(context)
                     owners.append({"sha": shas[i], "doc": docs[i], "at": at})
                 if size > 8 << 20:
-                    yield record_batch(CONTEXT, [k[0] for k in seen], [k[1] for k in seen], [k[2] for k in seen], list(seen.values()))
+                    yield rows(seen)
                     seen, size = {}, 0
             if seen:
-                yield record_batch(CONTEXT, [k[0] for k in seen], [k[1] for k in seen], [k[2] for k in seen], list(seen.values()))
-
-    return candidates.mapInArrow(run, f"h long, before int, context binary, owners {OWNERS}")
-
-
-def suffix_order(group: np.ndarray, strings: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Order of the strings within their groups, and the LCP of each with the one before it in that order (-1: first of a group)."""
-    order = np.array(sorted(range(len(strings)), key=lambda i: (group[i], strings[i])), np.int64)
-    grid = np.zeros((len(strings), width), np.uint8)
-    for r, i in enumerate(order):
-        s = np.frombuffer(strings[i], np.uint8)
-        grid[r, : len(s)] = s
-    differ = grid[1:] != grid[:-1]
-    lcp = np.full(len(strings), -1)
-    lcp[1:] = np.where(differ.any(axis=1), differ.argmax(axis=1), width)
-    first = np.append(True, group[order][1:] != group[order][:-1])
-    lcp[first] = -1
-    return order, lcp
-
-
-def repeated_starts(group: np.ndarray, before: np.ndarray, contexts: list[bytes], weight: np.ndarray, position: np.ndarray, window: int, gram: int) -> np.ndarray:
-    """For each context: least and greatest distance before its anchor at which a repeated suffix starts, for
-    its first owner counting all others [0, 1], for its first owner counting earlier ones only [2, 3], and for the other
-    owners [4, 5]; -1 where there is none. position: rank of the first owner in text order; weight: number of owners.
+                yield rows(seen)
+
+    return candidates.mapInArrow(run, f"h long, hot boolean, before int, context binary, owners {OWNERS}")
+
+
+class SuffixOrder:
+    """Byte strings in suffix order within their groups: the order, each string's rank in it, and its LCP with the string
+    before it (-1: first of a group). Strings are runs of `data` from `start`, read forwards (step 1) or backwards (-1)."""
+
+    def __init__(self, group: np.ndarray, data: np.ndarray, start: np.ndarray, size: np.ndarray, width: int, step: int):
+        m = len(group)
+        at = np.arange(width)
+        grid = np.zeros((m, 4 + width), np.uint8)
+        grid[:, :4] = group.astype(">u4").view(np.uint8).reshape(m, 4)
+        if len(data) and width:
+            np.multiply(data[np.clip(start[:, None] + step * at, 0, len(data) - 1)], at < size[:, None], out=grid[:, 4:])
+        # Zero bytes at an end sort like no bytes; the LCP is cut to the sizes, so ties do no harm.
+        self.order = np.argsort(grid.view(f"S{4 + width}").ravel(), kind="stable")
+        self.rank = np.empty(m, np.int64)
+        self.rank[self.order] = np.arange(m)
+        grid, size, group = grid[self.order, 4:], size[self.order], group[self.order]
+        differ = grid[1:] != grid[:-1]
+        self.lcp = np.full(m, -1)
+        if m > 1:
+            equal = np.where(differ.any(axis=1), differ.argmax(axis=1), width) if width else np.zeros(m - 1, np.int64)
+            self.lcp[1:] = np.where(group[1:] == group[:-1], np.minimum(equal, np.minimum(size[1:], size[:-1])), -1)
+
+    def least(self) -> list[np.ndarray]:
+        """Minima of the LCPs over runs of 1, 2, 4, ... entries."""
+        table = [self.lcp]
+        while 2 << len(table) - 1 <= len(self.lcp):
+            half = 1 << len(table) - 1
+            table.append(np.minimum(table[-1][:-half], table[-1][half:]))
+        return table
+
+
+def common(table: list[np.ndarray], first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """LCP of the suffixes of ranks first < last."""
+    level = np.log2(last - first).astype(np.int64)
+    out = np.empty(len(first), np.int64)
+    for k in np.unique(level):
+        of = np.flatnonzero(level == k)
+        out[of] = np.minimum(table[k][first[of] + 1], table[k][last[of] - (1 << int(k)) + 1])
+    return out
+
+
+def factors(position: np.ndarray, lcp: np.ndarray) -> np.ndarray:
+    """Longest previous factor of each suffix of a suffix order: the greater LCP with the nearest suffixes of a smaller
+    position before and after it. lcp: with the suffix before, -1 where an interval begins. -1: no smaller position.
+    """
+
+    def nearest(position, lcp):
+        """LCP with the nearest smaller position before. Pointers jump over what is greater, each by its target's own jump."""
+        to, low = np.arange(len(position)) - 1, lcp.copy()
+        to[lcp < 0] = -1
+        left = np.flatnonzero(to >= 0)
+        left = left[position[to[left]] > position[left]]
+        while len(left):
+            by = to[left]
+            low[left] = np.minimum(low[left], low[by])
+            to[left] = to[by]
+            left = left[to[left] >= 0]
+            left = left[position[to[left]] > position[left]]
+        low[to < 0] = -1
+        return low
+
+    back = np.append(lcp[1:], -1)[::-1]
+    return np.maximum(nearest(position, lcp), nearest(position[::-1], back)[::-1])
+
+
+def repeated_starts(group: np.ndarray, before: np.ndarray, data: np.ndarray, offsets: np.ndarray, weight: np.ndarray, position: np.ndarray, lengths: list[int], gram: int, keep: str) -> np.ndarray:
+    """[context, length, 4]: least and greatest distance before its anchor at which a factor of that length starts, for the
+    first owner of the context and for its other owners; -1 where there is none. position: rank of the first owner in text
+    order; weight: number of owners; data and offsets: the contexts' bytes.
     """
-    m, reach = len(contexts), window - gram
-    out = np.full((m, 6), -1)
-    width = np.array([len(c) for c in contexts])
-    after = width - before
-    tails = [c[b:] for c, b in zip(contexts, before, strict=True)]
-    heads = [c[:b][::-1] for c, b in zip(contexts, before, strict=True)]
-    right, right_lcp = suffix_order(group, tails, window)
-    left, left_lcp = suffix_order(group, heads, reach)
-
-    def longest(order, lcp):
-        """The longest common factor with a neighbour in suffix order."""
-        best = np.empty(m, np.int64)
-        best[order] = np.maximum(lcp, np.append(lcp[1:], -1))
-        return best
-
-    hopeful = (weight > 1) | (longest(right, right_lcp) + longest(left, left_lcp) >= window)
-
-    def classes(order, lcp, depth):
-        run = np.empty(m, np.int64)
-        run[order] = np.cumsum(lcp < depth)
-        return run
-
-    for x in range(reach + 1):
-        valid = np.flatnonzero(hopeful & (before >= x) & (after >= window - x))
-        if not len(valid):
+    m, window = len(group), max(lengths)
+    size = np.diff(offsets)
+    after = size - before
+    out = np.full((m, len(lengths), 4), -1)
+
+    def note(of, column, x_from, x_to, factor):
+        """Starts from x_from to x_to bytes before the anchors, of suffixes that share `factor` bytes from the anchor on."""
+        for k, w in enumerate(lengths):
+            low, high = np.maximum(x_from, w - factor), np.minimum(x_to, w - gram)
+            ok = low <= high
+            rows, low, high = of[ok], low[ok], high[ok]
+            out[rows, k, column] = np.where(out[rows, k, column] < 0, low, np.minimum(out[rows, k, column], low))
+            out[rows, k, column + 1] = np.maximum(out[rows, k, column + 1], high)
+
+    several = np.flatnonzero(weight > 1)
+    note(several, 2, 0 * several, before[several], after[several])
+    if keep == "none":
+        note(several, 0, 0 * several, before[several], after[several])
+    right = SuffixOrder(group, data, offsets[:-1] + before, after, window, 1)
+    left = SuffixOrder(group, data, offsets[:-1] + before - 1, before, window - gram, -1)
+    minima, least = right.least(), min(lengths)
+    # The distinct LCPs of each group in the left order, in turn: depths at which its intervals are split.
+    of_group = group[left.order]
+    depths = np.divmod(np.unique((of_group * window + left.lcp)[left.lcp >= 0]), window)
+    first = np.searchsorted(depths[0], np.arange(group.max(initial=0) + 2))
+    for turn in range(int(np.diff(first).max(initial=0))):
+        there = np.flatnonzero(first[of_group] + turn < first[of_group + 1])
+        at = first[of_group[there]] + turn
+        depth, floor = depths[1][at], (np.where(at > first[of_group[there]], depths[1][at - 1], -1) + 1)
+        interval = np.cumsum(left.lcp[there] < depth)
+        alone = np.append(interval[1:] != interval[:-1], True) & np.append(True, interval[1:] != interval[:-1])
+        there, depth, floor, interval = (v[~alone] for v in (there, depth, floor, interval))
+        if not len(there):
             continue
-        run = classes(left, left_lcp, x)[valid] * (m + 1) + classes(right, right_lcp, window - x)[valid]
-        by = np.lexsort((position[valid], run))
-        run, at = run[by], valid[by]
-        new = np.append(True, run[1:] != run[:-1])
-        number = np.cumsum(new) - 1
-        total = np.bincount(number, weights=weight[at])[number]
-        for column, hit in ((0, total > 1), (2, ~new), (4, weight[at] > 1)):
-            rows = at[hit]
-            out[rows, column] = np.where(out[rows, column] < 0, x, out[rows, column])
-            out[rows, column + 1] = x
+        of = left.order[there]
+        by = np.lexsort((right.rank[of], interval))
+        of, interval, depth, floor = of[by], interval[by], depth[by], floor[by]
+        same = interval[1:] == interval[:-1]
+        lcp = np.full(len(of), -1)
+        pairs = np.flatnonzero(same)
+        lcp[pairs + 1] = common(minima, right.rank[of[pairs]], right.rank[of[pairs + 1]])
+        longest = factors(position[of], lcp)
+        if keep == "none":
+            longest = np.maximum(longest, factors(-position[of], lcp))
+        hit = np.flatnonzero(longest + depth >= least)
+        note(of[hit], 0, floor[hit], depth[hit], longest[hit])
     return out
 
 
-def group_spans(contexts: DataFrame, window: int, gram: int, keep: str, group: int) -> DataFrame:
-    """Intervals (sha, start, end) of repeated bytes; groups that are too large come back as contexts."""
-    none = lambda n: [pa.nulls(n, f.type) for f in list(SPAN)[3:]]
+def group_spans(contexts: DataFrame, lengths: list[int], gram: int, keep: str, group: int) -> DataFrame:
+    """Intervals (sha, length, start, end) of repeated bytes; the contexts of hot anchors come back as they are."""
+    rest = ["h", "before", "context", "owners"]
+    types = {f.name: f.type for f in SPAN}
+
+    def returned(t: pa.Table) -> pa.RecordBatch:
+        return record_batch(SPAN, *(pa.nulls(len(t), types[k]) for k in ("sha", "length", "start", "end")), *(t.column(c).combine_chunks() for c in rest))
 
     def run(batches):
-        for whole, t in streamed_groups(batches, ["h"], group):
-            if not whole:
-                yield record_batch(SPAN, *(pa.nulls(len(t), f.type) for f in list(SPAN)[:3]), *(t.column(c).combine_chunks() for c in ("h", "before", "context", "owners")))
+        for whole, t in streamed_groups(batches, ["hot", "h"], group):
+            hot = np.asarray(t.column("hot").to_numpy(zero_copy_only=False), bool)
+            if not whole or hot.any():
+                yield returned(t if not whole else t.filter(pa.array(hot)))
+            t = t.filter(pa.array(~hot)).combine_chunks()
+            if not whole or not len(t):
                 continue
-            owners = t.column("owners").combine_chunks()
-            bounds = group_bounds(t, ["h"])
+            bounds, owners, context = group_bounds(t, ["h"]), t.column("owners").combine_chunks(), t.column("context").combine_chunks()
             weight = owners.value_lengths().to_numpy().astype(np.int64)
             flat = owners.flatten()
             doc, at = flat.field("doc").fill_null(np.iinfo(np.int64).max).to_numpy(), flat.field("at").to_numpy()
@@ -222,33 +299,38 @@ def group_spans(contexts: DataFrame, window: int, gram: int, keep: str, group: i
             rank[order] = np.arange(len(flat))
             first = np.full(len(t), len(flat))
             np.minimum.at(first, of, rank)
-            x = repeated_starts(np.repeat(np.arange(len(bounds) - 1), np.diff(bounds)), t.column("before").to_numpy(), t.column("context").to_pylist(), weight, first, window, gram)
-            if keep == "none":
-                low, high = x[of, 0], x[of, 1]
-            else:
-                is_first = rank == first[of]
-                low, high = np.where(is_first, x[of, 2], x[of, 4]), np.where(is_first, x[of, 3], x[of, 5])
-            hit = np.flatnonzero(low >= 0)
-            if len(hit):
-                yield record_batch(SPAN, flat.field("sha").take(pa.array(hit)), (at - high)[hit], (at + window - low)[hit], *none(len(hit)))
-
-    dealt = contexts.repartition("h").sortWithinPartitions("h")
-    return dealt.mapInArrow(run, f"sha binary, start int, end int, h long, before int, context binary, owners {OWNERS}")
-
-
-def counted_spans(contexts: DataFrame, window: int, keep: str) -> DataFrame:
+            data, offsets = utf8(context)
+            x = repeated_starts(np.repeat(np.arange(len(bounds) - 1), np.diff(bounds)), t.column("before").to_numpy().astype(np.int64), data, offsets, weight, first, lengths, gram, keep)
+            lead = rank == first[of]
+            for k, w in enumerate(lengths):
+                low, high = (np.where(lead, x[of, k, c], x[of, k, c + 2]) for c in (0, 1))
+                hit = np.flatnonzero(low >= 0)
+                if len(hit):
+                    yield record_batch(SPAN, flat.field("sha").take(pa.array(hit)), np.full(len(hit), w, np.int32), (at - high)[hit], (at + w - low)[hit], *(pa.nulls(len(hit), types[c]) for c in rest))
+
+    # Hot contexts only pass through, so they are dealt by their content.
+    salt = F.when(F.col("hot"), F.xxhash64("context")).otherwise(0)
+    dealt = contexts.repartition("h", salt).sortWithinPartitions("hot", "h")
+    return dealt.mapInArrow(run, f"sha binary, length int, start int, end int, h long, before int, context binary, owners {OWNERS}")
+
+
+def counted_spans(contexts: DataFrame, lengths: list[int], gram: int, keep: str) -> DataFrame:
     """The same intervals for groups of any size: windows are counted by their digest, with partial aggregation."""
-    rows = settle(contexts.withColumn("row", F.monotonically_increasing_id()).withColumn("owners", F.array_sort("owners", lambda a, b: F.when(F.struct(a["doc"], a["at"]) < F.struct(b["doc"], b["at"]), -1).when(F.struct(a["doc"], a["at"]) > F.struct(b["doc"], b["at"]), 1).otherwise(0))), "hot-contexts")
-    starts = rows.select("row", "h", F.size("owners").alias("n"), F.struct(F.col("owners")[0]["doc"].alias("doc"), F.col("owners")[0]["at"].alias("at")).alias("first"), "context", "before", F.explode(F.sequence(F.lit(0), F.col("before"))).alias("x"))
-    windows = starts.select("row", "h", "x", "n", "first", F.expr(f"substring(context, before - x + 1, {window})").alias("w")).where(F.length("w") == window).select("row", "h", "x", "n", "first", F.md5("w").alias("w"))
-    runs = windows.groupBy("h", "x", "w").agg(F.sum("n").alias("total"), F.min("first").alias("least")).where("total > 1")
-    hits = windows.join(runs, ["h", "x", "w"]).groupBy("row")
+    key, latest = ["h", "before", "same"], F.lit((1 << 63) - 1)
+    rows = contexts.withColumn("same", F.md5("context")).withColumn("owners", F.transform("owners", lambda o: F.struct(F.coalesce(o["doc"], latest).alias("doc"), o["at"].alias("at"), o["sha"].alias("sha"))))
+    distinct = settle(rows.groupBy(*key).agg(F.sum(F.size("owners")).alias("n"), F.min(F.array_min("owners")).alias("first"), F.first("context").alias("context")), "hot-contexts")
+    starts = F.expr(f"flatten(array({', '.join(f"transform(sequence(0, least(before, {w - gram})), x -> named_struct('w', {w}, 'x', x))" for w in lengths)}))")
+    windows = distinct.select(*key, "n", "first", "context", F.explode(starts).alias("s")).where(F.length("context") - F.col("before") + F.col("s.x") >= F.col("s.w"))
+    windows = windows.select(*key, "n", "first", "s.w", "s.x", F.unhex(F.md5(F.expr("substring(context, before - s.x + 1, s.w)"))).alias("d"))
+    runs = windows.groupBy("h", "w", "x", "d").agg(F.sum("n").alias("total"), F.min("first").alias("least")).where("total > 1")
+    hits = windows.join(runs, ["h", "w", "x", "d"])
     edge = lambda cond: (F.min(F.when(cond, F.col("x"))), F.max(F.when(cond, F.col("x"))))
-    lead, rest = (F.lit(True), F.lit(True)) if keep == "none" else (F.col("first") > F.col("least"), F.col("n") > 1)
-    (a, b), (c, d) = edge(lead), edge(rest)
-    got = rows.join(hits.agg(a.alias("a"), b.alias("b"), c.alias("c"), d.alias("d")), "row").select("a", "b", "c", "d", F.posexplode("owners").alias("i", "o"))
-    low, high = (F.when(F.col("i") == 0, F.col(p)).otherwise(F.col(q)) for p, q in (("a", "c"), ("b", "d")))
-    return got.select("o.sha", (F.col("o.at") - high).cast("int").alias("start"), (F.col("o.at") + window - low).cast("int").alias("end")).where("start is not null")
+    lead, others = (F.lit(True), F.lit(True)) if keep == "none" else (F.col("first") > F.col("least"), F.col("n") > 1)
+    (a, b), (c, d) = edge(lead), edge(others)
+    found = hits.groupBy(*key, "w").agg(F.first("first").alias("first"), a.alias("a"), b.alias("b"), c.alias("c"), d.alias("d"))
+    got = rows.select(*key, F.explode("owners").alias("o")).join(found, key)
+    low, high = (F.when(F.col("o") == F.col("first"), F.col(p)).otherwise(F.col(q)) for p, q in (("a", "c"), ("b", "d")))
+    return got.select("o.sha", F.col("w").alias("length"), (F.col("o.at") - high).cast("int").alias("start"), (F.col("o.at") + F.col("w") - low).cast("int").alias("end")).where("start is not null")
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -261,50 +343,59 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, keep: str = "none", id_col: str = "doc_id", text_col: str = "text", with_kept: bool = False, group: int = GROUP) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for each row, and with_kept the bytes that are left."""
-    rows = settle(contents_of(docs, window, gram, id_col, text_col), "contents")
+def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, keep: str = "none", id_col: str = "doc_id", text_col: str = "text", with_kept: bool = False, group: int = GROUP, passage: int = PASSAGE) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_repeated for each row, and with_kept the bytes that are left.
+
+    n_repeated: bytes that strings of `passage` bytes (at most `window`) cover that also start elsewhere (keep="first": earlier).
+    """
+    passage = min(passage, window)
+    lengths = sorted({window, passage}, reverse=True)
+    rows = settle(contents_of(docs, passage, gram, id_col, text_col), "contents")
     contents = rows.groupBy("sha").agg(F.count("*").alias("copies"), F.min("doc_id").alias("doc"), F.first("hashes").alias("hashes"), F.first("places").alias("places"))
     anchors = settle(contents.where(F.size("hashes") > 0).select("sha", "doc", F.explode(F.arrays_zip("hashes", "places")).alias("a")).select("sha", "doc", F.col("a.hashes").alias("h"), F.col("a.places").alias("at")), "anchors")
     # A table of its own: a join of two exchanges, whose hot keys can be split at run time.
-    twice = settle(anchors.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "anchors-twice")
-    shared = anchors.join(twice, "h").groupBy("sha").agg(F.first("doc").alias("doc"), F.sort_array(F.collect_list(F.struct("at", "h"))).alias("anchors"))
+    twice = settle(anchors.groupBy("h").agg(F.count("*").alias("n")).where("n > 1"), "anchors-twice")
+    shared = anchors.join(twice, "h").groupBy("sha").agg(F.first("doc").alias("doc"), F.sort_array(F.collect_list(F.struct("at", "h", "n"))).alias("anchors"))
     texts = docs.select(F.col(id_col).cast("long").alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("sha", F.unhex(F.sha2("text", 256)))
     candidates = settle(texts.join(shared, "sha").where(F.col("_id").eqNullSafe(F.col("doc"))).select("sha", "doc", "text", "anchors"), "candidates")
-    found = settle(group_spans(contexts_of(candidates, window, gram), window, gram, keep, group), "spans")
-    spans = found.where("sha is not null").select("sha", "start", "end").unionByName(counted_spans(found.where("sha is null").select("h", "before", "context", "owners"), window, keep))
-    by_content = spans.distinct().groupBy("sha").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    found = settle(group_spans(contexts_of(candidates, window, gram, group), lengths, gram, keep, group), "spans")
+    spans = found.where("sha is not null").select("sha", "length", "start", "end").unionByName(counted_spans(found.where("sha is null").select("h", "before", "context", "owners"), lengths, gram, keep))
+    by_content = spans.groupBy("sha").agg(F.collect_list(F.struct("length", "start", "end")).alias("spans"))
 
     def apply(batches):
         for batch in batches:
-            texts, removed, n, kept = text_column(batch, "text"), [], [], []
+            texts, removed, n, repeated, kept = text_column(batch, "text"), [], [], [], []
             for i in range(batch.num_rows):
                 text, found = texts[i].as_buffer().to_pybytes(), batch.column("spans")[i].values
-                runs = merged(list(zip(found.field("start").to_pylist(), found.field("end").to_pylist(), strict=True)))
+                rows = list(zip(*(found.field(k).to_pylist() for k in ("length", "start", "end")), strict=True))
+                runs, short = (merged([(a, b) for w, a, b in rows if w == length]) for length in (window, passage))
                 edges = [0, *(e for r in runs for e in r), len(text)]
                 kept.append(b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)))
                 removed.append(len(text) - len(kept[-1]))
                 n.append(len(runs))
+                repeated.append(sum(b - a for a, b in short))
             digests = [hashlib.sha256(k).hexdigest() for k in kept]
-            yield record_batch(APPLIED, batch.column("sha"), removed, n, digests, kept if with_kept else [None] * len(kept))
+            yield record_batch(APPLIED, batch.column("sha"), removed, n, repeated, digests, kept if with_kept else [None] * len(kept))
 
     once = candidates.join(by_content, "sha").select("sha", "text", "spans")
-    applied = once.mapInArrow(apply, "sha binary, n_removed long, n_spans long, kept_sha256 string, kept binary").dropDuplicates(["sha"])
+    applied = once.mapInArrow(apply, "sha binary, n_removed long, n_spans long, n_repeated long, kept_sha256 string, kept binary").dropDuplicates(["sha"])
     copied = contents.select("sha", "copies", "doc")
     out = rows.select("doc_id", "n_bytes", "sha").join(copied, "sha").join(applied, "sha", "left")
-    gone = (F.col("copies") > 1) & (F.col("n_bytes") >= window)
+    copy = F.col("copies") > 1
     if keep == "first":
-        gone &= ~F.col("doc_id").eqNullSafe(F.col("doc"))
-    out = out.select(
+        copy &= ~F.col("doc_id").eqNullSafe(F.col("doc"))
+    gone = copy & (F.col("n_bytes") >= window)
+    return out.select(
         "doc_id",
         "n_bytes",
         F.when(gone, F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long").alias("n_removed"),
         F.when(gone, 1).otherwise(F.coalesce("n_spans", F.lit(0))).cast("long").alias("n_spans"),
         F.when(gone, F.lit(hashlib.sha256().hexdigest())).otherwise(F.coalesce("kept_sha256", F.lower(F.hex("sha")))).alias("kept_sha256"),
+        F.when(copy & (F.col("n_bytes") >= passage), F.col("n_bytes")).otherwise(F.coalesce("n_repeated", F.lit(0))).cast("long").alias("n_repeated"),
         *([F.when(gone, F.lit(b"")).otherwise(F.col("kept")).alias("kept")] if with_kept else []),
     )
-    return out
 
 
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return remove_repeats(read_table(spark, sf_dir, "documents"))
+    """The bytes that repeated 400-byte strings cover are removed; has_passage says whether a shorter one repeats as well."""
+    return remove_repeats(read_table(spark, sf_dir, "documents")).withColumn("has_passage", F.col("n_repeated") > 0)

@@ -88,10 +88,23 @@ def test_repeated_strings(spark, keep, group):
     texts = [word(80) + shared + word(50), shared[10:100], other + word(20) + other, "", None, word(20), shared[40:] + other, "ab" * 100, "x" * 90, word(300), other * 3]
     texts += [texts[0], texts[8], shared[:70] + "!" + shared[71:]]
     docs = docs_of(spark, texts)
-    want = plain_removal([(i, (t or "").encode()) for i, t in enumerate(texts)], 40, keep)
-    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.remove_repeats(docs, 40, 16, keep, group=group).collect()}
-    assert got == want
-    assert suffix_dedup.remove_repeats(docs.limit(0), 40, 16).count() == 0
+    raw = [(i, (t or "").encode()) for i, t in enumerate(texts)]
+    want, short = (plain_removal(raw, n, keep) for n in (40, 24))
+    rows = suffix_dedup.remove_repeats(docs, 40, 16, keep, group=group, passage=24).collect()
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in rows} == want
+    assert {r.doc_id: r.n_repeated for r in rows} == {i: x[1] for i, x in short.items()}
+    assert suffix_dedup.remove_repeats(docs.limit(0), 40, 16, passage=24).count() == 0
+
+
+def test_repeated_strings_of_long_texts_repeated_rows_and_clashing_names(spark):
+    rng = random.Random(15)
+    long = "".join(rng.choices("abcdefgh ", k=(1 << 20) + 9000))
+    texts = [long, "start " + long[(1 << 20) - 300 : (1 << 20) + 700] + " end", long[:450] + "." + long[5000:5300], "short", "short", "\0" * 500]
+    rows = [(i, t, "h", 7, "x") for i, t in enumerate(texts)] + [(1, texts[1], "h", 8, "y")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, h string, n_bytes int, sha string")
+    got = sorted((r.doc_id, r.n_removed, r.n_spans, r.n_repeated) for r in suffix_dedup.remove_repeats(docs, with_kept=True).collect())
+    n = len(texts[1])
+    assert got == [(0, 1450, 2, 1750), (1, n, 1, n), (1, n, 1, n), (2, 450, 1, 750), (3, 0, 0, 0), (4, 0, 0, 0), (5, 500, 1, 500)]
 
 
 def test_language_costs_are_exact_and_held_out_texts_are_right(spark):
