@@ -188,6 +188,11 @@ def test_decontamination_finds_quotes_and_paraphrases(spark):
     got = sorted((r.doc_id, r.item_id) for r in decontaminate.contaminated(docs, decontaminate.fit(docs, bench)).collect())
     assert got == [(60, 0), (61, 1), (62, 2), (63, 5), (64, 3)]
     assert decontaminate.contaminated(docs, decontaminate.fit(docs, bench.limit(0))).count() == 0
+    parts = decontaminate.fit(docs, bench, part_bytes=300)
+    assert len(parts) > 3 and sorted((r.doc_id, r.item_id) for r in decontaminate.contaminated(docs, parts).collect()) == got
+    assert sorted(r.doc_id for r in decontaminate.clean(docs, parts).collect()) == [i for i in range(len(texts)) if i not in dict(got)]
+    odd = spark.createDataFrame([(None, texts[60], 1), (7, texts[61], 2), (7, texts[61], 3), (8, prose(150_000) + " " + items[4] + " " + prose(150_000), 4)], "doc_id long, text string, item_id int")
+    assert sorted((r.doc_id or 0, r.item_id) for r in decontaminate.contaminated(odd, parts[:1] + parts[1:]).collect()) == [(0, 0), (7, 1), (7, 1), (8, 4)]
     assert decontaminate.contaminated(docs.limit(0), decontaminate.fit(docs.limit(0), bench)).count() == 0
 
 
