@@ -3,7 +3,9 @@
 The model file is read as the protobuf that it is (only the fields that matter), and a tokenizers pipeline is rebuilt from
 it: the normaliser (compiled character map, extra white space, dummy prefix), the metaspace marker, the model (unigram
 scores, or for BPE models the merges that the scores imply) and byte fallback. Batches are encoded and decoded by the
-library's own threads. Every text (or a share, by a hash of the text, where asked for) is encoded by the sentencepiece
+library's own threads. Where the normaliser only writes the marker for a space and no piece has a marker behind another
+sign, no piece crosses from a word to the space after it; texts are then cut there, as the library's metaspace splitting
+does, and each distinct piece of text is encoded and decoded once and looked up from then on. Every text (or a share, by a hash of the text, where asked for) is encoded by the sentencepiece
 library as well, and a difference fails the task; the decoded text of every row is compared with the text that went in.
 
 Defined cases: null text is empty, no ids; control pieces written out in a text are ordinary text, as in the original
@@ -14,8 +16,10 @@ from __future__ import annotations
 
 import hashlib
 import os
+import re
 import struct
 from functools import cached_property
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +35,10 @@ MARK = "▁"
 #: One text in so many is encoded by the sentencepiece library, too: all of them.
 VERIFY_ONE_IN = 1
 THREADS = 2
+#: A stretch of text is spaces and what follows them up to the next. What is remembered is given up beyond so many tokens,
+#: and after a batch with so many characters in longer stretches.
+STRETCH, REMEMBERED = 64, 1 << 22
+CUT = re.compile(" *[^ ]+| +$")
 OUT = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("decodes", pa.bool_()), ("ids", pa.list_(pa.int32()))])
 
 
@@ -106,21 +114,49 @@ def build_tokenizer(model: dict) -> Tokenizer:
     return tokenizer
 
 
+class Stretches:
+    """Ids of stretches of text, flat: number, start and size of each, and whether they decode to it."""
+
+    def __init__(self):
+        self.number: dict[str, int] = {}
+        self.ids, self.size, self.exact = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, bool)
+        self.start = np.zeros(1, np.int64)
+
+    def add(self, new: list[str], ids: list[list[int]], exact: list[bool]) -> None:
+        self.number |= zip(new, range(len(self.number), len(self.number) + len(new)), strict=True)
+        self.size = np.concatenate([self.size, np.fromiter(map(len, ids), np.int64, len(ids))])
+        self.start = np.concatenate([[0], np.cumsum(self.size)])
+        self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(ids), np.int32, int(self.start[-1]) - len(self.ids))])
+        self.exact = np.concatenate([self.exact, np.array(exact, bool)])
+
+
 class Codec:
     """The rebuilt pipeline, made once per worker, and the original library for verification."""
 
     def __init__(self, data: bytes, verify_one_in: int = VERIFY_ONE_IN, threads: int = THREADS):
         self.data, self.verify_one_in, self.threads = data, verify_one_in, threads
-        self.spec = build_tokenizer(parse_model(data)).to_str()
+        model = parse_model(data)
+        self.spec = build_tokenizer(model).to_str()
+        usable = [p for p, _, kind in model["pieces"] if kind in (NORMAL, USER_DEFINED)]
+        plain = not model["charsmap"] and not model["extra_spaces"] and model["dummy_prefix"]
+        #: The pipeline for stretches, without the marker that is put before a text.
+        self.cut_spec = build_tokenizer(model | {"dummy_prefix": False}).to_str() if plain and MARK in usable and not any(MARK in p.lstrip(MARK) for p in usable) else None
 
     def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k not in ("tokenizer", "original")}
+        return {k: v for k, v in self.__dict__.items() if k not in ("tokenizer", "cut_tokenizer", "original", "known")}
 
-    @cached_property
-    def tokenizer(self) -> Tokenizer:
+    def library(self, spec: str) -> Tokenizer:
         os.environ["TOKENIZERS_PARALLELISM"] = "true"
         os.environ.setdefault("RAYON_NUM_THREADS", str(self.threads))
-        return Tokenizer.from_str(self.spec)
+        return Tokenizer.from_str(spec)
+
+    @cached_property
+    def tokenizer(self) -> Tokenizer:
+        return self.library(self.spec)
+
+    @cached_property
+    def cut_tokenizer(self) -> Tokenizer:
+        return self.library(self.cut_spec)
 
     @cached_property
     def original(self):
@@ -128,14 +164,46 @@ class Codec:
 
         return sentencepiece.SentencePieceProcessor(model_proto=self.data)
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    @cached_property
+    def known(self) -> Stretches:
+        return Stretches()
+
+    def coded(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of all texts, flat, the first place of each text's ids and one more, and whether each text's ids decode to it."""
+        if self.cut_spec is None:
+            ids = self.library_ids(self.tokenizer, texts)
+            sizes, flat = np.fromiter(map(len, ids), np.int64, len(ids)), np.fromiter(chain.from_iterable(ids), np.int32)
+            exact = np.array([x == y for x, y in zip(self.decode(ids), texts, strict=True)], bool)
+        else:
+            stretches = [CUT.findall(" " + t) if t else [] for t in texts]
+            known = self.known
+            if new := list(dict.fromkeys(s for s in chain.from_iterable(stretches) if s not in known.number)):
+                ids = self.library_ids(self.cut_tokenizer, new)
+                known.add(new, ids, [x == y for x, y in zip(self.cut_tokenizer.decode_batch(ids, skip_special_tokens=False), new, strict=True)])
+            at = np.fromiter(map(known.number.__getitem__, chain.from_iterable(stretches)), np.int64)
+            cuts = np.concatenate([[0], np.cumsum(np.fromiter(map(len, stretches), np.int64, len(texts)))])
+            size = known.size[at]
+            ends = np.concatenate([[0], np.cumsum(size)])
+            flat = known.ids[np.repeat(known.start[at] - ends[:-1], size) + np.arange(ends[-1])]
+            sizes, wrong = np.diff(ends[cuts]), np.concatenate([[0], np.cumsum(~known.exact[at])])
+            exact = np.diff(wrong[cuts]) == 0
+            if len(known.ids) > REMEMBERED or sum(len(s) for s in new if len(s) > STRETCH) > REMEMBERED:
+                del self.known
+        starts = np.concatenate([[0], np.cumsum(sizes)])
         if self.verify_one_in:
-            some = [i for i, t in enumerate(texts) if hashlib.blake2b(t.encode("utf-8"), digest_size=4).digest()[0] % self.verify_one_in == 0]
+            some = [i for i, t in enumerate(texts) if self.verify_one_in == 1 or hashlib.blake2b(t.encode("utf-8"), digest_size=4).digest()[0] % self.verify_one_in == 0]
             for i, want in zip(some, self.original.encode([texts[i] for i in some], num_threads=1), strict=True):
-                if found[i] != want:
+                if not np.array_equal(flat[starts[i] : starts[i + 1]], want):
                     raise ValueError(f"not the ids of the sentencepiece library for a text of {len(texts[i])} characters")
-        return found
+        return flat, starts, exact
+
+    @staticmethod
+    def library_ids(tokenizer: Tokenizer, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def encode(self, texts: list[str]) -> list[list[int]]:
+        flat, starts, _ = self.coded(texts)
+        return [flat[a:b].tolist() for a, b in zip(starts[:-1], starts[1:], strict=True)]
 
     def decode(self, ids: list[list[int]]) -> list[str]:
         return self.tokenizer.decode_batch(ids, skip_special_tokens=False)
@@ -150,13 +218,8 @@ def encode(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col: s
         for batch in batches:
             texts = text_column(batch, "text")
             for a, b, _, _ in text_parts(texts):
-                part = texts.slice(a, b - a).to_pylist()
-                ids = shared.value.encode(part)
-                back = shared.value.decode(ids)
-                size = np.fromiter(map(len, ids), np.int64, len(ids))
-                flat = np.fromiter((x for i in ids for x in i), np.int32, int(size.sum()))
-                lists = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(size)]).astype(np.int32), flat)
-                yield record_batch(OUT, batch.column("doc_id").slice(a, b - a), size, [x == y for x, y in zip(back, part, strict=True)], lists)
+                flat, starts, exact = shared.value.coded(texts.slice(a, b - a).to_pylist())
+                yield record_batch(OUT, batch.column("doc_id").slice(a, b - a), np.diff(starts), exact, pa.ListArray.from_arrays(starts.astype(np.int32), flat))
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, n_tokens long, decodes boolean, ids array<int>")
 
