@@ -8,7 +8,9 @@ says which bundles count, so a task that is run again leaves no half-written dat
 
 Of records with equal payloads of at least `least` bytes, that with the smallest page_id is a response with the payload;
 the others are revisits that refer to it (identical-payload-digest) and hold only the HTTP header, whose Content-Length is
-that of the full payload. First pages are found on digests alone, by a partial and final minimum.
+that of the full payload. First pages are found on digests alone, by a partial and final minimum, and who refers to whom is
+settled on ids and digests; only then are the payloads joined to that, by id, so that copies of one payload never meet.
+Archives are read back by frames, in as many tasks as their bytes ask for.
 
 Defined cases: null html is an empty payload; a null url gives no target URI; rows that repeat the first page_id are all
 responses; a null page_id is never referred to, and is a response unless another page has the payload; line ends in urls
@@ -31,6 +33,8 @@ from pyspark.sql import functions as F
 from .common import read_table, record_batch, settle, shared_dir
 
 FRAME_BYTES, BUNDLE_BYTES, LEVEL = 1 << 19, 64 << 20, 3
+#: Compressed bytes of frames that a task reads back, about.
+READ_BYTES = 4 << 20
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
 URN, PROFILE = "urn:page:", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 INDEX = "page_id long, record_id string, bundle string, frame int, frame_start long, frame_bytes long, at long, length long"
@@ -138,8 +142,10 @@ def write_archives(pages: DataFrame, folder: str | None = None, least: int = 0,
     """Write bundles under `folder` (default: a new one in the shared folder) and return the settled index of their records."""
     folder = folder or f"{shared_dir(pages.sparkSession)}/warc-{uuid.uuid4().hex}"
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col), F.lit("")).cast("binary").alias("payload")).withColumn("digest", base32_sha1(F.col("payload")))
-    firsts = rows.where(F.length("payload") >= least).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
-    typed = rows.join(firsts, "digest", "left").select("page_id", "url", "payload", "digest", F.when((F.length("payload") >= least) & ~F.col("page_id").eqNullSafe(F.col("first")), F.col("first")).alias("refers_to"))
+    ids = rows.where(F.length("payload") >= least).select("page_id", "digest")
+    firsts = ids.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1 AND first IS NOT NULL").select("digest", "first")
+    revisits = ids.distinct().join(firsts, "digest").where(~F.col("page_id").eqNullSafe(F.col("first"))).select(F.col("page_id").alias("_page"), F.col("digest").alias("_digest"), F.col("first").alias("refers_to"))
+    typed = rows.join(revisits, F.col("page_id").eqNullSafe(F.col("_page")) & (F.col("digest") == F.col("_digest")), "left").select("page_id", "url", "payload", "digest", "refers_to")
 
     def write(batches):
         bundle, held, plain = None, [], bytearray()
@@ -201,8 +207,9 @@ def read_archives(bundles: DataFrame) -> DataFrame:
                     rows.append((page_number(fields["warc-record-id"]), size, digest, kind, page_number(refers) if refers else None))
                 yield record_batch(RECORD_SCHEMA, *(list(c) for c in zip(*rows, strict=True)))
 
-    listed = bundles.select("bundle").distinct().mapInArrow(frames, "bundle string, start long, size long")
-    return listed.repartition("bundle", "start").mapInArrow(records, RECORDS)
+    listed = settle(bundles.select("bundle").distinct().mapInArrow(frames, "bundle string, start long, size long"), "warc-frames")
+    total = listed.agg(F.sum("size")).first()[0] or 0
+    return listed.repartition(max(1, -(-total // READ_BYTES)), "bundle", "start").mapInArrow(records, RECORDS)
 
 
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
