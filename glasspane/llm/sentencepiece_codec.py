@@ -35,10 +35,10 @@ MARK = "▁"
 #: One text in so many is encoded by the sentencepiece library, too: all of them.
 VERIFY_ONE_IN = 1
 THREADS = 2
-#: A stretch of text is spaces and what follows them up to the next. What is remembered is given up beyond so many tokens,
+#: A stretch of text is spaces (or markers) and what follows them up to the next. What is remembered is given up beyond so many tokens,
 #: and after a batch with so many characters in longer stretches.
 STRETCH, REMEMBERED = 64, 1 << 22
-CUT = re.compile(" *[^ ]+| +$")
+CUT = re.compile(f"[ {MARK}]*[^ {MARK}]+|[ {MARK}]+$")
 OUT = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("decodes", pa.bool_()), ("ids", pa.list_(pa.int32()))])
 
 
