@@ -5,23 +5,23 @@ earlier, in order of (document, position), so that the first copy stays (keep="f
 
 One suffix array over a corpus fits no machine, so the suffixes are dealt out first. Of the k-grams in a window the one of
 least hash is its anchor; equal windows have equal anchors at the same place. Only anchors whose hash occurs twice matter.
-Around each, the bytes that windows with this anchor can hold are sent to the anchor's group. There two suffix orders are
+The bytes of the windows that have an anchor, its context, are sent to the anchor's group. There two suffix orders are
 made, of what follows the anchors and of what precedes them (read backwards), with the LCP of neighbours. The suffixes
 that start x bytes before an anchor and share those x bytes are an interval of the second order, so their own suffix order
 is that interval in the first order. In it the nearest suffixes with a smaller text position on either side, and the least
 LCP on the way to them, give the longest previous factor of each suffix; the nearest with a greater position give the
 longest next one. The intervals change only at the distinct LCPs of the second order, so each group is worked through once
-for each of these. A suffix whose factor has `window` bytes or more is repeated. All windows that hold an anchor overlap in
+for each of these. A suffix whose factor has `window` bytes or more is repeated. All windows that have an anchor overlap in
 it, so the bytes to remove around one anchor are one interval, from the farthest start to the farthest end.
 
 A second, shorter length (`passage`) is reported but not removed: how many bytes of a text strings of that length cover
-that also start elsewhere (with keep="first": earlier). Anchors are chosen for the shorter length; longer windows hold one
-of them, too.
+that also start elsewhere (with keep="first": earlier). The anchors of the longer windows are among those of the shorter.
 
 Exact copies are one content throughout (by SHA-256), whatever their number. The contexts of a batch are collapsed before
-the shuffle. An anchor that occurs more than `GROUP` times is counted as such before anything is dealt out; its contexts
-are spread by their content, equal ones become one, and their windows are counted by digests in a partial and final
-aggregation instead of being put in suffix order, which gives the same intervals.
+the shuffle. An anchor that occurs more than `GROUP` times is counted as such before anything is dealt out, and its
+contexts are spread by their content (`spread_spans`): equal ones become one row; one global suffix order of what follows
+the anchors and one of what precedes them, split by ranges, give by their LCPs how far a context can agree with any other;
+the windows within that are counted by digest in a partial and final aggregation instead of group by group.
 
 Defined cases: null text is empty; texts shorter than the window keep all bytes; rows with equal text get equal results
 (with keep="first" the row with the smallest id keeps its text); an empty table gives an empty result; only the id and text
@@ -44,11 +44,13 @@ WINDOW, PASSAGE, GRAM, GROUP = 400, 256, 128, 1500
 MULTIPLIER = 0x9E3779B97F4A7C55
 BASE, BACK = np.uint64(MULTIPLIER), np.uint64(pow(MULTIPLIER, -1, 1 << 64))
 LOW = np.uint64(PART_BYTES - 1)
-CONTENT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("sha", pa.binary()), ("hashes", pa.list_(pa.int64())), ("places", pa.list_(pa.int32()))])
+#: Bits of a distance in a packed row of distances.
+BITS = 15
+CONTENT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("sha", pa.binary()), ("hashes", pa.list_(pa.int64())), ("places", pa.list_(pa.int32())), ("reaches", pa.list_(pa.int64()))])
 OWNER = pa.struct([("sha", pa.binary()), ("doc", pa.int64()), ("at", pa.int32())])
-CONTEXT = pa.schema([("h", pa.int64()), ("hot", pa.bool_()), ("before", pa.int32()), ("context", pa.binary()), ("owners", pa.list_(OWNER))])
+CONTEXT = pa.schema([("h", pa.int64()), ("hot", pa.bool_()), ("reach", pa.int64()), ("before", pa.int32()), ("context", pa.binary()), ("owners", pa.list_(OWNER))])
 OWNERS = "array<struct<sha: binary, doc: long, at: int>>"
-SPAN = pa.schema([("sha", pa.binary()), ("length", pa.int32()), ("start", pa.int32()), ("end", pa.int32()), ("h", pa.int64()), ("before", pa.int32()), ("context", pa.binary()), ("owners", pa.list_(OWNER))])
+SPAN = pa.schema([("sha", pa.binary()), ("length", pa.int32()), ("start", pa.int32()), ("end", pa.int32()), ("h", pa.int64()), ("reach", pa.int64()), ("before", pa.int32()), ("context", pa.binary()), ("owners", pa.list_(OWNER))])
 APPLIED = pa.schema([("sha", pa.binary()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("n_repeated", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.binary())])
 
 
@@ -56,78 +58,120 @@ def powers(n: int, base: np.uint64) -> np.ndarray:
     return np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(n, base)]))
 
 
+def packed(ranges: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """One number of the least and greatest distances of each of at most two lengths."""
+    out = np.zeros(len(ranges[0][0]), np.int64)
+    for low, high in ranges:
+        out = (out << BITS | low) << BITS | high
+    return out
+
+
+def unpacked(reach: np.ndarray, n: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    mask = (1 << BITS) - 1
+    return [(reach >> BITS * (2 * (n - k) - 1) & mask, reach >> BITS * (2 * (n - k) - 2) & mask) for k in range(n)]
+
+
 class Anchors:
-    """Positions and hashes of the least k-gram of each window of a text."""
+    """The least k-gram of each window of a text, for one or two lengths of windows, the longest first."""
 
-    def __init__(self, window: int = WINDOW, gram: int = GRAM):
-        self.window, self.gram, self.up, self.down = window, gram, powers(PART_BYTES, BASE), powers(PART_BYTES, BACK)
+    def __init__(self, lengths: list[int], gram: int = GRAM):
+        self.lengths, self.gram, self.up, self.down = lengths, gram, powers(PART_BYTES, BASE), powers(PART_BYTES, BACK)
 
     def __getstate__(self):
-        return {"window": self.window, "gram": self.gram}
+        return {"lengths": self.lengths, "gram": self.gram}
 
     def __setstate__(self, state):
         self.__init__(**state)
 
-    def piece(self, data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """data: at most PART_BYTES bytes; ends: for each byte the end of its text."""
+    def piece(self, data: np.ndarray, ends: np.ndarray, starts: int) -> tuple[np.ndarray, np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+        """data: at most PART_BYTES bytes; ends: for each byte the end of its text; starts: windows that start before this count.
+
+        Positions and hashes of anchors, and for each length the least and greatest distance to the start of a window that
+        has this anchor (1 and 0 where none has).
+        """
         n, k = len(data), self.gram
         total = np.concatenate([[np.uint64(0)], np.add.accumulate((data.astype(np.uint64) + np.uint64(1)) * self.up[:n])])
         h = (total[k:] - total[:-k]) * self.down[: n - k + 1]
         h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
         h ^= h >> np.uint64(29)
-        span = self.window - k + 1
         # Of equal hashes the rightmost is least.
         key = (h & ~LOW) | (LOW - np.arange(len(h), dtype=np.uint64))
-        rows = -(-len(key) // span)
-        grid = np.full(rows * span, np.uint64(0xFFFFFFFFFFFFFFFF))
-        grid[: len(key)] = key
-        grid = grid.reshape(rows, span)
-        ahead = np.minimum.accumulate(grid, axis=1).ravel()
-        behind = np.minimum.accumulate(grid[:, ::-1], axis=1)[:, ::-1].ravel()
-        start = np.flatnonzero(ends[: n - self.window + 1] - np.arange(n - self.window + 1) >= self.window)
-        at = (LOW - (np.minimum(behind[start], ahead[start + span - 1]) & LOW)).astype(np.int64)
-        at = at[np.append(True, at[1:] != at[:-1])] if len(at) else at
-        return at, h[at].view(np.int64)
-
-    def __call__(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Over texts one after the other: positions in data and hashes; in order, no position twice."""
+        found = []
+        for window in self.lengths:
+            span = window - k + 1
+            rows = -(-len(key) // span)
+            grid = np.full(rows * span, np.uint64(0xFFFFFFFFFFFFFFFF))
+            grid[: len(key)] = key
+            grid = grid.reshape(rows, span)
+            ahead = np.minimum.accumulate(grid, axis=1).ravel()
+            behind = np.minimum.accumulate(grid[:, ::-1], axis=1)[:, ::-1].ravel()
+            last = max(0, min(starts, n - window + 1))
+            start = np.flatnonzero(ends[:last] - np.arange(last) >= window)
+            at = (LOW - (np.minimum(behind[start], ahead[start + span - 1]) & LOW)).astype(np.int64)
+            new = np.flatnonzero(np.append(True, at[1:] != at[:-1])[: len(at)])
+            found.append((at[new], at[new] - start[np.append(new[1:], len(at))[: len(new)] - 1], at[new] - start[new]))
+        at, ranges = found[-1][0], []
+        for own, low, high in found:
+            a, b = np.ones(len(at), np.int64), np.zeros(len(at), np.int64)
+            place = np.searchsorted(at, own)
+            # Windows of a longer kind that end beyond this piece's starts can have an anchor that none of the shorter has here.
+            known = np.append(at, -1)[place] == own
+            a[place[known]], b[place[known]] = low[known], high[known]
+            if not known.all():
+                extra = own[~known]
+                at = np.insert(at, place[~known], extra)
+                a, b = np.insert(a, place[~known], low[~known]), np.insert(b, place[~known], high[~known])
+                ranges = [tuple(np.insert(v, place[~known], fill) for v, fill in zip(r, (1, 0), strict=True)) for r in ranges]
+            ranges.append((a, b))
+        return at, h[at].view(np.int64), ranges
+
+    def __call__(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Over texts one after the other: positions in data, hashes and packed distances; in order, no position twice."""
         ends = np.repeat(offsets[1:], np.diff(offsets))
-        found, step = [], PART_BYTES - self.window + 1
-        for a in range(0, max(1, len(data) - self.window + 1), step):
-            if len(data) - a >= self.window:
-                at, h = self.piece(data[a : a + PART_BYTES], ends[a : a + PART_BYTES] - a)
-                found.append((at + a, h))
+        found, most, least = [], max(self.lengths), min(self.lengths)
+        step = PART_BYTES - most + 1
+        for a in range(0, max(1, len(data) - least + 1), step):
+            if len(data) - a >= least:
+                at, h, ranges = self.piece(data[a : a + PART_BYTES], ends[a : a + PART_BYTES] - a, step)
+                found.append((at + a, h, *(v for r in ranges for v in r)))
         if not found:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        at, h = (np.concatenate(x) for x in zip(*found, strict=True))
-        at, first = np.unique(at, return_index=True)
-        return at, h[first]
-
-
-def contents_of(docs: DataFrame, window: int, gram: int, id_col: str, text_col: str) -> DataFrame:
-    """One row per document: doc_id, n_bytes, sha, hashes and places of its anchors."""
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        at, h, *edges = (np.concatenate(x) for x in zip(*found, strict=True))
+        at, first, inverse = np.unique(at, return_index=True, return_inverse=True)
+        ranges = []
+        for low, high in zip(edges[::2], edges[1::2], strict=True):
+            none = low > high
+            a, b = np.full(len(at), 1 << 30), np.full(len(at), -1)
+            np.minimum.at(a, inverse[~none], low[~none])
+            np.maximum.at(b, inverse[~none], high[~none])
+            ranges.append((np.where(b < 0, 1, a), np.where(b < 0, 0, b)))
+        return at, h[first], packed(ranges)
+
+
+def contents_of(docs: DataFrame, lengths: list[int], gram: int, id_col: str, text_col: str) -> DataFrame:
+    """One row per document: doc_id, n_bytes, sha, hashes, places and reaches of its anchors."""
 
     def run(batches):
-        anchors = Anchors(window, gram)
+        anchors = Anchors(lengths, gram)
         for batch in batches:
             raw, off = utf8(text_column(batch, "text"))
             row = 0
             while row < batch.num_rows:
                 end = min(batch.num_rows, max(row + 1, int(np.searchsorted(off, off[row] + PART_BYTES, "right")) - 1))
                 data, offsets = raw[off[row] : off[end]], off[row : end + 1] - off[row]
-                at, h = anchors(data, offsets)
+                at, h, reach = anchors(data, offsets)
                 cuts = np.searchsorted(at, offsets).astype(np.int32)
                 places = at - np.repeat(offsets[:-1], np.diff(cuts))
                 sha = [hashlib.sha256(data[a:b]).digest() for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
-                yield record_batch(CONTENT, batch.column("doc_id").slice(row, end - row), np.diff(offsets), sha, pa.ListArray.from_arrays(cuts, pa.array(h)), pa.ListArray.from_arrays(cuts, pa.array(places, pa.int32())))
+                lists = [pa.ListArray.from_arrays(cuts, pa.array(v)) for v in (h, places.astype(np.int32), reach)]
+                yield record_batch(CONTENT, batch.column("doc_id").slice(row, end - row), np.diff(offsets), sha, *lists)
                 row = end
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, n_bytes long, sha binary, hashes array<long>, places array<int>")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, n_bytes long, sha binary, hashes array<long>, places array<int>, reaches array<long>")
 
 
-def contexts_of(candidates: DataFrame, window: int, gram: int, group: int) -> DataFrame:
-    """From (sha, doc, text, anchors): what windows around each anchor hold; equal contexts of a batch are one row."""
-    reach = window - gram
+def contexts_of(candidates: DataFrame, lengths: list[int], group: int) -> DataFrame:
+    """From (sha, doc, text, anchors): the bytes of the windows of each anchor; equal contexts of a batch are one row."""
 
     def rows(seen: dict) -> pa.RecordBatch:
         return record_batch(CONTEXT, *(list(c) for c in zip(*seen, strict=True)), list(seen.values()))
@@ -135,14 +179,17 @@ def contexts_of(candidates: DataFrame, window: int, gram: int, group: int) -> Da
     def run(batches):
         for batch in batches:
             shas, docs, anchors = batch.column("sha").to_pylist(), batch.column("doc").to_pylist(), batch.column("anchors")
-            seen: dict[tuple[int, bool, int, bytes], list] = {}
+            seen: dict[tuple, list] = {}
             texts, size = text_column(batch, "text"), 0
             for i in range(batch.num_rows):
                 text, found = texts[i].as_buffer().to_pybytes(), anchors[i].values
-                for at, h, n in zip(*(found.field(k).to_pylist() for k in ("at", "h", "n")), strict=True):
-                    before = min(at, reach)
-                    context = text[at - before : at + window]
-                    owners = seen.setdefault((h, n > group, before, context), [])
+                reach = found.field("reach").to_numpy()
+                ranges = unpacked(reach, len(lengths))
+                before = np.max([high for _, high in ranges], axis=0).tolist()
+                after = np.max([np.where(low <= high, w - low, 0) for w, (low, high) in zip(lengths, ranges, strict=True)], axis=0).tolist()
+                for at, h, n, r, b, e in zip(*(found.field(k).to_pylist() for k in ("at", "h", "n")), reach.tolist(), before, after, strict=True):
+                    context = text[at - b : at + e]
+                    owners = seen.setdefault((h, n > group, r, b, context), [])
                     size += not owners and len(context)
                     owners.append({"sha": shas[i], "doc": docs[i], "at": at})
                 if size > 8 << 20:
@@ -151,7 +198,7 @@ def contexts_of(candidates: DataFrame, window: int, gram: int, group: int) -> Da
             if seen:
                 yield rows(seen)
 
-    return candidates.mapInArrow(run, f"h long, hot boolean, before int, context binary, owners {OWNERS}")
+    return candidates.mapInArrow(run, f"h long, hot boolean, reach long, before int, context binary, owners {OWNERS}")
 
 
 class SuffixOrder:
@@ -219,12 +266,12 @@ def factors(position: np.ndarray, lcp: np.ndarray) -> np.ndarray:
     return np.maximum(nearest(position, lcp), nearest(position[::-1], back)[::-1])
 
 
-def repeated_starts(group: np.ndarray, before: np.ndarray, data: np.ndarray, offsets: np.ndarray, weight: np.ndarray, position: np.ndarray, lengths: list[int], gram: int, keep: str) -> np.ndarray:
+def repeated_starts(group: np.ndarray, before: np.ndarray, reach: np.ndarray, data: np.ndarray, offsets: np.ndarray, weight: np.ndarray, position: np.ndarray, lengths: list[int], keep: str) -> np.ndarray:
     """[context, length, 4]: least and greatest distance before its anchor at which a factor of that length starts, for the
-    first owner of the context and for its other owners; -1 where there is none. position: rank of the first owner in text
-    order; weight: number of owners; data and offsets: the contexts' bytes.
+    first owner of the context and for its other owners; -1 where there is none. reach: where the anchor's windows start;
+    position: rank of the first owner in text order; weight: number of owners; data and offsets: the contexts' bytes.
     """
-    m, window = len(group), max(lengths)
+    m, window, ranges = len(group), max(lengths), unpacked(reach, len(lengths))
     size = np.diff(offsets)
     after = size - before
     out = np.full((m, len(lengths), 4), -1)
@@ -232,7 +279,7 @@ def repeated_starts(group: np.ndarray, before: np.ndarray, data: np.ndarray, off
     def note(of, column, x_from, x_to, factor):
         """Starts from x_from to x_to bytes before the anchors, of suffixes that share `factor` bytes from the anchor on."""
         for k, w in enumerate(lengths):
-            low, high = np.maximum(x_from, w - factor), np.minimum(x_to, w - gram)
+            low, high = np.maximum(np.maximum(x_from, w - factor), ranges[k][0][of]), np.minimum(x_to, ranges[k][1][of])
             ok = low <= high
             rows, low, high = of[ok], low[ok], high[ok]
             out[rows, k, column] = np.where(out[rows, k, column] < 0, low, np.minimum(out[rows, k, column], low))
@@ -243,7 +290,7 @@ def repeated_starts(group: np.ndarray, before: np.ndarray, data: np.ndarray, off
     if keep == "none":
         note(several, 0, 0 * several, before[several], after[several])
     right = SuffixOrder(group, data, offsets[:-1] + before, after, window, 1)
-    left = SuffixOrder(group, data, offsets[:-1] + before - 1, before, window - gram, -1)
+    left = SuffixOrder(group, data, offsets[:-1] + before - 1, before, int(before.max(initial=0)), -1)
     minima, least = right.least(), min(lengths)
     # The distinct LCPs of each group in the left order, in turn: depths at which its intervals are split.
     of_group = group[left.order]
@@ -273,9 +320,9 @@ def repeated_starts(group: np.ndarray, before: np.ndarray, data: np.ndarray, off
     return out
 
 
-def group_spans(contexts: DataFrame, lengths: list[int], gram: int, keep: str, group: int) -> DataFrame:
+def group_spans(contexts: DataFrame, lengths: list[int], keep: str, group: int) -> DataFrame:
     """Intervals (sha, length, start, end) of repeated bytes; the contexts of hot anchors come back as they are."""
-    rest = ["h", "before", "context", "owners"]
+    rest = ["h", "reach", "before", "context", "owners"]
     types = {f.name: f.type for f in SPAN}
 
     def returned(t: pa.Table) -> pa.RecordBatch:
@@ -300,7 +347,7 @@ def group_spans(contexts: DataFrame, lengths: list[int], gram: int, keep: str, g
             first = np.full(len(t), len(flat))
             np.minimum.at(first, of, rank)
             data, offsets = utf8(context)
-            x = repeated_starts(np.repeat(np.arange(len(bounds) - 1), np.diff(bounds)), t.column("before").to_numpy().astype(np.int64), data, offsets, weight, first, lengths, gram, keep)
+            x = repeated_starts(np.repeat(np.arange(len(bounds) - 1), np.diff(bounds)), t.column("before").to_numpy().astype(np.int64), t.column("reach").to_numpy(), data, offsets, weight, first, lengths, keep)
             lead = rank == first[of]
             for k, w in enumerate(lengths):
                 low, high = (np.where(lead, x[of, k, c], x[of, k, c + 2]) for c in (0, 1))
@@ -311,23 +358,74 @@ def group_spans(contexts: DataFrame, lengths: list[int], gram: int, keep: str, g
     # Hot contexts only pass through, so they are dealt by their content.
     salt = F.when(F.col("hot"), F.xxhash64("context")).otherwise(0)
     dealt = contexts.repartition("h", salt).sortWithinPartitions("hot", "h")
-    return dealt.mapInArrow(run, f"sha binary, length int, start int, end int, h long, before int, context binary, owners {OWNERS}")
+    return dealt.mapInArrow(run, f"sha binary, length int, start int, end int, h long, reach long, before int, context binary, owners {OWNERS}")
+
+
+def agreements(rows: DataFrame, backwards: bool) -> DataFrame:
+    """(row, extent): most bytes that what follows an anchor (or precedes it, read backwards) can share with another row of
+    the same anchor. rows: row, h, before, context. Neighbours in one global order by (h, bytes) tell; at the ends of a
+    partition, where there is no neighbour to ask, all bytes count.
+    """
+    schema = pa.schema([("row", pa.int64()), ("extent", pa.int32())])
 
+    def side(batches):
+        for batch in batches:
+            cut = [c[:b][::-1] if backwards else c[b:] for c, b in zip(batch.column("context").to_pylist(), batch.column("before").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("h"), pa.array(cut, pa.binary())], ["row", "h", "side"])
 
-def counted_spans(contexts: DataFrame, lengths: list[int], gram: int, keep: str) -> DataFrame:
-    """The same intervals for groups of any size: windows are counted by their digest, with partial aggregation."""
-    key, latest = ["h", "before", "same"], F.lit((1 << 63) - 1)
+    def compare(batches):
+        held = None
+        for batch in batches:
+            t = pa.Table.from_batches([batch])
+            first = held is None
+            t = t if first else pa.concat_tables([held, t]).combine_chunks()
+            data, offsets = utf8(t.column("side").combine_chunks())
+            size, h = np.diff(offsets), t.column("h").to_numpy()
+            shared = np.zeros(len(t) + 1, np.int64)
+            width = int(size.max(initial=0))
+            for i in range(0, len(t) - 1, 4096):
+                a = np.arange(i, min(i + 4096, len(t) - 1))
+                at = np.arange(width)
+                pick = lambda r: data[np.minimum(offsets[r][:, None] + at, max(0, len(data) - 1))]
+                differ = (pick(a) != pick(a + 1)) if len(data) else np.zeros((len(a), width), bool)
+                equal = np.where(differ.any(axis=1), differ.argmax(axis=1), width) if width else np.zeros(len(a), np.int64)
+                shared[a + 1] = np.where(h[a] == h[a + 1], np.minimum(equal, np.minimum(size[a], size[a + 1])), 0)
+            extent = np.maximum(shared[:-1], shared[1:])
+            if first:
+                extent[0] = size[0]
+            else:
+                extent[0] = max(extent[0], before)
+            # The last row waits for the next batch.
+            held, before = t.slice(len(t) - 1), extent[-1]
+            if len(t) > 1:
+                yield record_batch(schema, t.column("row").combine_chunks().slice(0, len(t) - 1), extent[:-1].astype(np.int32))
+        if held is not None:
+            yield record_batch(schema, held.column("row").combine_chunks(), [len(held.column("side")[0].as_py())])
+
+    sides = rows.select("row", "h", "before", "context").mapInArrow(side, "row long, h long, side binary")
+    return sides.repartitionByRange("h", "side", "row").sortWithinPartitions("h", "side").mapInArrow(compare, "row long, extent int")
+
+
+def spread_spans(contexts: DataFrame, lengths: list[int], keep: str) -> DataFrame:
+    """The same intervals for anchors of any number of contexts; no task holds a group."""
+    key, latest = ["h", "reach", "same"], F.lit((1 << 63) - 1)
     rows = contexts.withColumn("same", F.md5("context")).withColumn("owners", F.transform("owners", lambda o: F.struct(F.coalesce(o["doc"], latest).alias("doc"), o["at"].alias("at"), o["sha"].alias("sha"))))
-    distinct = settle(rows.groupBy(*key).agg(F.sum(F.size("owners")).alias("n"), F.min(F.array_min("owners")).alias("first"), F.first("context").alias("context")), "hot-contexts")
-    starts = F.expr(f"flatten(array({', '.join(f"transform(sequence(0, least(before, {w - gram})), x -> named_struct('w', {w}, 'x', x))" for w in lengths)}))")
-    windows = distinct.select(*key, "n", "first", "context", F.explode(starts).alias("s")).where(F.length("context") - F.col("before") + F.col("s.x") >= F.col("s.w"))
-    windows = windows.select(*key, "n", "first", "s.w", "s.x", F.unhex(F.md5(F.expr("substring(context, before - s.x + 1, s.w)"))).alias("d"))
-    runs = windows.groupBy("h", "w", "x", "d").agg(F.sum("n").alias("total"), F.min("first").alias("least")).where("total > 1")
-    hits = windows.join(runs, ["h", "w", "x", "d"])
+    distinct = rows.groupBy(*key).agg(F.sum(F.size("owners")).alias("n"), F.min(F.array_min("owners")).alias("first"), F.first("before").alias("before"), F.first("context").alias("context"))
+    distinct = settle(distinct.withColumn("row", F.monotonically_increasing_id()), "hot-contexts")
+    agreed = agreements(distinct, False).withColumnRenamed("extent", "right").join(agreements(distinct, True).withColumnRenamed("extent", "left"), "row")
+    # A context of one place is asked only for windows that it can share; one of several shares all its windows.
+    trimmed = distinct.join(agreed, "row").withColumns({"right": F.when(F.col("n") > 1, F.length("context") - F.col("before")).otherwise(F.col("right")), "left": F.when(F.col("n") > 1, F.col("before")).otherwise(F.col("left"))})
+    trimmed = settle(trimmed.where(F.col("left") + F.col("right") >= min(lengths)), "hot-trimmed")
+    low, high = ([f"(shiftright(reach, {BITS * (2 * (len(lengths) - k) - side)}) & {(1 << BITS) - 1})" for k in range(len(lengths))] for side in (1, 2))
+    runs_of = lambda k, w: f"transform(IF(greatest({low[k]}, {w} - right) <= least({high[k]}, left), sequence(greatest({low[k]}, {w} - right), least({high[k]}, left)), array()), x -> named_struct('w', {w}, 'x', int(x)))"
+    windows = trimmed.select("row", "h", "n", "first", "before", "context", F.explode(F.expr(f"concat({', '.join(runs_of(k, w) for k, w in enumerate(lengths))})")).alias("s"))
+    windows = windows.select("row", "n", "first", "s.w", "s.x", F.unhex(F.md5(F.expr("concat(substring(context, before - s.x + 1, s.w), CAST(concat_ws(',', h, s.x) AS BINARY))"))).alias("d"))
+    runs = windows.groupBy("d").agg(F.sum("n").alias("total"), F.min("first").alias("least")).where("total > 1")
+    hits = windows.join(runs, "d")
     edge = lambda cond: (F.min(F.when(cond, F.col("x"))), F.max(F.when(cond, F.col("x"))))
     lead, others = (F.lit(True), F.lit(True)) if keep == "none" else (F.col("first") > F.col("least"), F.col("n") > 1)
     (a, b), (c, d) = edge(lead), edge(others)
-    found = hits.groupBy(*key, "w").agg(F.first("first").alias("first"), a.alias("a"), b.alias("b"), c.alias("c"), d.alias("d"))
+    found = hits.groupBy("row", "w").agg(a.alias("a"), b.alias("b"), c.alias("c"), d.alias("d")).join(distinct.select("row", "first", *key), "row")
     got = rows.select(*key, F.explode("owners").alias("o")).join(found, key)
     low, high = (F.when(F.col("o") == F.col("first"), F.col(p)).otherwise(F.col(q)) for p, q in (("a", "c"), ("b", "d")))
     return got.select("o.sha", F.col("w").alias("length"), (F.col("o.at") - high).cast("int").alias("start"), (F.col("o.at") + F.col("w") - low).cast("int").alias("end")).where("start is not null")
@@ -350,16 +448,22 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, keep
     """
     passage = min(passage, window)
     lengths = sorted({window, passage}, reverse=True)
-    rows = settle(contents_of(docs, passage, gram, id_col, text_col), "contents")
-    contents = rows.groupBy("sha").agg(F.count("*").alias("copies"), F.min("doc_id").alias("doc"), F.first("hashes").alias("hashes"), F.first("places").alias("places"))
-    anchors = settle(contents.where(F.size("hashes") > 0).select("sha", "doc", F.explode(F.arrays_zip("hashes", "places")).alias("a")).select("sha", "doc", F.col("a.hashes").alias("h"), F.col("a.places").alias("at")), "anchors")
+    if not 0 < gram <= passage or window >> BITS:
+        raise ValueError(f"gram <= passage <= window < {1 << BITS} must hold")
+    rows = settle(contents_of(docs, lengths, gram, id_col, text_col), "contents")
+    contents = rows.groupBy("sha").agg(F.count("*").alias("copies"), F.min("doc_id").alias("doc"), *[F.first(c).alias(c) for c in ("hashes", "places", "reaches")])
+    anchors = contents.where(F.size("hashes") > 0).select("sha", "doc", F.explode(F.arrays_zip("hashes", "places", "reaches")).alias("a"))
+    anchors = settle(anchors.select("sha", "doc", F.col("a.hashes").alias("h"), F.col("a.places").alias("at"), F.col("a.reaches").alias("reach")), "anchors")
     # A table of its own: a join of two exchanges, whose hot keys can be split at run time.
     twice = settle(anchors.groupBy("h").agg(F.count("*").alias("n")).where("n > 1"), "anchors-twice")
-    shared = anchors.join(twice, "h").groupBy("sha").agg(F.first("doc").alias("doc"), F.sort_array(F.collect_list(F.struct("at", "h", "n"))).alias("anchors"))
+    shared = anchors.join(twice, "h").groupBy("sha").agg(F.first("doc").alias("doc"), F.sort_array(F.collect_list(F.struct("at", "h", "n", "reach"))).alias("anchors"))
     texts = docs.select(F.col(id_col).cast("long").alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("sha", F.unhex(F.sha2("text", 256)))
     candidates = settle(texts.join(shared, "sha").where(F.col("_id").eqNullSafe(F.col("doc"))).select("sha", "doc", "text", "anchors"), "candidates")
-    found = settle(group_spans(contexts_of(candidates, window, gram, group), lengths, gram, keep, group), "spans")
-    spans = found.where("sha is not null").select("sha", "length", "start", "end").unionByName(counted_spans(found.where("sha is null").select("h", "before", "context", "owners"), lengths, gram, keep))
+    found = settle(group_spans(contexts_of(candidates, lengths, group), lengths, keep, group), "spans")
+    spans = found.where("sha is not null").select("sha", "length", "start", "end")
+    hot = found.where("sha is null").select("h", "reach", "before", "context", "owners")
+    if not hot.isEmpty():
+        spans = spans.unionByName(spread_spans(hot, lengths, keep))
     by_content = spans.groupBy("sha").agg(F.collect_list(F.struct("length", "start", "end")).alias("spans"))
 
     def apply(batches):
