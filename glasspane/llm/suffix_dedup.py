@@ -21,7 +21,8 @@ Exact copies are one content throughout (by SHA-256), whatever their number. The
 the shuffle. An anchor that occurs more than `GROUP` times is counted as such before anything is dealt out, and its
 contexts are spread by their content (`spread_spans`): equal ones become one row; one global suffix order of what follows
 the anchors and one of what precedes them, split by ranges, give by their LCPs how far a context can agree with any other;
-the windows within that are counted by digest in a partial and final aggregation instead of group by group.
+the windows of the removed length within that are counted by digest in a partial and final aggregation instead of group by
+group, which gives the same intervals. The reported shorter length takes there what neighbours in the two orders share.
 
 Defined cases: null text is empty; texts shorter than the window keep all bytes; rows with equal text get equal results
 (with keep="first" the row with the smallest id keeps its text); an empty table gives an empty result; only the id and text
@@ -361,74 +362,95 @@ def group_spans(contexts: DataFrame, lengths: list[int], keep: str, group: int)
     return dealt.mapInArrow(run, f"sha binary, length int, start int, end int, h long, reach long, before int, context binary, owners {OWNERS}")
 
 
-def agreements(rows: DataFrame, backwards: bool) -> DataFrame:
-    """(row, extent): most bytes that what follows an anchor (or precedes it, read backwards) can share with another row of
-    the same anchor. rows: row, h, before, context. Neighbours in one global order by (h, bytes) tell; at the ends of a
-    partition, where there is no neighbour to ask, all bytes count.
+def shared_with_next(sides: pa.Array, h: np.ndarray) -> np.ndarray:
+    """LCP of each byte string with the next one of the same h."""
+    data, offsets = utf8(sides)
+    size, out = np.diff(offsets), np.zeros(max(0, len(sides) - 1), np.int64)
+    for i in range(0, len(out), 4096):
+        a = np.arange(i, min(i + 4096, len(out)))
+        at = np.arange(int(size[i : i + 4097].max()))
+        if len(at):
+            x, y = (data[np.minimum(offsets[r][:, None] + at, len(data) - 1)] for r in (a, a + 1))
+            differ = x != y
+            equal = np.where(differ.any(axis=1), differ.argmax(axis=1), len(at))
+            out[a] = np.where(h[a] == h[a + 1], np.minimum(equal, np.minimum(size[a], size[a + 1])), 0)
+    return out
+
+
+def agreements(rows: DataFrame, lengths: list[int], keep: str, backwards: bool) -> DataFrame:
+    """(row, extent, low, high) from one global order of what follows the anchors (or precedes them, read backwards).
+
+    extent: most bytes on that side that are shared with another row of the anchor; neighbours tell, and where there is
+    none to ask, at the ends of a partition, all bytes count. low, high: where factors of the shorter length start that are
+    shared with a neighbour (keep="first": an earlier one); low is null where there is none.
     """
-    schema = pa.schema([("row", pa.int64()), ("extent", pa.int32())])
+    schema = pa.schema([("row", pa.int64()), ("extent", pa.int32()), ("low", pa.int32()), ("high", pa.int32())])
+    far, w = 1 << BITS, min(lengths)
 
-    def side(batches):
+    def sides(batches):
         for batch in batches:
-            cut = [c[:b][::-1] if backwards else c[b:] for c, b in zip(batch.column("context").to_pylist(), batch.column("before").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("h"), pa.array(cut, pa.binary())], ["row", "h", "side"])
+            cut = [(c[:b][::-1], c[b:]) for c, b in zip(batch.column("context").to_pylist(), batch.column("before").to_pylist(), strict=True)]
+            head, tail = (pa.array([c[i] for c in cut], pa.binary()) for i in (0, 1))
+            first = batch.column("first")
+            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("h"), batch.column("reach"), first.field("doc"), first.field("at"), *((head, tail) if backwards else (tail, head))], ["row", "h", "reach", "doc", "at", "side", "other"])
 
     def compare(batches):
-        held = None
+        held, carried = None, (0, far, -1)
         for batch in batches:
-            t = pa.Table.from_batches([batch])
-            first = held is None
-            t = t if first else pa.concat_tables([held, t]).combine_chunks()
-            data, offsets = utf8(t.column("side").combine_chunks())
-            size, h = np.diff(offsets), t.column("h").to_numpy()
-            shared = np.zeros(len(t) + 1, np.int64)
-            width = int(size.max(initial=0))
-            for i in range(0, len(t) - 1, 4096):
-                a = np.arange(i, min(i + 4096, len(t) - 1))
-                at = np.arange(width)
-                pick = lambda r: data[np.minimum(offsets[r][:, None] + at, max(0, len(data) - 1))]
-                differ = (pick(a) != pick(a + 1)) if len(data) else np.zeros((len(a), width), bool)
-                equal = np.where(differ.any(axis=1), differ.argmax(axis=1), width) if width else np.zeros(len(a), np.int64)
-                shared[a + 1] = np.where(h[a] == h[a + 1], np.minimum(equal, np.minimum(size[a], size[a + 1])), 0)
-            extent = np.maximum(shared[:-1], shared[1:])
-            if first:
-                extent[0] = size[0]
-            else:
-                extent[0] = max(extent[0], before)
-            # The last row waits for the next batch.
-            held, before = t.slice(len(t) - 1), extent[-1]
+            t = pa.Table.from_batches([batch] if held is None else [held, batch]).combine_chunks()
+            h, doc, at = (t.column(c).to_numpy() for c in ("h", "doc", "at"))
+            along, other = (shared_with_next(t.column(c).combine_chunks(), h) for c in ("side", "other"))
+            left, right = (along, other) if backwards else (other, along)
+            later = (doc[1:] > doc[:-1]) | (doc[1:] == doc[:-1]) & (at[1:] > at[:-1])
+            least, most = unpacked(t.column("reach").to_numpy(), len(lengths))[-1]
+            extent, low, high = np.zeros(len(t), np.int64), np.full(len(t), far), np.full(len(t), -1)
+            extent[0], low[0], high[0] = (len(t.column("side")[0].as_py()), far, -1) if held is None else carried
+            for row, told in ((slice(1, None), later), (slice(None, -1), ~later)):
+                extent[row] = np.maximum(extent[row], along)
+                a, b = np.maximum(least[row], w - right), np.minimum(most[row], left)
+                ok = (a <= b) & (told | (keep == "none"))
+                low[row], high[row] = np.where(ok, np.minimum(low[row], a), low[row]), np.where(ok, np.maximum(high[row], b), high[row])
+            held, carried = t.slice(len(t) - 1).to_batches()[0], (extent[-1], low[-1], high[-1])
             if len(t) > 1:
-                yield record_batch(schema, t.column("row").combine_chunks().slice(0, len(t) - 1), extent[:-1].astype(np.int32))
+                yield record_batch(schema, t.column("row").combine_chunks().slice(0, len(t) - 1), extent[:-1], pa.array(low[:-1], pa.int32(), mask=low[:-1] == far), high[:-1])
         if held is not None:
-            yield record_batch(schema, held.column("row").combine_chunks(), [len(held.column("side")[0].as_py())])
+            yield record_batch(schema, held.column("row"), [len(held.column("side")[0].as_py())], [None if carried[1] == far else int(carried[1])], [int(carried[2])])
 
-    sides = rows.select("row", "h", "before", "context").mapInArrow(side, "row long, h long, side binary")
-    return sides.repartitionByRange("h", "side", "row").sortWithinPartitions("h", "side").mapInArrow(compare, "row long, extent int")
+    dealt = rows.select("row", "h", "reach", "first", "before", "context").mapInArrow(sides, "row long, h long, reach long, doc long, at int, side binary, other binary")
+    return dealt.repartitionByRange("h", "side", "other", "row").sortWithinPartitions("h", "side", "other").mapInArrow(compare, "row long, extent int, low int, high int")
 
 
 def spread_spans(contexts: DataFrame, lengths: list[int], keep: str) -> DataFrame:
-    """The same intervals for anchors of any number of contexts; no task holds a group."""
-    key, latest = ["h", "reach", "same"], F.lit((1 << 63) - 1)
+    """The intervals of anchors of any number of contexts; no task holds a group. Those of the shorter length are what
+    neighbours in the two orders share, which can be less than what all share; those of the longest are complete."""
+    key, latest, window = ["h", "reach", "same"], F.lit((1 << 63) - 1), lengths[0]
     rows = contexts.withColumn("same", F.md5("context")).withColumn("owners", F.transform("owners", lambda o: F.struct(F.coalesce(o["doc"], latest).alias("doc"), o["at"].alias("at"), o["sha"].alias("sha"))))
     distinct = rows.groupBy(*key).agg(F.sum(F.size("owners")).alias("n"), F.min(F.array_min("owners")).alias("first"), F.first("before").alias("before"), F.first("context").alias("context"))
     distinct = settle(distinct.withColumn("row", F.monotonically_increasing_id()), "hot-contexts")
-    agreed = agreements(distinct, False).withColumnRenamed("extent", "right").join(agreements(distinct, True).withColumnRenamed("extent", "left"), "row")
+    right, left = (agreements(distinct, lengths, keep, way).select("row", *[F.col(c).alias(f"{c}_{way:d}") for c in ("extent", "low", "high")]) for way in (False, True))
+    several = F.col("n") > 1
+    low, high = ([F.expr(f"int(shiftright(reach, {BITS * (2 * (len(lengths) - k) - side)}) & {(1 << BITS) - 1})") for k in range(len(lengths))] for side in (1, 2))
     # A context of one place is asked only for windows that it can share; one of several shares all its windows.
-    trimmed = distinct.join(agreed, "row").withColumns({"right": F.when(F.col("n") > 1, F.length("context") - F.col("before")).otherwise(F.col("right")), "left": F.when(F.col("n") > 1, F.col("before")).otherwise(F.col("left"))})
-    trimmed = settle(trimmed.where(F.col("left") + F.col("right") >= min(lengths)), "hot-trimmed")
-    low, high = ([f"(shiftright(reach, {BITS * (2 * (len(lengths) - k) - side)}) & {(1 << BITS) - 1})" for k in range(len(lengths))] for side in (1, 2))
-    runs_of = lambda k, w: f"transform(IF(greatest({low[k]}, {w} - right) <= least({high[k]}, left), sequence(greatest({low[k]}, {w} - right), least({high[k]}, left)), array()), x -> named_struct('w', {w}, 'x', int(x)))"
-    windows = trimmed.select("row", "h", "n", "first", "before", "context", F.explode(F.expr(f"concat({', '.join(runs_of(k, w) for k, w in enumerate(lengths))})")).alias("s"))
-    windows = windows.select("row", "n", "first", "s.w", "s.x", F.unhex(F.md5(F.expr("concat(substring(context, before - s.x + 1, s.w), CAST(concat_ws(',', h, s.x) AS BINARY))"))).alias("d"))
+    agreed = settle(distinct.join(right, "row").join(left, "row").withColumns({
+        "right": F.when(several, F.length("context") - F.col("before")).otherwise(F.col("extent_0")),
+        "left": F.when(several, F.col("before")).otherwise(F.col("extent_1")),
+    }), "hot-agreed")
+    trimmed = agreed.withColumn("x", F.greatest(low[0], window - F.col("right"))).withColumn("to", F.least(high[0], "left")).where("x <= to")
+    windows = trimmed.select("row", "h", "n", "first", "before", "context", F.explode(F.sequence("x", "to")).alias("x"))
+    windows = windows.select("row", "n", "first", "x", F.unhex(F.md5(F.expr(f"concat(substring(context, before - x + 1, {window}), CAST(concat_ws(',', h, x) AS BINARY))"))).alias("d"))
     runs = windows.groupBy("d").agg(F.sum("n").alias("total"), F.min("first").alias("least")).where("total > 1")
-    hits = windows.join(runs, "d")
     edge = lambda cond: (F.min(F.when(cond, F.col("x"))), F.max(F.when(cond, F.col("x"))))
-    lead, others = (F.lit(True), F.lit(True)) if keep == "none" else (F.col("first") > F.col("least"), F.col("n") > 1)
-    (a, b), (c, d) = edge(lead), edge(others)
-    found = hits.groupBy("row", "w").agg(a.alias("a"), b.alias("b"), c.alias("c"), d.alias("d")).join(distinct.select("row", "first", *key), "row")
-    got = rows.select(*key, F.explode("owners").alias("o")).join(found, key)
-    low, high = (F.when(F.col("o") == F.col("first"), F.col(p)).otherwise(F.col(q)) for p, q in (("a", "c"), ("b", "d")))
-    return got.select("o.sha", F.col("w").alias("length"), (F.col("o.at") - high).cast("int").alias("start"), (F.col("o.at") + F.col("w") - low).cast("int").alias("end")).where("start is not null")
+    names = ("a", "b", "c", "d")
+    (a, b), (c, d) = (edge(F.lit(True) if keep == "none" else cond) for cond in (F.col("first") > F.col("least"), F.col("n") > 1))
+    found = windows.join(runs, "d").groupBy("row").agg(F.lit(window).alias("w"), *[x.alias(k) for x, k in zip((a, b, c, d), names, strict=True)])
+    if lengths[-1] < window:
+        own = [F.least("low_0", "low_1"), F.greatest("high_0", "high_1")]
+        all_ = [F.when(several & (low[-1] <= high[-1]), x) for x in (low[-1], high[-1])]
+        lead = [F.coalesce(x, y) for x, y in zip(all_, own, strict=True)] if keep == "none" else own
+        found = found.unionByName(agreed.select("row", F.lit(lengths[-1]).alias("w"), *[x.cast("int").alias(k) for x, k in zip((*lead, *all_), names, strict=True)]).where("a IS NOT NULL OR c IS NOT NULL"))
+    got = rows.select(*key, F.explode("owners").alias("o")).join(found.join(distinct.select("row", "first", *key), "row"), key)
+    start, end = (F.when(F.col("o") == F.col("first"), F.col(p)).otherwise(F.col(q)) for p, q in (("b", "d"), ("a", "c")))
+    return got.select("o.sha", F.col("w").alias("length"), (F.col("o.at") - start).cast("int").alias("start"), (F.col("o.at") + F.col("w") - end).cast("int").alias("end")).where("start is not null AND end is not null")
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -444,7 +466,8 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, keep: str = "none", id_col: str = "doc_id", text_col: str = "text", with_kept: bool = False, group: int = GROUP, passage: int = PASSAGE) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_repeated for each row, and with_kept the bytes that are left.
 
-    n_repeated: bytes that strings of `passage` bytes (at most `window`) cover that also start elsewhere (keep="first": earlier).
+    n_repeated: bytes that strings of `passage` bytes (at most `window`) cover that also start elsewhere (keep="first":
+    earlier); around anchors of more than `group` places only as far as neighbours in suffix order tell.
     """
     passage = min(passage, window)
     lengths = sorted({window, passage}, reverse=True)
@@ -472,7 +495,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, keep
             for i in range(batch.num_rows):
                 text, found = texts[i].as_buffer().to_pybytes(), batch.column("spans")[i].values
                 rows = list(zip(*(found.field(k).to_pylist() for k in ("length", "start", "end")), strict=True))
-                runs, short = (merged([(a, b) for w, a, b in rows if w == length]) for length in (window, passage))
+                # What a repeated longer string covers, a repeated shorter one covers, too.
+                runs, short = merged([(a, b) for w, a, b in rows if w == window]), merged([(a, b) for _, a, b in rows])
                 edges = [0, *(e for r in runs for e in r), len(text)]
                 kept.append(b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)))
                 removed.append(len(text) - len(kept[-1]))
