@@ -13,7 +13,8 @@ a forest of links, never the pairs. A pair that two lists find is counted in the
 
 Defined cases: a null label, a null or zero vector, one with null or non-finite parts or of another length than its
 partner links with nothing and is its own component; rows with a null id are left out of classes and have null results;
-repeated rows of one id count as separate vectors; an empty table gives an empty result.
+repeated rows of one id count as separate vectors, and different vectors under one id as one, whose links are added up; an
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -31,8 +32,8 @@ from .components import components, forest
 COSINE, SUBSPACES, WORDS, SAMPLE, BLOCK = 0.93, 8, 256, 16384, 4096
 #: A border counts as near within this share of the radius; random directions in d dimensions reach it with sqrt(d)/2 sigmas.
 MARGIN = 0.5
-ENTRIES = "list int, home_list int, node long, weight long, label int, vector array<float>, codes binary, error double, probes array<int>"
-ENTRY_SCHEMA = pa.schema([("list", pa.int32()), ("home_list", pa.int32()), ("node", pa.int64()), ("weight", pa.int64()), ("label", pa.int32()), ("vector", pa.list_(pa.float32())), ("codes", pa.binary()), ("error", pa.float64()), ("probes", pa.list_(pa.int32()))])
+ENTRIES = "list int, home_list int, node long, weight long, label int, vector binary, codes binary, error double, probes binary"
+ENTRY_SCHEMA = pa.schema([("list", pa.int32()), ("home_list", pa.int32()), ("node", pa.int64()), ("weight", pa.int64()), ("label", pa.int32()), ("vector", pa.binary()), ("codes", pa.binary()), ("error", pa.float64()), ("probes", pa.binary())])
 FOUND = pa.schema([("a", pa.int64()), ("n", pa.int64()), ("b", pa.int64())])
 
 
@@ -103,10 +104,25 @@ class Index:
 
 def unit_rows(vectors: pa.Array) -> np.ndarray:
     """Unit vectors in double precision from lists of one length."""
-    x = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(vectors), -1)
+    return units(vectors.flatten().to_numpy(zero_copy_only=False).reshape(len(vectors), -1))
+
+
+def units(x: np.ndarray) -> np.ndarray:
+    x = x.astype(np.float64)
     return x / np.sqrt((x * x).sum(axis=1))[:, None]
 
 
+def packed_rows(rows: np.ndarray) -> pa.Array:
+    """Rows of numbers as bytes: to Spark an array of numbers is one object each, bytes are one piece."""
+    data, width = np.ascontiguousarray(rows), rows.shape[1] * rows.itemsize
+    return pa.BinaryArray.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer((np.arange(len(rows) + 1) * width).astype(np.int32)), pa.py_buffer(data)])
+
+
+def unpacked_rows(column: pa.ChunkedArray | pa.Array, dtype) -> np.ndarray:
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return np.frombuffer(b"".join(column.to_pylist()), dtype).reshape(len(column), -1)
+
+
 def usable(col: str) -> F.Column:
     """Neither null nor zero, and all parts finite."""
     v = F.col(col)
@@ -159,8 +175,8 @@ class Links:
 class Block:
     """The rows of one (label, list, block) are held; rows that follow are compared with them."""
 
-    def __init__(self, index: Index):
-        self.index, self.key, self.held, self.base = index, None, [], None
+    def __init__(self, index: Index, dtype):
+        self.index, self.dtype, self.key, self.held, self.base = index, dtype, None, [], None
 
     def take(self, key: tuple, streamed: bool, rows: pa.Table, links: Links) -> None:
         if key != self.key:
@@ -174,7 +190,7 @@ class Block:
             return
         node, weight, x, codes, error, probed = self.base
         here, home = self.key[1], rows.column("home_list").to_numpy()
-        q, r = compare(self.index, here, x, codes, error, unit_rows(rows.column("vector").combine_chunks()))
+        q, r = compare(self.index, here, x, codes, error, units(unpacked_rows(rows.column("vector"), self.dtype)))
         # A pair with a row whose home is another list is found there too if this list's row probes that one; the lower list counts it.
         ok = home[q] == here
         ok |= home[q] > here
@@ -187,12 +203,10 @@ class Block:
             return
         t = pa.concat_tables(self.held).combine_chunks()
         here = self.key[1]
-        node, weight, x = t.column("node").to_numpy(), t.column("weight").to_numpy(), unit_rows(t.column("vector").combine_chunks())
-        codes = np.frombuffer(b"".join(t.column("codes").to_pylist()), np.uint8).reshape(len(t), -1)
+        node, weight, x = t.column("node").to_numpy(), t.column("weight").to_numpy(), units(unpacked_rows(t.column("vector"), self.dtype))
+        codes = unpacked_rows(t.column("codes"), np.uint8)
         error = t.column("error").to_numpy()
-        probes = t.column("probes").combine_chunks()
-        probed = np.zeros((len(t), len(self.index.centres)), bool)
-        probed[np.repeat(np.arange(len(t)), probes.value_lengths().to_numpy()), probes.flatten().to_numpy()] = True
+        probed = np.unpackbits(unpacked_rows(t.column("probes"), np.uint8), axis=1).astype(bool)
         self.base = (node, weight, x, codes, error, probed)
         q, r = compare(self.index, here, x, codes, error, x)
         ok = q < r
@@ -202,7 +216,8 @@ class Block:
 def near_duplicates(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", block: int = BLOCK) -> DataFrame:
     """vec_id, n_links, component_id, kept for each row."""
     spark = rows.sparkSession
-    rows = rows.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).cast("int").alias("label"), F.col(vector_col).cast("array<float>").alias("vector"))
+    kind, dtype = ("float", np.float32) if rows.select(vector_col).dtypes[0][1] == "array<float>" else ("double", np.float64)
+    rows = rows.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).cast("int").alias("label"), F.col(vector_col).cast(f"array<{kind}>").alias("vector"))
     rows = rows.withColumn("ok", usable("vector") & F.col("label").isNotNull() & F.col("vec_id").isNotNull())
     classes = settle(rows.where("ok").groupBy("label", "vector").agg(F.min("vec_id").alias("node"), F.count("*").alias("weight")), "vectors")
 
@@ -224,16 +239,17 @@ def near_duplicates(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "
                 index = shared.value
                 node, weight, label, vector = (part.column(k) for k in ("node", "weight", "label", "vector"))
                 if n != index.dim:
-                    yield record_batch(ENTRY_SCHEMA, np.full(len(part), -n, np.int32), np.full(len(part), -n, np.int32), node, weight, label, vector, [b""] * len(part), np.zeros(len(part)), [[]] * len(part))
+                    raw = vector.flatten().to_numpy(zero_copy_only=False).astype(dtype).reshape(len(part), -1)
+                    yield record_batch(ENTRY_SCHEMA, np.full(len(part), -n, np.int32), np.full(len(part), -n, np.int32), node, weight, label, packed_rows(raw), [b""] * len(part), np.zeros(len(part)), [b""] * len(part))
                     continue
-                x = unit_rows(vector)
+                raw = vector.flatten().to_numpy(zero_copy_only=False).astype(dtype).reshape(len(part), -1)
+                x = units(raw)
                 home, probed = index.assign(x)
                 probed[np.arange(len(x)), home] = True
                 codes, error = index.encode(x, home)
                 row, at = np.nonzero(probed)
                 take = pa.array(row)
-                probes = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(probed.sum(1))]).astype(np.int32), at.astype(np.int32))
-                yield record_batch(ENTRY_SCHEMA, at.astype(np.int32), home[row].astype(np.int32), *(c.take(take) for c in (node, weight, label, vector)), pa.array([c.tobytes() for c in codes]).take(take), error[row], probes.take(take))
+                yield record_batch(ENTRY_SCHEMA, at.astype(np.int32), home[row].astype(np.int32), *(c.take(take) for c in (node, weight, label)), packed_rows(raw).take(take), packed_rows(codes).take(take), error[row], packed_rows(np.packbits(probed, axis=1)).take(take))
 
     entries = settle(classes.select("node", "weight", "label", "vector").mapInArrow(enter, ENTRIES), "vector-entries")
     blocks = entries.where("home_list = list").groupBy("label", "list").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
@@ -243,7 +259,7 @@ def near_duplicates(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "
     dealt = dealt.repartition("label", "list", "block").sortWithinPartitions("label", "list", "block", "first", "node")
 
     def search(batches):
-        blocks, links = Block(shared.value), Links()
+        blocks, links = Block(shared.value, dtype), Links()
         for batch in batches:
             t = pa.Table.from_batches([batch])
             key = np.stack([t.column(k).to_numpy() for k in ("label", "list", "block", "first")], axis=1)

@@ -268,12 +268,14 @@ def similar_documents(docs: DataFrame) -> DataFrame:
 
 
 def stage_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays, that with the smallest doc_id, and one row of that; rows without an id stay."""
+    """One document of each group stays, that with the smallest doc_id, and one row of that, that of the least
+    content hash where rows with one id differ; rows without an id stay."""
     found = settle(similar_documents(docs), "simhash-groups")
     gone_id, row = fresh(docs, "gone_id"), fresh(docs, "row")
     gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias(gone_id)).distinct()
     rest = docs.join(gone, F.col("doc_id") == F.col(gone_id), "left_anti")
     if found.groupBy("doc_id").count().where("count > 1").isEmpty():
         return rest
-    first = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.lit(1)))
+    # Of rows that share an id, whatever their texts, the one of least content hash stays, wherever and however often a task runs.
+    first = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64(*[F.to_json(F.struct(c)) for c in docs.columns]), "text"))
     return rest.where("doc_id is null").unionByName(rest.where("doc_id is not null").withColumn(row, first).where(F.col(row) == 1).drop(row))

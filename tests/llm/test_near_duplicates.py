@@ -75,6 +75,9 @@ def test_documents_with_copies_nulls_and_repeated_rows(spark):
     assert kept.columns == docs.columns
     assert sorted((r.doc_id or 0) for r in kept.collect()) == [0, 3, 7]
     assert simhash.near_duplicates(docs.limit(0)).count() == 0
+    twins = [(1, "first text of this id"), (1, "another text of this id"), (2, "alone")]
+    stays = lambda rows: sorted(map(tuple, simhash.stage_near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()))
+    assert stays(twins) == stays(twins[::-1]) and [r[0] for r in stays(twins)] == [1, 2]
 
 
 def brute(vectors, label):
@@ -110,6 +113,9 @@ def test_vectors_against_all_pairs(spark, block):
 def test_vectors_that_are_empty_or_odd(spark):
     kind = "vec_id long, embedding array<float>, label int"
     assert embedding_dedup.near_duplicates(spark.createDataFrame([], kind)).count() == 0
+    near = [(1, [1.0, 0.0], 0), (2, [0.93, (1 - 0.93**2) ** 0.5 * (1 - 1e-12)], 0), (3, [0.93, (1 - 0.93**2) ** 0.5 * (1 + 1e-12)], 0), (4, [0.0, -1.0], 0)]
+    doubles = spark.createDataFrame(near, "vec_id long, embedding array<double>, label int")  # as floats, 2 and 3 would be one vector
+    assert sorted(map(tuple, embedding_dedup.near_duplicates(doubles).select("vec_id", "n_links").collect())) == [(1, 1), (2, 2), (3, 1), (4, 0)]
     odd = spark.createDataFrame([(1, [1.0, 2.0], 0), (2, [1.0, 2.0], 0), (3, [1.0, 2.0, 3.0], 0), (4, [2.0, 4.0], 0), (5, [], 0), (None, [1.0, 2.0], 0), (6, [1.0, None], 0)], kind)
     got = {r.vec_id: (r.n_links, r.component_id) for r in embedding_dedup.near_duplicates(odd).collect()}
     assert got == {1: (2, 1), 2: (2, 1), 4: (2, 1), 3: (0, 3), 5: (0, 5), 6: (0, 6), None: (None, None)}
