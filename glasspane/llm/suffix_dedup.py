@@ -448,7 +448,8 @@ def spread_spans(contexts: DataFrame, lengths: list[int], keep: str) -> DataFram
         all_ = [F.when(several & (low[-1] <= high[-1]), x) for x in (low[-1], high[-1])]
         lead = [F.coalesce(x, y) for x, y in zip(all_, own, strict=True)] if keep == "none" else own
         found = found.unionByName(agreed.select("row", F.lit(lengths[-1]).alias("w"), *[x.cast("int").alias(k) for x, k in zip((*lead, *all_), names, strict=True)]).where("a IS NOT NULL OR c IS NOT NULL"))
-    got = rows.select(*key, F.explode("owners").alias("o")).join(found.join(distinct.select("row", "first", *key), "row"), key)
+    named = found.join(distinct.select("row", "first", *key), "row")
+    got = rows.select(*key, "owners").join(named, key).select("w", "a", "b", "c", "d", "first", F.explode("owners").alias("o"))
     start, end = (F.when(F.col("o") == F.col("first"), F.col(p)).otherwise(F.col(q)) for p, q in (("b", "d"), ("a", "c")))
     return got.select("o.sha", F.col("w").alias("length"), (F.col("o.at") - start).cast("int").alias("start"), (F.col("o.at") + F.col("w") - end).cast("int").alias("end")).where("start is not null AND end is not null")
 
