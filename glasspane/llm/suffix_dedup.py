@@ -18,8 +18,8 @@ A second, shorter length (`passage`) is reported but not removed: how many bytes
 that also start elsewhere (with keep="first": earlier). The anchors of the longer windows are among those of the shorter.
 
 Exact copies are one content throughout (by SHA-256), whatever their number. The contexts of a batch are collapsed before
-the shuffle. An anchor that occurs more than `GROUP` times is counted as such before anything is dealt out, and its
-contexts are spread by their content (`spread_spans`): equal ones become one row; one global suffix order of what follows
+the shuffle. An anchor that occurs more than `GROUP` times is counted as such before anything is dealt out. If its contexts
+are no more than `GROUP` kinds, they are a group like others; else they are spread by their content (`spread_spans`): equal ones become one row; one global suffix order of what follows
 the anchors and one of what precedes them, split by ranges, give by their LCPs how far a context can agree with any other;
 the windows of the removed length within that are counted by digest in a partial and final aggregation instead of group by
 group, which gives the same intervals. The reported shorter length takes there what neighbours in the two orders share.
@@ -42,6 +42,8 @@ from .common import PART_BYTES, group_bounds, read_table, record_batch, settle,
 
 #: Bytes of a removed string, of one that is only reported (about 45 words), and of an anchor; most contexts of a group.
 WINDOW, PASSAGE, GRAM, GROUP = 400, 256, 128, 1500
+#: Most rows of a group that a task holds, where its contexts are few but come in several rows each.
+HELD = 20_000
 MULTIPLIER = 0x9E3779B97F4A7C55
 BASE, BACK = np.uint64(MULTIPLIER), np.uint64(pow(MULTIPLIER, -1, 1 << 64))
 LOW = np.uint64(PART_BYTES - 1)
@@ -487,7 +489,11 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, keep
     spans = found.where("sha is not null").select("sha", "length", "start", "end")
     hot = found.where("sha is null").select("h", "reach", "before", "context", "owners")
     if not hot.isEmpty():
-        spans = spans.unionByName(spread_spans(hot, lengths, keep))
+        # Many places may be few contexts, as in near copies: those are a group like others.
+        few = hot.groupBy("h").agg(F.count_distinct(F.md5("context"), "reach").alias("kinds")).where(F.col("kinds") <= group).select("h")
+        again = settle(group_spans(hot.join(few, "h").withColumn("hot", F.lit(False)), lengths, keep, max(group, HELD)), "spans-again")
+        rest = hot.join(few, "h", "left_anti").unionByName(again.where("sha is null").select(*hot.columns))
+        spans = spans.unionByName(again.where("sha is not null").select(*spans.columns)).unionByName(spread_spans(rest, lengths, keep))
     by_content = spans.groupBy("sha").agg(F.collect_list(F.struct("length", "start", "end")).alias("spans"))
 
     def apply(batches):
