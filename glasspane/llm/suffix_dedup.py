@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import PART_BYTES, group_bounds, read_table, record_batch, settle, streamed_groups, text_column, utf8
+from .common import PART_BYTES, discard, group_bounds, read_table, record_batch, settle, streamed_groups, text_column, utf8
 
 #: Bytes of a removed string, of one that is only reported (about 45 words), and of an anchor; most contexts of a group.
 WINDOW, PASSAGE, GRAM, GROUP = 400, 256, 128, 1500
@@ -485,6 +485,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, keep
     shared = anchors.join(twice, "h").groupBy("sha").agg(F.first("doc").alias("doc"), F.sort_array(F.collect_list(F.struct("at", "h", "n", "reach"))).alias("anchors"))
     texts = docs.select(F.col(id_col).cast("long").alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("sha", F.unhex(F.sha2("text", 256)))
     candidates = settle(texts.join(shared, "sha").where(F.col("_id").eqNullSafe(F.col("doc"))).select("sha", "doc", "text", "anchors"), "candidates")
+    discard(anchors, twice)
     found = settle(group_spans(contexts_of(candidates, lengths, group), lengths, keep, group), "spans")
     spans = found.where("sha is not null").select("sha", "length", "start", "end")
     hot = found.where("sha is null").select("h", "reach", "before", "context", "owners")
