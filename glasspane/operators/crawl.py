@@ -57,12 +57,15 @@ def shown(findings: str):
 def site_tables(sites: DataFrame, pages: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(site, status, llms_txt), one row a site, and the page records of sites that may be read, one row a page.
 
-    sites: site, robots, robots_status, home_status, llms, llms_status; pages: site, url, html (fetched).
+    sites: site, robots, robots_status, home_status, llms, llms_status and, if known, error, the kind of failure that broke the
+    site's visit off; pages: site, url, html (fetched).
     """
+    broken = F.col("error").isNotNull() if "error" in sites.columns else F.lit(False)
     home = F.concat(F.lit("https://"), "site", F.lit("/"))
     allowed = robots_allow("robots", "robots_status", home)
     status = (
-        F.when(F.col("robots_status").isNull(), "unreachable")
+        F.when(broken, F.concat(F.lit("error:"), F.col("error") if "error" in sites.columns else F.lit("")))
+        .when(F.col("robots_status").isNull(), "unreachable")
         .when(~allowed, "robots_disallowed")
         .when(F.col("home_status") != 200, F.concat(F.lit("no_html:"), F.col("home_status").cast("string")))
         .otherwise("ok")
@@ -82,6 +85,19 @@ def site_records(sites: DataFrame, pages: DataFrame) -> DataFrame:
     return out.withColumn("pages", F.coalesce("pages", F.array().cast(out.schema["pages"].dataType)))
 
 
+def answering(attempts: DataFrame) -> DataFrame:
+    """Of several visits to a site (site, attempt, robots_status and more; say its address, then that with www.) the first that
+    had an answer, else the first: one row a site, all columns."""
+    rest = [c for c in attempts.columns if c != "site"]
+    best = F.min_by(F.struct(*rest), F.struct(F.col("robots_status").isNull(), "attempt"))
+    return attempts.groupBy("site").agg(best.alias("b")).select("site", "b.*")
+
+
+def site_slice(sites: DataFrame, first: int, n: int) -> DataFrame:
+    """Sites of (rank, domain) by rank: n of them after the first `first`."""
+    return sites.orderBy("rank", "domain").offset(first).limit(n)
+
+
 def sampled_sites(sites: DataFrame, n: int, top: int | None = None, seed: int = 0) -> DataFrame:
     """n sites of (rank, domain) out of the first `top`, the same for the same seed, whatever the partitions."""
     rows = sites.where(F.col("rank") <= top) if top else sites

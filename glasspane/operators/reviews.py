@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed_values as V
 from ..functions.text import normalised
-from .rules import rank
+from .pages import hidden_place, ranked_chunks
+from .rules import FINDING, rank
 
 SOURCES = {"link": "a link that opens an AI assistant with a prompt in it", "page": "a web page that an AI assistant may read", "llms.txt": "a text file that a site publishes for AI assistants"}
 SYSTEM = (
@@ -106,14 +107,51 @@ def review_order() -> list[Column]:
     return [F.when(F.col("kind") == "link", 0).otherwise(1), F.when(F.col("where") == "visible", 1).otherwise(0), F.when(F.col("text").rlike(r"(?iuU)\b" + V.AI + r"\b"), 0).otherwise(1), F.col("text")]
 
 
+def note(review: Column) -> Column:
+    """The finding AI-001 of a review."""
+    said = F.concat(F.lit("AI review: "), F.when(review["manipulative"], review["category"]).otherwise("harmless"))
+    return F.struct(F.lit("AI-001").alias("rule"), F.lit("ai-review").alias("category"), F.lit(0).alias("weight"), said.alias("description"), review["reason"].alias("evidence"))
+
+
 def reviewed_links(links: DataFrame, reviews: DataFrame) -> DataFrame:
     """links (with prompt, verdict, findings, notes) joined to reviews (prompt, review): the finding AI-001 and the verdict it leads to."""
     out = links.join(reviews, "prompt", "left")
     ok = F.col("review").isNotNull() & (F.col("review.error") == "")
-    note = F.struct(F.lit("AI-001").alias("rule"), F.lit("ai-review").alias("category"), F.lit(0).alias("weight"), F.concat(F.lit("AI review: "), F.when(F.col("review.manipulative"), F.col("review.category")).otherwise("harmless")).alias("description"), F.col("review.reason").alias("evidence"))
     up = combined(F.col("verdict"), F.col("review"), F.lit("link"))
     return out.withColumns({
-        "findings": F.when(ok, F.concat("findings", F.array(note))).otherwise(F.col("findings")),
+        "findings": F.when(ok, F.concat("findings", F.array(note(F.col("review"))))).otherwise(F.col("findings")),
         "notes": F.when(F.col("review").isNotNull() & ~ok, F.concat("notes", F.array(F.concat(F.lit("AI review failed: "), "review.error")))).when(ok & (up != F.col("verdict")), F.concat("notes", F.array(F.concat(F.lit("Raised by AI review from "), "verdict")))).otherwise(F.col("notes")),
         "verdict": F.coalesce(up, "verdict"),
     })
+
+
+def reviewed_pages(chunks: DataFrame, reviews: DataFrame, most: int | None = V.CANDIDATES) -> DataFrame:
+    """page_reports of chunks after a review of each page's candidates: page_id, verdict, score, chunks, hidden_chunks, findings.
+
+    reviews: (text, review), matched by the first 600 characters. Failed reviews change nothing. A text that the rules reported
+    gets the finding AI-001, and a stricter verdict if its review raises; another is reported only if its review raises. The
+    score stays that of the rules. Of several reviews of one text one that did not fail counts, the smallest of these.
+
+    Pages are gathered before they meet the reviews, so that only reported texts and candidates travel to them. A page
+    without such a text joins by its own id, as nulls would all meet in one task.
+    """
+    ranked = ranked_chunks(chunks)
+    told = (F.col("copy") == 1) & F.col("verdict").isNotNull()
+    asked = F.col("place").isNotNull() if most is None else F.coalesce(F.col("place") <= most, F.lit(False))
+    entry = F.struct("ord", "where", "how", "tag", F.substring("text", 1, V.SHOWN_CHARS).alias("text"), "verdict", F.when(told, F.col("score")).otherwise(0).alias("score"), F.when(told, F.col("findings")).otherwise(F.array().cast(f"array<{FINDING}>")).alias("findings"), asked.alias("asked"))
+    worst = F.max(F.when(told, F.struct(rank(F.col("verdict")).alias("r"), "score")))
+    by_page = ranked.groupBy("page_id").agg(F.count("*").alias("chunks"), F.count_if(hidden_place(F.col("where"))).alias("hidden_chunks"), F.coalesce(worst["score"], F.lit(0)).alias("score"), F.collect_list(F.when(told | asked, entry)).alias("entries"))
+    key = F.when(F.col("e.asked"), F.col("e.text")).otherwise(F.concat(F.lit("\u0001"), F.col("page_id").cast("string")))
+    rows = by_page.select("page_id", "chunks", "hidden_chunks", "score", F.explode_outer("entries").alias("e")).withColumn("key", F.coalesce(key, F.concat(F.lit("\u0001"), F.col("page_id").cast("string"))))
+    best = F.min(F.struct((F.col("review.error") != "").alias("failed"), "review"))
+    opinions = reviews.groupBy(F.substring("text", 1, V.SHOWN_CHARS).alias("key")).agg(best["review"].alias("review"))
+    rows = rows.join(opinions, "key", "left")
+    review, safe = F.col("review"), F.coalesce("e.verdict", F.lit("LOOKS_SAFE"))
+    heard = F.coalesce(review["error"] == "", F.lit(False))
+    verdict = F.when(heard, combined(safe, review, F.lit("page"))).otherwise(safe)
+    findings = F.when(heard, F.concat("e.findings", F.array(note(review)))).otherwise(F.col("e.findings"))
+    rows = rows.withColumn("now", F.when(F.col("e").isNotNull(), verdict))
+    kept = F.struct((-rank(F.col("now"))).alias("a"), (-F.col("e.score")).alias("b"), F.col("e.ord").alias("ord"), *[F.col(f"e.{c}").alias(c) for c in ("where", "how", "tag", "text")], F.col("now").alias("verdict"), F.col("e.score").alias("score"), findings.alias("findings"))
+    out = rows.groupBy("page_id").agg(F.max("chunks").alias("chunks"), F.max("hidden_chunks").alias("hidden_chunks"), F.max("score").alias("score"), F.array_sort(F.collect_list(F.when(F.col("now") != "LOOKS_SAFE", kept))).alias("found"))
+    shown = F.transform("found", lambda x: F.struct(*[x[c].alias(c) for c in ("where", "how", "tag", "text", "verdict", "score", "findings")]))
+    return out.select("page_id", F.coalesce(F.try_element_at("found", F.lit(1))["verdict"], F.lit("LOOKS_SAFE")).alias("verdict"), "score", "chunks", "hidden_chunks", shown.alias("findings"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import percent, prompt_template, scrubbed
+from ..operators.reviews import raises
 
 FLAGGED = ["SUSPICIOUS", "DANGEROUS"]
 
@@ -110,8 +111,29 @@ def site_numbers(sites: DataFrame) -> DataFrame:
     return within.join(before, "start").select("site", (F.col("within") + F.col("before")).cast("long").alias("number"))
 
 
-def review_listing(sites: DataFrame, pages: DataFrame | None = None) -> DataFrame:
-    """Findings without names, in the order for review: (kind, site, verdict, place, rules, text)."""
+def ai_summary(reviewed: DataFrame) -> DataFrame:
+    """Per kind: texts reviewed, failed reviews, texts judged manipulative, those that the rules had let pass, and their sites.
+
+    reviewed: (kind, rules, sites, review), one row a distinct text, as reviews.to_review gives them; rules is a link's verdict.
+    """
+    hit = raises(F.col("review"), F.col("kind"))
+    missed = hit & ((F.col("kind") == "page") | ~F.coalesce(F.col("rules").isin(*FLAGGED), F.lit(False)))
+    counts = reviewed.groupBy("kind").agg(F.count("*").alias("reviewed"), F.count_if(F.col("review.error") != "").alias("errors"), F.count_if(hit).alias("flagged"), F.count_if(missed).alias("new"))
+    sites = reviewed.where(missed).select("kind", F.explode("sites").alias("site")).groupBy("kind").agg(F.count_distinct("site").alias("new_sites"))
+    return counts.join(sites, "kind", "left").withColumn("new_sites", F.coalesce("new_sites", F.lit(0)).cast("long"))
+
+
+def ai_rows(reviewed: DataFrame, numbers: DataFrame) -> DataFrame:
+    """Rows of a listing for texts that a review judged manipulative, each under the first site that shows it (0 if unknown)."""
+    hits = reviewed.where(raises(F.col("review"), F.col("kind"))).withColumn("site", F.try_element_at("sites", F.lit(1)))
+    place = F.concat(F.when(F.col("kind") == "link", "link").otherwise(F.concat_ws(" / ", "where", "how")), F.lit(" / "), F.size("sites").cast("string"), F.lit(" site(s)"))
+    said = F.concat(F.lit("AI "), F.col("review.category"), F.lit(" "), F.format_number("review.confidence", "0.00"))
+    rows = hits.join(numbers, "site", "left")
+    return rows.select(F.concat(F.lit("AI "), "kind").alias("kind"), F.coalesce("number", F.lit(0)).cast("long").alias("site"), said.alias("verdict"), place.alias("place"), F.substring(scrubbed(F.col("review.reason"), F.col("site")), 1, 160).alias("rules"), F.substring(scrubbed(F.col("text"), F.col("site")), 1, 400).alias("text"))
+
+
+def review_listing(sites: DataFrame, pages: DataFrame | None = None, reviewed: DataFrame | None = None) -> DataFrame:
+    """Findings without names, in the order for review: (kind, site, verdict, place, rules, text); those of reviews come first."""
     pages = page_rows(sites, False) if pages is None else pages
     numbers = site_numbers(sites)
     content = page_findings(pages).select("site", F.lit("content").alias("kind"), "verdict", F.concat("where", F.lit(" / "), "how", F.lit(" / <"), "tag", F.lit(">")).alias("place"), "rules", "text")
@@ -120,7 +142,9 @@ def review_listing(sites: DataFrame, pages: DataFrame | None = None) -> DataFram
     rows = content.unionByName(links).unionByName(files).join(numbers, "site")
     severity = F.when(F.col("verdict") == "DANGEROUS", 0).when(F.col("verdict") == "SUSPICIOUS", 1).when(F.col("verdict") == "LOOKS_SAFE", 2).otherwise(3)
     rows = rows.select("kind", F.col("number").alias("site"), "verdict", "place", F.concat_ws(",", "rules").alias("rules"), F.substring(scrubbed(F.col("text"), F.col("site")), 1, 400).alias("text"))
-    return rows.orderBy(F.when(F.col("kind") == "content", 0).otherwise(1), severity, "site")
+    if reviewed is not None:
+        rows = rows.unionByName(ai_rows(reviewed, numbers))
+    return rows.orderBy(F.when(F.col("kind").startswith("AI"), 0).when(F.col("kind") == "content", 1).otherwise(2), severity, "site")
 
 
 def confusion(items: DataFrame, label: str = "label", verdict: str = "verdict") -> DataFrame:
@@ -132,6 +156,12 @@ def confusion(items: DataFrame, label: str = "label", verdict: str = "verdict")
     return n.withColumns({"precision": ratio(tp, tp + fp), "recall": ratio(tp, tp + fn), "false_alarms": ratio(fp, fp + tn)})
 
 
+def wrong_items(items: DataFrame, label: str = "label", verdict: str = "verdict") -> DataFrame:
+    """items with `wrong`: 'missed' for attacks that were let pass, 'false alarm' for harmless items that were not."""
+    bad, hit = F.col(label) == "malicious", F.coalesce(F.col(verdict).isin(*FLAGGED), F.lit(False))
+    return items.withColumn("wrong", F.when(bad & ~hit, "missed").when(~bad & hit, "false alarm")).where("wrong IS NOT NULL")
+
+
 def set_grid(items: DataFrame) -> DataFrame:
     """Per set and over all: attacks and those caught, harmless items and false alarms, by rules, by review, by both."""
     bad = F.col("label") == "malicious"

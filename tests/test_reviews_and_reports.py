@@ -91,3 +91,23 @@ def test_summaries_take_page_rows(spark, tmp_path):
     assert queries.site_summary(spark, str(tmp_path)).collect() == reports.site_summary(crawl.site_records(*tables)).collect()
     listing = lambda rows: sorted(map(tuple, rows.collect()))
     assert listing(reports.review_listing(*crawl.site_tables(*tables))) == listing(reports.review_listing(crawl.site_records(*tables)))
+
+
+def test_wrong_items_and_sites_that_broke_off(spark):
+    items = spark.createDataFrame([("malicious", "LOOKS_SAFE"), ("malicious", "DANGEROUS"), ("benign", "SUSPICIOUS"), ("benign", None)], "label string, verdict string")
+    assert sorted((r.wrong, r.verdict) for r in reports.wrong_items(items).collect()) == [("false alarm", "SUSPICIOUS"), ("missed", "LOOKS_SAFE")]
+    visits = spark.createDataFrame([("a", 0, None, None), ("a", 1, 404, None), ("b", 0, None, "Timeout"), ("b", 1, None, None)], "site string, attempt int, robots_status int, error string")
+    assert {(r.site, r.attempt, r.error) for r in crawl.answering(visits).collect()} == {("a", 1, None), ("b", 0, "Timeout")}
+    ranks = spark.createDataFrame([(i, f"s{i}") for i in range(9)], "rank int, domain string")
+    assert [r.domain for r in crawl.site_slice(ranks, 2, 3).collect()] == ["s2", "s3", "s4"]
+
+
+def test_listing_rows_of_reviews(spark):
+    good, bad = ('{"manipulative": true, "category": "memory", "confidence": 0.9, "reason": "r", "speaks_to_ai": true, "persistent": true}', "no answer")
+    rows = [("link", "LOOKS_SAFE", ["a", "b"], "t", None, None, good), ("link", "DANGEROUS", ["b"], "u", None, None, good), ("page", None, ["c"], "v", "hidden", "style", good), ("page", None, ["c"], "w", "hidden", "style", bad)]
+    reviewed = spark.createDataFrame(rows, "kind string, rules string, sites array<string>, text string, where string, how string, reply string").withColumn("review", reviews.parsed("reply"))
+    got = {r.kind: tuple(r)[1:] for r in reports.ai_summary(reviewed).collect()}
+    assert got == {"link": (2, 0, 2, 1, 2), "page": (2, 1, 1, 1, 1)}
+    numbers = spark.createDataFrame([("a", 1), ("b", 2)], "site string, number long")
+    listed = sorted((r.kind, r.site, r.verdict, r.place, r.rules) for r in reports.ai_rows(reviewed, numbers).collect())
+    assert listed == [("AI link", 1, "AI memory 0.90", "link / 2 site(s)", "r"), ("AI link", 2, "AI memory 0.90", "link / 1 site(s)", "r"), ("AI page", 0, "AI memory 0.90", "hidden / style / 1 site(s)", "r")]
