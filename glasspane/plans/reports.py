@@ -127,7 +127,7 @@ def ai_rows(reviewed: DataFrame, numbers: DataFrame) -> DataFrame:
     """Rows of a listing for texts that a review judged manipulative, each under the first site that shows it (0 if unknown)."""
     hits = reviewed.where(raises(F.col("review"), F.col("kind"))).withColumn("site", F.try_element_at("sites", F.lit(1)))
     place = F.concat(F.when(F.col("kind") == "link", "link").otherwise(F.concat_ws(" / ", "where", "how")), F.lit(" / "), F.size("sites").cast("string"), F.lit(" site(s)"))
-    said = F.concat(F.lit("AI "), F.col("review.category"), F.lit(" "), F.format_number("review.confidence", "0.00"))
+    said = F.concat(F.lit("AI "), F.col("review.category"), F.lit(" "), F.format_number("review.confidence", 2))
     rows = hits.join(numbers, "site", "left")
     return rows.select(F.concat(F.lit("AI "), "kind").alias("kind"), F.coalesce("number", F.lit(0)).cast("long").alias("site"), said.alias("verdict"), place.alias("place"), F.substring(scrubbed(F.col("review.reason"), F.col("site")), 1, 160).alias("rules"), F.substring(scrubbed(F.col("text"), F.col("site")), 1, 400).alias("text"))
 
