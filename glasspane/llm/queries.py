@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, embedding_dedup, langid, quality, secrets, sentencepiece_codec, simhash, suffix_dedup, token_counts, warc
+from . import decontaminate, embedding_dedup, langid, quality, secrets, sentencepiece_codec, simhash, spelling_variants, substring_dedup, suffix_dedup, token_alignment, token_counts, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +21,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_decontamination": decontaminate.op8_decontamination,
         "op9_warc": warc.op9_warc,
         "op10_language_id": langid.op10_language_id,
+        "op11_token_alignment": token_alignment.op11_token_alignment,
+        "op12_substring_dedup": substring_dedup.op12_substring_dedup,
+        "op13_spelling_variants": spelling_variants.op13_spelling_variants,
     }
 
 
@@ -46,4 +49,15 @@ def oracle_sql() -> dict[str, str]:
                 CASE WHEN page_id IS NULL OR page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
                 CASE WHEN page_id <> first THEN first END AS refers_to
             FROM f""",
+        "op12_substring_dedup": r"""
+            WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+            s AS (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM w),
+            k AS (SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS k FROM s),
+            f AS (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY k) AS first FROM k),
+            g AS (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS i FROM f WHERE first < doc_id),
+            r AS (SELECT doc_id, list(i) AS gone FROM g GROUP BY doc_id),
+            e AS (SELECT w.doc_id, w, coalesce(gone, []::BIGINT[]) AS gone FROM w LEFT JOIN r USING (doc_id))
+            SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(gone) AS BIGINT) AS n_removed,
+                sha256(coalesce(array_to_string(list_filter(w, lambda x, i: NOT list_contains(gone, i)), ' '), '')) AS kept_sha256
+            FROM e""",
     }
