@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
 import uuid
@@ -50,6 +51,14 @@ def discard(*tables: DataFrame) -> None:
             path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
+def swept(df: DataFrame) -> DataFrame:
+    """df, after the driver has dropped what it no longer uses: Spark then deletes the shuffle files behind settled tables,
+    which otherwise wait for a collection that may be hours away."""
+    gc.collect()
+    df.sparkSession._jvm.System.gc()
+    return df
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """A column name that df does not have."""
     while name.lower() in (c.lower() for c in df.columns):

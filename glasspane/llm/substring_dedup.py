@@ -33,17 +33,20 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, read_table, record_batch, settle, text_column, text_parts
+from .common import discard, read_table, record_batch, settle, swept, text_column, text_parts
 
 WINDOW, CORE, LONG = 13, 3, (12, 18)
-#: Words whose hash a task remembers.
-REMEMBERED = 1 << 19
 #: Kinds of rows beside the rounds: keys of windows, whole texts.
 KEY, WHOLE = 0, 99
 U = np.uint64
 #: Odd factors for mixing, and for the two digests of a range of words with their inverses.
 FIRST, SECOND, THIRD = U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F), U(0xFF51AFD7ED558CCD)
 BASES = [0x5851F42D4C957F2D, 0xD1342543DE82EF95]
+#: A word's name is the sum of a random number for each of its bytes and their places, so that two words share one with
+#: probability 2**-64; longer words are hashed one by one.
+SHORT = 64
+TABLE = np.random.default_rng(42).integers(0, 1 << 64, SHORT * 256, dtype=U)
+SPACE = np.isin(np.arange(256), [32, *range(9, 14)])
 SYMBOLS = pa.schema([("kind", pa.int32()), ("name", pa.int64()), ("check", pa.int64()), ("doc", pa.int64()), ("part", pa.int32()), ("start", pa.int32()), ("size", pa.int32())])
 WINDOWS = pa.schema([("name", pa.int64()), ("check", pa.int64()), ("doc", pa.int64()), ("part", pa.int32()), ("start", pa.int32())])
 OUT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("removed", pa.list_(pa.struct([("start", pa.int32()), ("size", pa.int32())])))])
@@ -79,24 +82,25 @@ class Digests:
         return mixed(a, end - start, 1), mixed(b, end - start, 2)
 
 
-class WordNames(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= REMEMBERED:
-            self.clear()
-        name = self[word] = xxhash.xxh64_intdigest(word, 42)
-        return name
-
-
 class Words:
     """The words of several texts in one row: names, the row of each word, and where each row begins."""
 
-    def __init__(self, raw: np.ndarray, offsets: np.ndarray, known: WordNames):
-        data = raw.tobytes()
-        self.words = [data[a:b].split() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
-        sizes = np.fromiter(map(len, self.words), np.int64, len(self.words))
-        self.starts = np.concatenate([[0], np.cumsum(sizes)])
-        self.row = np.repeat(np.arange(len(sizes)), sizes)
-        self.names = np.fromiter((known[w] for ws in self.words for w in ws), U, int(self.starts[-1]))
+    def __init__(self, raw: np.ndarray, offsets: np.ndarray):
+        solid = ~SPACE[raw]
+        border = np.zeros(len(raw) + 1, bool)
+        border[offsets] = True
+        starts = np.flatnonzero(solid & (np.concatenate([[True], ~solid[:-1]]) | border[:-1]))
+        ends = np.flatnonzero(solid & (np.concatenate([~solid[1:], [True]]) | border[1:])) + 1
+        self.starts = np.searchsorted(starts, offsets)
+        self.row = np.repeat(np.arange(len(offsets) - 1), np.diff(self.starts))
+        sizes = ends - starts
+        first = np.cumsum(sizes) - sizes
+        at = np.flatnonzero(solid)
+        place = np.arange(len(at)) - np.repeat(first, sizes)
+        with np.errstate(over="ignore"):
+            self.names = np.add.reduceat(TABLE[(place % SHORT) << 8 | raw[at]], first) if len(first) else np.zeros(0, U)
+        for i in np.flatnonzero(sizes > SHORT).tolist():
+            self.names[i] = xxhash.xxh64_intdigest(raw[starts[i] : ends[i]].tobytes(), 42)
 
     def windows(self, size: int) -> np.ndarray:
         """First words of all windows."""
@@ -161,12 +165,11 @@ def symbol_rows(docs: DataFrame, window: int) -> DataFrame:
     """Keys of windows, symbols of the rounds LONG with at least `window` words, and whole texts with as many."""
 
     def run(batches):
-        known = WordNames()
         for batch in batches:
             texts = text_column(batch, "text")
             ids, parts = batch.column("doc").to_numpy(), batch.column("part").to_numpy()
             for a, b, raw, offsets in text_parts(texts):
-                w = Words(raw, offsets, known)
+                w = Words(raw, offsets)
                 at = w.windows(window)
                 if not len(at):
                     continue
@@ -203,12 +206,11 @@ def shared_windows(docs: DataFrame, known: DataFrame, window: int) -> DataFrame:
     """Windows with a shared key that lie in no symbol known to repeat, by digest."""
 
     def run(batches):
-        names = WordNames()
         for batch in batches:
             texts = text_column(batch, "text")
             ids, parts = batch.column("doc").to_numpy(), batch.column("part").to_numpy()
             for a, b, raw, offsets in text_parts(texts):
-                w = Words(raw, offsets, names)
+                w = Words(raw, offsets)
                 at = w.windows(window)
                 digests = Digests(w.names)
                 keys = window_keys(w, at, window, digests).view(np.int64) if len(at) else at
@@ -238,17 +240,17 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     given = docs.select(F.col(id_col).cast("long").alias("doc"), F.hash(text_col).alias("part"), F.col(text_col).alias("text"))
     named = given.where("doc IS NOT NULL AND text IS NOT NULL")
     symbols = settle(symbol_rows(named, window), "recompressed")
-    long = settle(earlier(symbols.where(F.col("kind") != KEY), ["kind", "name", "check"], ["start", "size"]), "repeated-symbols")
+    long = swept(settle(earlier(symbols.where(F.col("kind") != KEY), ["kind", "name", "check"], ["start", "size"]), "repeated-symbols"))
     keys = symbols.where(F.col("kind") == KEY).select("name", "doc", "part")
     shared = keys.groupBy("name").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last").select("name")
-    held = keys.join(settle(shared, "shared-keys"), "name").groupBy("doc", "part").agg(F.collect_set("name").alias("keys"))
-    held = settle(held, "shared-keys-held")
-    discard(symbols)
+    shared = swept(settle(shared, "shared-keys"))
+    held = swept(settle(keys.join(shared, "name").groupBy("doc", "part").agg(F.collect_set("name").alias("keys")), "shared-keys-held"))
+    discard(symbols, shared)
     known = held.join(spans_of(long, "spans"), ["doc", "part"], "left").withColumn("spans", F.coalesce("spans", F.array().cast("array<struct<start: int, size: int>>")))
-    windows = settle(shared_windows(named, known, window), "shared-windows")
+    windows = swept(settle(shared_windows(named, known, window), "shared-windows"))
     gone = earlier(windows, ["name", "check"], ["start"]).withColumn("size", F.lit(window)).unionByName(long)
-    gone = settle(spans_of(gone, "gone"), "repeated-words")
-    discard(windows, held)
+    gone = swept(settle(spans_of(gone, "gone"), "repeated-words"))
+    discard(windows, held, long)
 
     def run(batches):
         for batch in batches:
