@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import re
 import tempfile
 import uuid
@@ -34,11 +33,25 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
-def settle(df: DataFrame, label: str) -> DataFrame:
-    """Write to a new table in the shared folder and read that: cuts lineage, computes once and outlives executors."""
+#: Whether Spark deletes an execution's shuffle files as soon as it has ended; else they wait for the driver's garbage.
+SWEEP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def settle(df: DataFrame, label: str, sweep: bool = False) -> DataFrame:
+    """Write to a new table in the shared folder and read that: cuts lineage, computes once and outlives executors.
+
+    sweep: delete the shuffle files behind the table once it is written.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(SWEEP, None)
+    if sweep:
+        spark.conf.set(SWEEP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if sweep:
+            spark.conf.set(SWEEP, before or "false")
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -51,14 +64,6 @@ def discard(*tables: DataFrame) -> None:
             path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
-def swept(df: DataFrame) -> DataFrame:
-    """df, after the driver has dropped what it no longer uses: Spark then deletes the shuffle files behind settled tables,
-    which otherwise wait for a collection that may be hours away."""
-    gc.collect()
-    df.sparkSession._jvm.System.gc()
-    return df
-
-
 def fresh(df: DataFrame, name: str) -> str:
     """A column name that df does not have."""
     while name.lower() in (c.lower() for c in df.columns):

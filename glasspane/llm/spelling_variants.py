@@ -49,7 +49,7 @@ def rarest_bigrams(words: DataFrame) -> DataFrame:
     """(word, n, first): the places, from 1, of each word's three rarest bigrams."""
     places = F.sequence(F.lit(1), F.length("word") - 1)
     grams = words.where(F.length("word") > 1).select("word", "n", F.explode(places).alias("at")).withColumn("gram", F.expr("substring(word, at, 2)"))
-    held = settle(grams.groupBy("gram").agg(F.count_distinct("word").alias("held")), "bigrams")
+    held = settle(grams.groupBy("gram").agg(F.count_distinct("word").alias("held")), "bigrams", sweep=True)
     ranked = grams.join(F.broadcast(held) if held.count() <= BIGRAMS else held, "gram")
     order = F.array_sort(F.collect_list(F.struct("held", "gram", "at")))
     return ranked.groupBy("word").agg(F.first("n").alias("n"), F.slice(order, 1, RAREST)["at"].alias("first"))
@@ -63,7 +63,7 @@ def near_pairs(words: DataFrame) -> DataFrame:
         F.struct(F.lit("right").alias("side"), F.substring(F.col("word"), at, F.length("word")).alias("kept")),
     ))
     entered = rarest_bigrams(words).select("word", "n", size.alias("size"), F.explode(F.flatten(sides)).alias("k")).select("word", "n", "size", "k.side", "k.kept")
-    entered = settle(entered, "rarest-bigrams")
+    entered = settle(entered, "rarest-bigrams", sweep=True)
     short = entered.select(F.col("word").alias("a"), F.col("n").alias("n_a"), "size", "side", "kept")
     long = entered.select(F.col("word").alias("b"), F.col("n").alias("n_b"), F.col("size").alias("of_b"), F.explode(F.array("size", F.col("size") - 1)).alias("size"), "side", "kept")
     found = short.join(long, ["side", "kept", "size"]).where("of_b > size OR a < b")
@@ -82,16 +82,16 @@ def variants(words: DataFrame, factor: int = FACTOR) -> DataFrame:
     known = words.join(near, "word", "left").withColumn("form_n", -F.col("best.minus"))
     good = F.col("form_n") >= F.col("n") * factor
     known = known.select("word", "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"), F.when(good, F.col("best.other")).alias("form"), F.when(good, F.col("form_n")).alias("form_n"))
-    known = settle(known, "word-forms")
+    known = settle(known, "word-forms", sweep=True)
     ends = known.where("form IS NOT NULL").select("word", F.col("form").alias("root"))
     moved = True
     while moved:
         further = ends.select(F.col("word").alias("root"), F.col("root").alias("next"))
-        ends = settle(ends.join(further, "root", "left").select("word", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")), "word-roots")
+        ends = settle(ends.join(further, "root", "left").select("word", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")), "word-roots", sweep=True)
         moved = not ends.where("moved").isEmpty()
         ends = ends.drop("moved")
     return known.join(ends, "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
 
 
 def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return variants(settle(word_counts(read_table(spark, sf_dir, "documents"), typos=True), "words"))
+    return variants(settle(word_counts(read_table(spark, sf_dir, "documents"), typos=True), "words", sweep=True))

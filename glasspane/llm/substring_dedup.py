@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, read_table, record_batch, settle, swept, text_column, text_parts
+from .common import discard, read_table, record_batch, settle, text_column, text_parts
 
 WINDOW, CORE, LONG = 13, 3, (12, 18)
 #: Kinds of rows beside the rounds: keys of windows, whole texts.
@@ -240,16 +240,16 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     given = docs.select(F.col(id_col).cast("long").alias("doc"), F.hash(text_col).alias("part"), F.col(text_col).alias("text"))
     named = given.where("doc IS NOT NULL AND text IS NOT NULL")
     symbols = settle(symbol_rows(named, window), "recompressed")
-    long = swept(settle(earlier(symbols.where(F.col("kind") != KEY), ["kind", "name", "check"], ["start", "size"]), "repeated-symbols"))
+    long = settle(earlier(symbols.where(F.col("kind") != KEY), ["kind", "name", "check"], ["start", "size"]), "repeated-symbols", sweep=True)
     keys = symbols.where(F.col("kind") == KEY).select("name", "doc", "part")
     shared = keys.groupBy("name").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last").select("name")
-    shared = swept(settle(shared, "shared-keys"))
-    held = swept(settle(keys.join(shared, "name").groupBy("doc", "part").agg(F.collect_set("name").alias("keys")), "shared-keys-held"))
+    shared = settle(shared, "shared-keys", sweep=True)
+    held = settle(keys.join(shared, "name").groupBy("doc", "part").agg(F.collect_set("name").alias("keys")), "shared-keys-held", sweep=True)
     discard(symbols, shared)
     known = held.join(spans_of(long, "spans"), ["doc", "part"], "left").withColumn("spans", F.coalesce("spans", F.array().cast("array<struct<start: int, size: int>>")))
-    windows = swept(settle(shared_windows(named, known, window), "shared-windows"))
+    windows = settle(shared_windows(named, known, window), "shared-windows", sweep=True)
     gone = earlier(windows, ["name", "check"], ["start"]).withColumn("size", F.lit(window)).unionByName(long)
-    gone = swept(settle(spans_of(gone, "gone"), "repeated-words"))
+    gone = settle(spans_of(gone, "gone"), "repeated-words", sweep=True)
     discard(windows, held, long)
 
     def run(batches):

@@ -33,8 +33,9 @@ from pyspark.sql import functions as F
 from .common import read_table, record_batch, segment_sums, settle
 from .sentencepiece_codec import Codec, default_model
 
-#: Characters of text in a block; pieces of text that a task remembers, and the longest of them.
-BLOCK, REMEMBERED, LONG = 1 << 24, 1 << 19, 64
+#: Characters of text in a block, and of those cut and encoded at a time; pieces of text that a task remembers from one block
+#: to the next, unless many are longer than LONG.
+BLOCK, PART, REMEMBERED, LONG = 1 << 23, 1 << 20, 1 << 18, 64
 #: Pieces begin before spaces that follow one of these, which no tokenizer takes for white space, if more than spaces follow.
 SOLID = r"!-~À-ɏ"
 PIECE, ODD_END, CAREFUL = re.compile(r" +[^ ]+(?: +\Z)?"), re.compile(f"[^ {SOLID}] "), re.compile(f"(?<=[{SOLID}])(?= +[^ ])")
@@ -80,12 +81,16 @@ class Aligner:
             self.bytes_a[i] = bytes(sign[c] for c in token)
         self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(map(self.b.id_to_piece, range(self.b.get_piece_size())))]
         self.sizes = [np.fromiter(map(len, t), np.int64, len(t)) for t in (self.bytes_a, self.bytes_b)]
+        #: Ids as written: those of A, of B behind them, both with what stands between ids; then the same with what ends A's or B's share.
+        self.half = len(self.bytes_a) + len(self.bytes_b)
+        self.written = [b"%d%c" % (i, c) for last in (b",,", b"|;") for side, c in zip((self.bytes_a, self.bytes_b), last, strict=True) for i in range(len(side))]
         self.forget()
 
     def forget(self) -> None:
         """numbers: of pieces; of each: the groups as text, n_a, n_b, n_groups and n_links, whether they spell it, and its links' pairs."""
         self.numbers: dict[str, int] = {}
         self.said: list[bytes] = []
+        self.long = 0
         self.counts, self.spells, self.pairs, self.starts = np.zeros((0, 4), np.int64), np.zeros(0, bool), NONE, np.zeros(1, np.int64)
 
     def pieces(self, text: str) -> list[str]:
@@ -94,62 +99,94 @@ class Aligner:
             return [text]
         return CAREFUL.split(text) if ODD_END.search(text) else PIECE.findall(text) or [text]
 
+    def spelled(self, new: list[str], ids: list[list[list[int]]]) -> np.ndarray:
+        """Whether the tokens of both sides spell each piece."""
+        lengths = np.fromiter((len(p.encode()) for p in new), np.int64, len(new))
+        whole, alike = "".join(new).encode(), True
+        for side, size, known in zip(ids, self.sizes, (self.bytes_a, self.bytes_b), strict=True):
+            n = np.fromiter(map(len, side), np.int64, len(side))
+            flat = np.fromiter(chain.from_iterable(side), np.int64, int(n.sum()))
+            sums = segment_sums(size[flat].astype(np.float64), np.concatenate([[0], np.cumsum(n)]))
+            alike = alike and (sums == lengths).all() and b"".join(map(known.__getitem__, flat.tolist())) == whole
+        if alike:
+            return np.ones(len(new), bool)
+        return np.array([b"".join(map(self.bytes_a.__getitem__, x)) == p.encode() == b"".join(map(self.bytes_b.__getitem__, y)) for p, x, y in zip(new, *ids, strict=True)])
+
     def learn(self, new: list[str]) -> None:
         """Encode pieces, merge the ends of their tokens, and remember what comes of it."""
-        ids = [e.ids for e in self.a.encode_batch_fast(new, add_special_tokens=False)], self.b.encode([p[1:] for p in new], num_threads=1)
-        spells = [b"".join(map(self.bytes_a.__getitem__, x)) == p.encode() == b"".join(map(self.bytes_b.__getitem__, y)) for p, x, y in zip(new, *ids, strict=True)]
-        of_a, of_b = ([x if good else [] for x, good in zip(side, spells, strict=True)] for side in ids)
-        flat = [np.fromiter(chain.from_iterable(side), np.int64) for side in (of_a, of_b)]
+        ids = [[e.ids for e in self.a.encode_batch_fast(new, add_special_tokens=False)], self.b.encode([p[1:] for p in new], num_threads=1)]
+        spells = self.spelled(new, ids)
+        if not spells.all():
+            ids = [[x if good else [] for x, good in zip(side, spells.tolist(), strict=True)] for side in ids]
+        n = [np.fromiter(map(len, side), np.int64, len(side)) for side in ids]
+        flat = [np.fromiter(chain.from_iterable(side), np.int64, int(k.sum())) for side, k in zip(ids, n, strict=True)]
         ends = [np.cumsum(size[side]) for size, side in zip(self.sizes, flat, strict=True)]
-        cuts = np.union1d(*ends)
+        cuts = np.sort(np.concatenate(ends), kind="stable")  # two sorted runs
+        both = np.zeros(len(cuts), bool)
+        both[:-1] = cuts[1:] == cuts[:-1]  # an end of both sides is there twice
+        last = np.concatenate([~both[:-1], np.ones(min(1, len(cuts)), bool)])
+        both = np.concatenate([np.zeros(min(1, len(cuts)), bool), both[:-1]])[last]
+        cuts = cuts[last]
         at = [np.searchsorted(e, cuts) for e in ends]
-        both = (ends[0][at[0]] == cuts) & (ends[1][at[1]] == cuts) if len(cuts) else np.zeros(0, bool)
-        lengths = np.fromiter((len(p.encode()) if good else 0 for p, good in zip(new, spells, strict=True)), np.int64, len(new))
-        n_links = np.diff(np.searchsorted(cuts, np.concatenate([[0], np.cumsum(lengths)]), "right"))
-        edges = np.concatenate([[0], np.cumsum(n_links)])
-        n_groups = segment_sums(both.astype(np.float64), edges).astype(np.int64)
-        counts = np.stack([np.fromiter(map(len, of_a), np.int64, len(new)), np.fromiter(map(len, of_b), np.int64, len(new)), n_groups, n_links], axis=1)
-        closing = np.flatnonzero(both)  # a group ends with token x of A and y of B
-        said, x, y = [], 0, 0
-        names = [list(map(b"%d".__mod__, side.tolist())) for side in flat]
-        for i, j in zip((at[0][closing] + 1).tolist(), (at[1][closing] + 1).tolist(), strict=True):
-            said.append(b",".join(names[0][x:i]) + b"|" + b",".join(names[1][y:j]))
-            x, y = i, j
-        borders = np.concatenate([[0], np.cumsum(n_groups)]).tolist()
+        borders = [np.concatenate([[0], np.cumsum(k)]) for k in n]
+        piece_ends = np.concatenate([[0], ends[0]])[borders[0]]
+        edges = np.searchsorted(cuts, piece_ends, "right")
+        groups = np.concatenate([[0], np.cumsum(both)])
+        counts = np.stack([*n, np.diff(groups[edges]), np.diff(edges)], axis=1)
+        closing = [x[both] for x in at]  # the tokens of A and of B with which each group ends
+        group = [np.searchsorted(c, np.arange(len(side))) for c, side in zip(closing, flat, strict=True)]
+        order = np.zeros(len(flat[0]) + len(flat[1]), np.int64)
+        first_b, after_a = np.concatenate([[0], closing[1] + 1]), np.concatenate([closing[0] + 1, [0]])
+        order[np.arange(len(flat[0])) + first_b[group[0]]] = flat[0] + np.isin(np.arange(len(flat[0])), closing[0]) * self.half
+        order[np.arange(len(flat[1])) + after_a[group[1]]] = flat[1] + len(self.sizes[0]) + np.isin(np.arange(len(flat[1])), closing[1]) * self.half
+        words, where = list(map(self.written.__getitem__, order.tolist())), (borders[0] + borders[1]).tolist()
         self.numbers |= zip(new, range(len(self.said), len(self.said) + len(new)), strict=True)
-        self.said += [b";".join(said[i:j]) for i, j in zip(borders[:-1], borders[1:], strict=True)]
-        self.counts, self.spells = np.concatenate([self.counts, counts]), np.concatenate([self.spells, np.array(spells, bool)])
+        self.said += [b"".join(words[i:j])[:-1] for i, j in zip(where[:-1], where[1:], strict=True)]
+        self.counts, self.spells = np.concatenate([self.counts, counts]), np.concatenate([self.spells, spells])
         self.starts = np.concatenate([self.starts, self.starts[-1] + edges[1:]])
         self.pairs = np.concatenate([self.pairs, flat[0][at[0]] << 32 | flat[1][at[1]]])
 
-    def block(self, number: int, ids: list, texts: list[str], keep_groups: bool) -> pd.DataFrame:
-        """Rows of a block: one for each document, and one (row -1) with its pairs, how often it links them, and its pieces' links."""
+    def numbered(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of the texts' pieces, and how many pieces each text has; pieces not seen before are learnt."""
         cut = [self.pieces(t) if t else [] for t in texts]
         if new := [p for p in dict.fromkeys(chain.from_iterable(cut)) if p not in self.numbers]:
             self.learn(new)
+            self.long += sum(len(p) for p in new if len(p) > LONG)
         sizes = np.fromiter(map(len, cut), np.int64, len(cut))
-        borders = np.concatenate([[0], np.cumsum(sizes)])
-        at = np.fromiter(map(self.numbers.__getitem__, chain.from_iterable(cut)), np.int64, int(borders[-1]))
-        good = segment_sums((~self.spells[at]).astype(np.float64), borders) == 0
+        return np.fromiter(map(self.numbers.__getitem__, chain.from_iterable(cut)), np.int32, int(sizes.sum())), sizes
+
+    def block(self, number: int, ids: list, texts: list[str], keep_groups: bool) -> pd.DataFrame:
+        """Rows of a block: one for each document, and one (row -1) with its pairs, how often it links them, and its pieces' links."""
+        parts, first, held = [], 0, 0
+        for i, text in enumerate(texts):
+            held += len(text)
+            if held >= PART or i + 1 == len(texts):
+                parts.append(self.numbered(texts[first : i + 1]))
+                first, held = i + 1, 0
+        at, sizes = (np.concatenate(x) for x in zip(*parts, strict=True))
+        good = segment_sums((~self.spells[at]).astype(np.float64), np.concatenate([[0], np.cumsum(sizes)])) == 0
         at = at[np.repeat(good, sizes)]
         borders = np.concatenate([[0], np.cumsum(np.where(good, sizes, 0))])
         totals = segment_sums(self.counts[at].astype(np.float64), borders).astype(np.int64)
-        own, local, often = np.unique(at, return_inverse=True, return_counts=True)
-        n_links = self.counts[own, 3]
+        often = np.bincount(at, minlength=len(self.said))
+        own = np.flatnonzero(often)
+        place = np.zeros(len(often), np.int32)
+        place[own] = np.arange(len(own))
+        local, often, n_links = place[at], often[own], self.counts[own, 3]
         flat = self.pairs[np.repeat(self.starts[own] - np.concatenate([[0], np.cumsum(n_links)[:-1]]), n_links) + np.arange(n_links.sum())]
         pairs, links = np.unique(flat, return_inverse=True)
         times = np.bincount(links, np.repeat(often, n_links), len(pairs)).astype(np.int64)
-        said = [b";".join(self.said[p] for p in at[i:j].tolist()).decode() for i, j in zip(borders[:-1].tolist(), borders[1:].tolist(), strict=True)]
-        local, n = local.astype(np.int32), len(ids)
+        said = [b";".join(map(self.said.__getitem__, at[i:j].tolist())) for i, j in zip(borders[:-1].tolist(), borders[1:].tolist(), strict=True)]
+        n = len(ids)
         out = pd.DataFrame({
             "block": number, "row": [*range(n), -1], "doc_id": pd.array([*ids, None], "Int64"),
             **{k: [*totals[:, i].tolist(), 0] for i, k in enumerate(("n_a", "n_b", "n_groups", "n_links"))},
-            "groups": [*(said if keep_groups else [None] * n), None], "groups_sha256": [*(hashlib.sha256(s.encode()).hexdigest() if s else "" for s in said), None],
+            "groups": [*([s.decode() for s in said] if keep_groups else [None] * n), None], "groups_sha256": [*(hashlib.sha256(s).hexdigest() if s else "" for s in said), None],
             "pieces": [*(local[i:j].tobytes() for i, j in zip(borders[:-1], borders[1:], strict=True)), None],
             "pairs": [*[None] * n, pairs], "times": [*[None] * n, times],
             "links": [*[None] * n, links.astype(np.int32).tobytes()], "sizes": [*[None] * n, n_links.astype(np.int32).tobytes()],
         })
-        if len(self.numbers) > REMEMBERED or sum(len(p) for p in new if len(p) > LONG) > BLOCK:
+        if len(self.said) > REMEMBERED or self.long > BLOCK:
             self.forget()
         return out
 
@@ -176,14 +213,14 @@ def blocks(docs: DataFrame, byte_level: str, sentence_piece: str, id_col: str =
             yield aligner.block(number, ids, texts, keep_groups)
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return settle(rows.mapInPandas(run, BLOCKS), "aligned-blocks")
+    return settle(rows.mapInPandas(run, BLOCKS), "aligned-blocks", sweep=True)
 
 
 def pair_counts(blocked: DataFrame) -> DataFrame:
     """(pair, a, b, n, best_a, best_b): links of each id pair over the corpus, and whether none of its A or B id has more."""
     asked = blocked.where("row = -1").select(F.explode(F.arrays_zip("pairs", "times")).alias("p"))
     counts = asked.groupBy(F.col("p.pairs").alias("pair")).agg(F.sum("p.times").alias("n"))
-    counts = settle(counts.select("pair", F.shiftright("pair", 32).alias("a"), F.col("pair").bitwiseAND(0xFFFFFFFF).alias("b"), "n"), "pair-counts")
+    counts = settle(counts.select("pair", F.shiftright("pair", 32).alias("a"), F.col("pair").bitwiseAND(0xFFFFFFFF).alias("b"), "n"), "pair-counts", sweep=True)
     for side in ("a", "b"):  # at most as many rows as the vocabulary has ids
         most = counts.groupBy(side).agg(F.max("n").alias(f"most_{side}"))
         counts = counts.join(F.broadcast(most), side)
