@@ -3,10 +3,10 @@
 Of the bigrams of a word an edit touches two at most, so two words within one edit share one of the three bigrams of each
 that are rarest in the whole word table, at places that differ by one at most. Bigrams are ordered by how many words hold
 them, and a word is entered under its three rarest alone. A shared bigram that the edit left whole has the edit wholly on
-its left or wholly on its right, so the key is the bigram with all that stands on one of its sides, and the word's length:
-words under a key differ in what stands on the other side, by one code point at most in length, which is the limit on
-places. Every pair under a key is verified by its edit distance. Pairs are rows from the first, no group is held in a task,
-and a key with many words is split by the skew handling of joins.
+its left or wholly on its right, so a key is the bigram with all that stands on one of its sides, the shorter word's length,
+which limits the places, and half of what stands on the other side, since the edit spares one half of it. Keys are hashes;
+every pair under one is verified by its edit distance. Pairs are rows from the first, no group is held in a task, and a key
+with many words is split by the skew handling of joins.
 
 Defined cases: null texts have no words; null ids read as empty in the hash; ties of the largest count go to the smallest
 word by code points; forms strictly grow (by `factor`), so following them ends; equal rows each count; an empty table gives
@@ -55,18 +55,30 @@ def rarest_bigrams(words: DataFrame) -> DataFrame:
     return ranked.groupBy("word").agg(F.first("n").alias("n"), F.slice(order, 1, RAREST)["at"].alias("first"))
 
 
+def key_sql(size: str) -> str:
+    """Keys of `word` under its places `first`, for pairs whose shorter word has `size` code points.
+
+    at + 1 code points up to the end of a bigram, or `of_right` from its start on, are kept; of the rest, `free` long in the
+    shorter word, the edit spares the first half or the second.
+    """
+    free_right, of_right = f"({size} - at - 1)", "(length(word) - at + 1)"
+    free_left = f"({size} - {of_right})"
+    half = lambda n: f"CAST({n} div 2 AS INT)"
+    keys = [
+        (free_right, f"xxhash64(0, at, {size}, left(word, at + 1 + {half(free_right)}))"),
+        (free_right, f"xxhash64(1, at, {size}, left(word, at + 1), right(word, {free_right} - {half(free_right)}))"),
+        (free_left, f"xxhash64(2, {of_right}, {size}, left(word, {half(free_left)}), right(word, {of_right}))"),
+        (free_left, f"xxhash64(3, {of_right}, {size}, right(word, {of_right} + {free_left} - {half(free_left)}))"),
+    ]
+    return "array_distinct(array_compact(flatten(transform(first, at -> array(" + ", ".join(f"IF({free} < 0, NULL, {key})" for free, key in keys) + ")))))"
+
+
 def near_pairs(words: DataFrame) -> DataFrame:
     """(a, n_a, b, n_b): pairs of words of a (word, n) table at edit distance one, each once. Words of one code point have no bigram and no pair."""
-    size = F.length("word")
-    sides = F.transform("first", lambda at: F.array(
-        F.struct(F.lit("left").alias("side"), F.substring(F.col("word"), F.lit(1), at + 1).alias("kept")),
-        F.struct(F.lit("right").alias("side"), F.substring(F.col("word"), at, F.length("word")).alias("kept")),
-    ))
-    entered = rarest_bigrams(words).select("word", "n", size.alias("size"), F.explode(F.flatten(sides)).alias("k")).select("word", "n", "size", "k.side", "k.kept")
-    entered = settle(entered, "rarest-bigrams", sweep=True)
-    short = entered.select(F.col("word").alias("a"), F.col("n").alias("n_a"), "size", "side", "kept")
-    long = entered.select(F.col("word").alias("b"), F.col("n").alias("n_b"), F.col("size").alias("of_b"), F.explode(F.array("size", F.col("size") - 1)).alias("size"), "side", "kept")
-    found = short.join(long, ["side", "kept", "size"]).where("of_b > size OR a < b")
+    entered = settle(rarest_bigrams(words), "rarest-bigrams", sweep=True)
+    short = entered.select(F.col("word").alias("a"), F.col("n").alias("n_a"), F.explode(F.expr(key_sql("length(word)"))).alias("key"))
+    long = entered.select(F.col("word").alias("b"), F.col("n").alias("n_b"), F.explode(F.concat(*[F.expr(key_sql(f"(length(word) - {d})")) for d in (0, 1)])).alias("key"))
+    found = short.join(long, "key").where("length(b) > length(a) OR a < b")
     return found.where(F.levenshtein("a", "b", 1) == 1).select("a", "n_a", "b", "n_b").distinct()
 
 

@@ -197,8 +197,9 @@ def symbol_rows(docs: DataFrame, window: int) -> DataFrame:
 
 
 def earlier(rows: DataFrame, names: list[str], fields: list[str]) -> DataFrame:
-    """fields of the rows whose names a document with a smaller id has as well."""
+    """fields of the rows whose names a document with a smaller id has as well. The firsts are settled, so that the join can split a name with many rows."""
     first = rows.groupBy(*names).agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last").drop("last")
+    first = settle(first, "firsts", sweep=True)
     return rows.join(first, names).where("doc > first").select("doc", "part", *fields)
 
 
