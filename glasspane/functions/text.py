@@ -6,7 +6,7 @@ import re
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -37,6 +37,12 @@ def once_column(value: Column) -> Column:
     return F.when(F.rand() < 0, F.lit(None)).otherwise(value)
 
 
+def bounded(df: DataFrame) -> DataFrame:
+    """df behind a generator of one row: the optimiser and the planner take what stands above and what stands below it apart,
+    where long chains of projections would be merged and gone through again at each of them."""
+    return df.select(F.inline(F.array(F.struct(*[F.col(f"`{c}`") for c in df.columns]))))
+
+
 ZERO_WIDTH = java_class([(c, c) for c in V.ZERO_WIDTH])
 BIDI = java_class(V.BIDI_RANGES)
 TAGS = java_class([V.TAG_RANGE])

@@ -7,7 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .links import check_links
+from ..functions.text import bounded, decode_rounds_sql
+from .links import check_links, with_hit
 from .pages import judged_chunks, page_chunks
 
 ITEM = ["set", "kind", "label", "text", "where", "how", "note"]
@@ -26,7 +27,9 @@ def prompt_items(rows: DataFrame, name: str) -> DataFrame:
 
 def url_items(rows: DataFrame, name: str) -> DataFrame:
     """Items of (label, url, note), the prompt decoded from the url."""
-    return items_of(check_links(rows.select("label", "url", "note")).withColumn("text", F.coalesce("prompt", F.lit(""))), name, "link")
+    df = bounded(with_hit(rows.select("label", "url", "note"), "url", "__hit").select("label", "note", F.col("__hit.raw").alias("__raw")))
+    df = df.withColumn("text", F.when(F.col("__raw").isNotNull(), F.expr(decode_rounds_sql("__raw"))["v"]).otherwise(""))
+    return items_of(bounded(df.select("label", "text", "note")), name, "link")
 
 
 def text_items(rows: DataFrame, name: str) -> DataFrame:
@@ -48,8 +51,11 @@ def union_of(*sets: DataFrame) -> DataFrame:
 
 
 def rules_verdicts(items: DataFrame) -> DataFrame:
-    """items with verdict and score of the rules: a prompt as a link that carries it, a page text as a chunk where it was found."""
+    """items with verdict and score of the rules: a prompt as a link that carries it, a page text as a chunk where it was found.
+
+    Verdicts are bounded: what is asked of them later would else be rewritten into the rules' conditions.
+    """
     links = check_links(items.where("kind = 'link'").withColumn("url", F.concat(F.lit("https://chatgpt.com/?q="), F.url_encode("text"))))
     texts = judged_chunks(items.where("kind = 'page'")).withColumn("verdict", F.coalesce("verdict", F.lit("LOOKS_SAFE")))
     shown = [*items.columns, "verdict", F.col("score").cast("int").alias("score")]
-    return links.select(*shown).unionByName(texts.select(*shown))
+    return bounded(links.select(*shown)).unionByName(bounded(texts.select(*shown)))
