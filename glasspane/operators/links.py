@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from html import unescape
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import fixed_values as V
 from ..functions.text import decode_rounds_sql, decode_sql, lit, once, once_column
@@ -101,27 +105,37 @@ def check_links(links: DataFrame, url: str = "url") -> DataFrame:
     }).drop("__hit", "__decoded", "__notes")
 
 
-ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#34;", '"'), ("&#39;", "'"), ("&#x27;", "'"), ("&apos;", "'"), ("&#x3D;", "="), ("&#61;", "="), ("&nbsp;", " "), ("&amp;", "&"), ("&#38;", "&"), ("&#x26;", "&")]
 ATTRIBUTE = r"""(?is)(?:href|src|action|data-href|data-url)\s*=\s*(?:"([^"]*)"|'([^']*)')"""
 
 
-def unescaped(text: Column) -> Column:
-    """Entities that occur in addresses; the ampersand's last, so that no entity is decoded twice."""
-    for entity, char in ENTITIES:
-        text = F.replace(text, F.lit(entity), F.lit(char))
-    return text
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def entities_decoded(texts: pd.Series) -> pd.Series:
+    """All named and numeric HTML entities, with or without semicolon, longest name first, in one scan from the left; Spark has no function for it."""
+    return texts.map(lambda ts: None if ts is None else [None if t is None else unescape(t) for t in ts])
+
+
+def unescaped(texts: Column) -> Column:
+    """Array of texts with their entities decoded. Only rows with an ampersand go through Python."""
+    needs = F.exists(texts, lambda t: F.coalesce(F.contains(t, F.lit("&")), F.lit(False)))
+    return F.coalesce(entities_decoded(F.when(needs, texts)), texts)
+
+
+def quoted_links(html: Column) -> Column:
+    """Array of a page's attribute values that are addresses, decoded."""
+    return unescaped(F.transform(F.regexp_extract_all(html, F.lit(ATTRIBUTE), F.lit(0)), lambda m: F.regexp_extract(m, r"""(?is)=\s*["'](.*)["']$""", 1)))
 
 
 def extracted_links(html: Column) -> Column:
     """Array of links in a page: attribute values, then addresses anywhere else; trimmed, no repeats, in order."""
-    quoted = F.transform(F.regexp_extract_all(html, F.lit(ATTRIBUTE), F.lit(0)), lambda m: unescaped(F.regexp_extract(m, r"""(?is)=\s*["'](.*)["']$""", 1)))
+    quoted = quoted_links(html)
     bare = F.array_except(F.regexp_extract_all(html, F.lit(V.URL_IN_TEXT), F.lit(0)), quoted)
     return F.filter(F.array_distinct(F.transform(F.concat(quoted, bare), F.trim)), lambda u: u != "")
 
 
 def page_links(pages: DataFrame, html: str = "html") -> DataFrame:
     """One row per web link of a page, with its position `ord` and the page's other columns."""
-    df = pages.select(*[c for c in pages.columns if c != html], F.posexplode(extracted_links(F.col(html))).alias("ord", "url"))
+    rest = [c for c in pages.columns if c != html]
+    df = pages.select(*rest, extracted_links(F.col(html)).alias("__links")).select(*rest, F.posexplode("__links").alias("ord", "url"))
     df = df.where(F.col("url").rlike(r"(?i)^(?:https?:)?//|^www\."))
     return df.withColumn("url", F.when(F.col("url").startswith("//"), F.concat(F.lit("https:"), "url")).otherwise(F.col("url")))
 
@@ -151,7 +165,7 @@ def article_links(pages: DataFrame, base: str, html: str, most: int) -> DataFram
     root = F.regexp_extract(base, r"(?i)^(https?://[^/?#]*)", 1)
     folder = F.regexp_replace(F.regexp_extract(base, r"(?i)^(https?://[^?#]*)", 1), r"(?<=[^/:]/)[^/]*$", "")
     hrefs = F.regexp_extract_all(F.col(html), F.lit(r"""(?i)href\s*=\s*["']([^"'#]+)"""), F.lit(1))
-    rows = pages.select(base, F.posexplode(hrefs).alias("ord", "href")).withColumn("href", F.trim(unescaped(F.col("href"))))
+    rows = pages.select(base, unescaped(hrefs).alias("hrefs")).select(base, F.posexplode("hrefs").alias("ord", "href")).withColumn("href", F.trim("href"))
     absolute = (
         F.when(F.col("href").rlike(r"(?i)^[a-z][a-z0-9+.-]*:"), F.col("href"))
         .when(F.col("href").startswith("//"), F.concat(F.regexp_extract(base, r"(?i)^(https?:)", 1), "href"))
@@ -166,3 +180,22 @@ def article_links(pages: DataFrame, base: str, html: str, most: int) -> DataFram
     ranked = rows.groupBy(base, "url").agg(F.min("ord").alias("ord"), F.max(score).alias("score")).where("score > 0")
     best = ranked.groupBy(base).agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("minus"), "ord", "url"))), 1, most).alias("best"))
     return best.select(base, F.posexplode("best").alias("place", "b")).select(base, F.col("b.url").alias("url"), (F.col("place") + 1).alias("place"))
+
+
+def address_key(url: Column) -> Column:
+    """What addresses of one page share: host without www. and path without its last slash, lower-cased host; null without a host."""
+    host = F.regexp_replace(F.lower(F.regexp_extract(url, r"(?i)^\s*(?:https?:)?//([^/?#:\s]+)", 1)), r"^www\.|\.$", "")
+    path = F.regexp_replace(F.regexp_extract(url, r"(?i)^\s*(?:https?:)?//[^/?#\s]*([^?#\s]*)", 1), r"/+$", "")
+    return F.when(host != "", F.concat(host, path))
+
+
+def followed(links: DataFrame, pages: DataFrame, id_col: str, prompt: str = "prompt") -> DataFrame:
+    """(id, place, url, page): for each row of links the first three addresses that its prompt names, and what a table of pages knows of each.
+
+    pages: (url, page), page of any type, say a report; of several rows of an address that with the smallest url counts.
+    An address without a page has null. Pages are aggregated by address before the join, so that a popular address meets one
+    row; the join's own skew handling splits an address that many prompts name.
+    """
+    targets = links.select(F.col(id_col).alias("id"), follow_targets(F.col(prompt)).alias("__urls")).select("id", F.posexplode("__urls").alias("place", "url"))
+    known = pages.select(address_key(F.col("url")).alias("key"), "url", "page").where("key IS NOT NULL").groupBy("key").agg(F.min_by("page", "url").alias("page"))
+    return targets.withColumn("key", address_key(F.col("url"))).join(known, "key", "left").select("id", (F.col("place") + 1).alias("place"), "url", "page")

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import base64_texts_sql, hidden_kinds_sql, prompt_template, scrubbed, slices, tag_text_sql
 from ..operators import crawl, evaluation, links, pages, reviews
-from . import reports
+from . import reports, sql
 
 #: Prompt, verdict, score, rules.
 TEMPLATES = [
@@ -331,8 +331,27 @@ def conversation_prompts(spark, sf_dir):
     return links.check_links(rows).groupBy("verdict").agg(F.count("*").alias("n"), F.count_if(F.size("findings") > 0).alias("with_findings"))
 
 
+def followed_links(spark, sf_dir):
+    """Links whose prompts name real pages: the verdict of each link and of the page behind it, and the worse of both."""
+    known = pages.page_reports(pages.page_chunks(seeded_pages(spark, sf_dir))).select("page_id", F.col("verdict").alias("page"))
+    addresses = read(spark, sf_dir, "pages").select("page_id", "url")
+    asked = F.concat(pick([t[0] for t in TEMPLATES], F.col("page_id")), F.lit(". See "), "url", F.lit(". and https://absent.example/x"))
+    asked = addresses.select("page_id", F.concat(pick([p[0] for p in PREFIXES], F.col("page_id")), F.url_encode(asked)).alias("url"))
+    checked = links.check_links(asked).select("page_id", "prompt", F.col("verdict").alias("link"))
+    found = links.followed(checked, addresses.join(known, "page_id", "left").select("url", F.coalesce("page", F.lit("LOOKS_SAFE")).alias("page")), "page_id")
+    rows = checked.join(found, checked["page_id"] == found["id"]).select("page_id", "place", "link", "page", pages.overall(F.col("page"), F.col("link")).alias("overall"))
+    return rows
+
+
+def sql_chunk_places(spark, sf_dir):
+    """Chunks of whole pages by a table function, in SQL."""
+    sql.register_functions(spark)
+    seeded_pages(spark, sf_dir).createOrReplaceTempView("glasspane_pages")
+    return spark.sql("SELECT c.`where`, c.how, count(*) AS n FROM glasspane_pages, LATERAL page_chunks(html) AS c WHERE c.`where` <> 'visible' GROUP BY c.`where`, c.how")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (planted_rules, reviewed_pages, ai_review_summary, evaluation_items, wrong_verdicts, link_verdicts, link_findings, link_prompts, document_link_verdicts, nested_redirects, encoding_rounds, prompt_params, hidden_characters, tag_smuggling, base64_payloads, page_links, article_links, page_chunk_places, page_verdicts, review_candidates, flagged_candidates, text_files, link_templates, site_summary, site_status, review_listing, anonymised_texts, prompt_templates, confusion_matrix, evaluation_sets, review_policy, annotation_slices, conversation_prompts)
+    found = (followed_links, sql_chunk_places, planted_rules, reviewed_pages, ai_review_summary, evaluation_items, wrong_verdicts, link_verdicts, link_findings, link_prompts, document_link_verdicts, nested_redirects, encoding_rounds, prompt_params, hidden_characters, tag_smuggling, base64_payloads, page_links, article_links, page_chunk_places, page_verdicts, review_candidates, flagged_candidates, text_files, link_templates, site_summary, site_status, review_listing, anonymised_texts, prompt_templates, confusion_matrix, evaluation_sets, review_policy, annotation_slices, conversation_prompts)
     return {f.__name__: f for f in found}
 
 
@@ -367,7 +386,19 @@ def oracle_sql() -> dict[str, str]:
             UNION ALL SELECT 'links', 'link', {wanted}, {chosen([t[1] for t in TEMPLATES], 'k')} FROM t
             UNION ALL SELECT 'texts', 'page', {wanted}, CASE WHEN k % 2 = 1 THEN 'DANGEROUS' ELSE 'LOOKS_SAFE' END FROM t WHERE k % 2 = 1 OR trim(said) <> ''
             UNION ALL SELECT 'pages', 'page', CASE WHEN ({content}) IS NULL THEN 'benign' ELSE 'malicious' END, {unseen} FROM pages WHERE contains(html, '</article>'))"""
+    chunk_places = f"SELECT place AS \"where\", how, count(*) AS n FROM pages JOIN (VALUES {', '.join(f'({i}, {quoted(s[1])}, {quoted(places[s[1]])})' for i, s in enumerate(SNIPPETS) if s[1] in places)}) v(t, place, how) ON page_id % {len(SNIPPETS)} = t WHERE contains(html, '</article>') GROUP BY 1, 2"
+    asked = chosen([t[1] for t in TEMPLATES], "page_id")
+    order = lambda v: f"CASE {v} WHEN 'DANGEROUS' THEN 2 WHEN 'SUSPICIOUS' THEN 1 ELSE 0 END"
     return {
+        "followed_links": rf"""
+            WITH k AS (SELECT page_id, url, regexp_replace(lower(regexp_extract(url, '^(?:https?:)?//([^/?#]+)', 1)), '^www\.', '') || regexp_replace(regexp_extract(url, '^(?:https?:)?//[^/?#]*([^?#]*)', 1), '/+$', '') AS key, {asked} AS link, coalesce({content}, 'LOOKS_SAFE') AS page FROM pages),
+            f AS (SELECT key, arg_min(page, url) AS page FROM k GROUP BY key),
+            t AS (SELECT page_id, link, CASE WHEN page_id % {T} = 4 THEN 2 ELSE 1 END AS place, key FROM k
+                UNION ALL SELECT page_id, link, CASE WHEN page_id % {T} = 4 THEN 3 ELSE 2 END, NULL FROM k
+                UNION ALL SELECT page_id, link, 1, NULL FROM k WHERE page_id % {T} = 4)
+            SELECT page_id, CAST(place AS INT) AS place, link, page, CASE greatest({order('link')}, {order('page')}) WHEN 2 THEN 'DANGEROUS' WHEN 1 THEN 'SUSPICIOUS' ELSE 'LOOKS_SAFE' END AS overall
+            FROM t LEFT JOIN f USING (key)""",
+        "sql_chunk_places": chunk_places,
         "planted_rules": f"SELECT {chosen([r[0] for r in PLANTED], 'doc_id')} AS rule, {chosen([r[1] for r in PLANTED], 'doc_id')} AS category, CAST({chosen([r[2] for r in PLANTED], 'doc_id')} AS INT) AS weight, count(*) AS n FROM documents GROUP BY 1, 2, 3",
         "reviewed_pages": f"SELECT {after[0]} AS verdict, CAST({after[1]} AS INT) AS score, CAST({chosen([int(s[1] in places) for s in SNIPPETS], 'page_id')} AS BIGINT) AS hidden_chunks, CAST({after[2]} AS INT) AS heard, count(*) AS n FROM pages GROUP BY 1, 2, 3, 4",
         "ai_review_summary": f"SELECT CASE WHEN doc_id % 2 = 0 THEN 'link' ELSE 'page' END AS kind, count(*) AS reviewed, count(*) FILTER (doc_id % {len(REPLIES)} > 2) AS errors, count(*) FILTER ({lifted}) AS flagged, count(*) FILTER ({lifted} AND {passed}) AS new, count(DISTINCT source) FILTER ({lifted} AND {passed}) AS new_sites FROM documents GROUP BY 1",
@@ -388,7 +419,7 @@ def oracle_sql() -> dict[str, str]:
             d AS (SELECT page_id, list_filter(u, lambda e, i: list_position(u, e) = i) AS u FROM x)
             SELECT page_id, len(u) AS n_links, md5(array_to_string(u, ' ')) AS links_md5 FROM d""",
         "article_links": "SELECT 'https://s' || page_id || '.example/' AS base, 'https://s' || page_id || '.example' || p.path AS url, CAST(p.place AS INT) AS place FROM (SELECT page_id, unnest([{'path': '/blog/post-' || (page_id % 7) || '-of-many', 'place': 1}, {'path': '/a-b', 'place': 2}]) AS p FROM pages)",
-        "page_chunk_places": f"SELECT place AS \"where\", how, count(*) AS n FROM pages JOIN (VALUES {', '.join(f'({i}, {quoted(s[1])}, {quoted(places[s[1]])})' for i, s in enumerate(SNIPPETS) if s[1] in places)}) v(t, place, how) ON page_id % {len(SNIPPETS)} = t WHERE contains(html, '</article>') GROUP BY 1, 2",
+        "page_chunk_places": chunk_places,
         "page_verdicts": f"SELECT coalesce({content}, 'LOOKS_SAFE') AS verdict, CAST({chosen([s[3] for s in SNIPPETS], 'page_id')} AS INT) AS score, CAST({chosen([int(s[1] in places) for s in SNIPPETS], 'page_id')} AS BIGINT) AS hidden_chunks, count(*) AS n FROM pages GROUP BY 1, 2, 3",
         "flagged_candidates": f"SELECT page_id, CAST(1 AS INT) AS place, {chosen([s[1] for s in SNIPPETS], 'page_id')} AS \"where\", {content} AS verdict, {chosen(SAID, 'page_id')} AS text FROM pages WHERE ({content}) IS NOT NULL AND contains(html, '</article>')",
         "text_files": f"SELECT CASE WHEN doc_id % 3 = 1 THEN 'LOOKS_SAFE' ELSE 'SUSPICIOUS' END AS verdict, CAST(CASE WHEN doc_id % 3 = 1 THEN 0 ELSE 5 END AS INT) AS score, CAST(3 AS BIGINT) AS chunks, CAST(0 AS BIGINT) AS hidden_chunks, count(*) AS n FROM documents GROUP BY 1, 2",

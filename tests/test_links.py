@@ -1,4 +1,7 @@
 import base64
+import random
+from html import unescape
+from html.entities import html5
 from urllib.parse import quote
 
 import pytest
@@ -76,3 +79,28 @@ def test_readers(spark, tmp_path):
     assert [tuple(r) for r in readers.ranked_sites(spark, str(tmp_path / "t.csv")).collect()] == [(1, "a.example")]
     (tmp_path / "p.html").write_bytes(b"<p>\xff</p>")
     assert readers.saved_pages(spark, str(tmp_path / "p.html")).first().html == "<p>�</p>"
+
+
+def test_entities_are_those_of_the_standard_library(spark):
+    """Names with and without semicolon, longest first, numbers and their replacements, nothing decoded twice, nulls and plain texts."""
+    rng = random.Random(4)
+    pieces = ["&amp;", "&amp", "&ampx;", "&notit;", "&not", "&notin;", "&#38;", "&#x26;lt;", "&#128;", "&#x80", "&#0;", "&#xD800;", "&#1114112;", "&#11;", "&copy=1", "&CounterClockwiseContourIntegral;", "&", "&;", "&#;", "&#x;", "x", "?a=1", "&amp;amp;", "&nbsp;", "é", "&apos;"]
+    texts = ["".join(rng.choice(pieces) for _ in range(rng.randint(0, 7))) for _ in range(400)] + [f"&{n}" for n in list(html5)[::9]]
+    rows = spark.createDataFrame([(i, [t, None, "plain"]) for i, t in enumerate(texts)] + [(-1, ["plain", ""]), (-2, None)], "i int, t array<string>")
+    got = {r.i: r.u for r in rows.select("i", links.unescaped(F.col("t")).alias("u")).collect()}
+    assert [got[i] for i in range(len(texts))] == [[unescape(t), None, "plain"] for t in texts]
+    assert got[-1] == ["plain", ""] and got[-2] is None
+    html = '<a href="https://chatgpt.com/?q=keep&plus;this&num;&amp;x=1&copy=2">a</a><a href="/b&hellip;c">b</a>'
+    found = spark.createDataFrame([(html,)], "html string").select(links.extracted_links(F.col("html")).alias("u")).first().u
+    assert found[:2] == ["https://chatgpt.com/?q=keep+this#&x=1©=2", "/b…c"]
+
+
+def test_prompts_are_followed_to_pages(spark):
+    """Three targets at most, addresses compared by host and path, one page an address, prompts without addresses or pages, a popular address."""
+    pages = spark.createDataFrame([("https://www.A.example/x/?q=1", "second"), ("http://a.example/x#top", "first"), ("https://b.example", "b"), (None, "none"), ("no address", "none")], "url string, page string")
+    asked = [(1, "see https://a.example/x. and (http://www.b.example/) or https://c.example/y, https://d.example"), (2, "nothing here"), (3, None), (4, "https://b.example/ https://b.example/"), *((i, "go to HTTPS://A.example/x/") for i in range(10, 60))]
+    rows = spark.createDataFrame(asked, "me int, prompt string")
+    got = sorted((r.id, r.place, r.url, r.page) for r in links.followed(rows, pages, "me").collect())
+    assert got[:3] == [(1, 1, "https://a.example/x", "first"), (1, 2, "http://www.b.example/", "b"), (1, 3, "https://c.example/y", None)]
+    assert [g[:2] + g[3:] for g in got[3:4]] == [(4, 1, "b")] and [g[3] for g in got if g[0] >= 10] == ["first"] * 50
+    assert links.followed(rows, pages.where(F.lit(False)), "me").where("page IS NOT NULL").count() == 0
