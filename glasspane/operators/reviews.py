@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
 import pandas as pd
@@ -22,6 +23,10 @@ SYSTEM = (
 )
 
 
+#: The error of an item that was not asked.
+OUT_OF_TIME = "out of time"
+
+
 def messages(text: Column, source: Column, where: Column) -> Column:
     """Struct (system, user). The text stands in a fence of a random number; fences within the text are removed."""
     nonce = F.substring(F.replace(F.uuid(), F.lit("-"), F.lit("")), 1, 16)
@@ -35,8 +40,11 @@ def messages(text: Column, source: Column, where: Column) -> Column:
     return F.struct(system.alias("system"), F.element_at(fenced, 1).alias("user"))
 
 
-def replies(items: DataFrame, complete: Callable[[str, str], str], text: str = "text", kind: str = "kind", where: str = "where") -> DataFrame:
-    """items with `reply`: what complete(system, user) gives, or null and `reply_error` where it fails. Runs on the executors."""
+def replies(items: DataFrame, complete: Callable[[str, str], str], text: str = "text", kind: str = "kind", where: str = "where", until: float | None = None, clock: Callable[[], float] = time.time) -> DataFrame:
+    """items with `reply`: what complete(system, user) gives, or null and `reply_error` where it fails. Runs on the executors.
+
+    Items whose turn comes when the executor's clock is past `until` are not asked: their reply is null, their reply_error OUT_OF_TIME.
+    """
     asked = items.withColumn("__m", messages(F.col(text), F.col(kind), F.col(where) if where in items.columns else F.lit("")))
     asked = asked.withColumns({"__s": F.col("__m.system"), "__u": F.col("__m.user")}).drop("__m")
     schema = items.schema.add("reply", "string").add("reply_error", "string")
@@ -45,6 +53,9 @@ def replies(items: DataFrame, complete: Callable[[str, str], str], text: str = "
         for frame in frames:
             got = []
             for system, user in zip(frame.pop("__s"), frame.pop("__u"), strict=True):
+                if until is not None and clock() > until:
+                    got.append((None, OUT_OF_TIME))
+                    continue
                 try:
                     got.append((complete(system, user), None))
                 except Exception as e:  # one failed review is no verdict, and no reason to stop
@@ -54,6 +65,24 @@ def replies(items: DataFrame, complete: Callable[[str, str], str], text: str = "
     return asked.mapInPandas(run, schema)
 
 
+def unanswered(items: DataFrame, done: DataFrame, id_col: str = "id") -> DataFrame:
+    """Items that no earlier run has answered: what is left to do. Null ids are always left."""
+    return items.join(done.select(id_col).distinct(), id_col, "left_anti")
+
+
+def replies_within(items: DataFrame, complete: Callable[[str, str], str], until: float, done: DataFrame | None = None, id_col: str = "id", clock: Callable[[], float] = time.time) -> DataFrame:
+    """replies of the items (id, text, kind, where and more) whose turn came by `until`, in seconds since the epoch.
+
+    done: what earlier runs wrote; its items are left out. Within each task links come first, then texts that visitors do not
+    see. Write the result down before anything else: a task that runs again after `until`, say for a lost executor, answers
+    nothing. What is then missing in the written table is `unanswered`, and the next run takes it up; the runs together give each id once.
+    """
+    left = items if done is None else unanswered(items, done, id_col)
+    turn = F.when(F.col("kind") == "link", 0).when(F.coalesce("where", F.lit("")) != "visible", 1).otherwise(2)
+    asked = replies(left.sortWithinPartitions(turn, id_col), complete, until=until, clock=clock)
+    return asked.where(F.coalesce("reply_error", F.lit("")) != OUT_OF_TIME)
+
+
 def parsed(reply: str, error: str | None = None) -> Column:
     """Struct (manipulative, category, confidence, reason, error, speaks_to_ai, persistent) of a reply column.
 

@@ -11,6 +11,10 @@ from ..functions.text import base64_texts_sql, hidden_kinds_sql, let, lit, norma
 FINDING = "struct<rule: string, category: string, weight: int, description: string, evidence: string>"
 
 
+#: A character of two UTF-16 units.
+WIDE = r"[\x{10000}-\x{10FFFF}]"
+
+
 def finding_sql(rule: str, evidence: str) -> str:
     category, weight, description = (V.EXTRA_FINDINGS.get(rule) or V.RULES[rule])[:3]
     return f"named_struct('rule', {lit(rule)}, 'category', {lit(category)}, 'weight', {weight}, 'description', {lit(description)}, 'evidence', {evidence})"
@@ -82,5 +86,46 @@ def rank(verdict_: Column) -> Column:
     return F.when(verdict_ == "LOOKS_SAFE", 0).when(verdict_ == "SUSPICIOUS", 1).when(verdict_ == "DANGEROUS", 2)
 
 
+def place_sql(low: str, patterns: list[str]) -> str:
+    """Struct (start, end) of what the first pattern that matches has matched, in characters from 0; null if none does.
+
+    Spark tells places in UTF-16 units, so for texts with characters of two units what stands before the match is taken and measured.
+    """
+
+    def one(pattern):
+        plain, whole = lit("(?U)" + pattern), lit(rf"(?U)\A((?s:.)*?)(?:{pattern})")
+        start = f"IF({low} RLIKE {lit(WIDE)}, char_length(regexp_extract({low}, {whole}, 1)), regexp_instr({low}, {plain}) - 1)"
+        return let(f"regexp_extract({low}, {plain}, 0)", "m", f"IF(trim(m) = '', NULL, {let(start, 'a', "named_struct('start', a, 'end', a + char_length(m))")})")
+
+    return f"coalesce({', '.join(map(one, patterns))})"
+
+
+def highlight_sql(prompt: str, rules: str) -> str:
+    """Array of (start, end, rules), in order: the stretches of a prompt, as written, in which its rules of strong categories
+    have their first matches; stretches that touch are one. Characters count from 0, `end` is behind the last.
+
+    rules: array of the ids that were found. Rules that only match the normalised prompt have no stretch, and a prompt whose
+    length changes with lower-casing has none at all; a null prompt gives null.
+    """
+    strong = {rule: patterns for rule, (category, _, _, patterns) in V.RULES.items() if category in V.STRONG}
+    entry = lambda rule, i, patterns: let(f"IF(array_contains({rules}, {lit(rule)}), {place_sql('low', patterns)}, NULL)", "p", f"IF(p IS NULL, NULL, named_struct('start', p.start, 'at', {i}, 'end', p.end, 'rules', array({lit(rule)})))")
+    found = f"array_sort(array_compact(array({', '.join(entry(rule, i, patterns) for i, (rule, patterns) in enumerate(strong.items()))})))"
+    stretch = "array<struct<start: int, end: int, rules: array<string>>>"
+    last = "element_at(acc, -1)"
+    joined = f"named_struct('start', {last}.start, 'end', greatest({last}.end, r.end), 'rules', concat({last}.rules, r.rules))"
+    fold = f"aggregate({found}, CAST(array() AS {stretch}), (acc, r) -> IF(size(acc) > 0 AND r.start <= try_element_at(acc, -1).end, concat(slice(acc, 1, size(acc) - 1), array({joined.replace('element_at(acc', 'try_element_at(acc')})), array_append(acc, named_struct('start', r.start, 'end', r.end, 'rules', r.rules))))"
+    marked = let(f"lower({prompt})", "low", f"IF(char_length(low) <> char_length({prompt}), CAST(array() AS {stretch}), {fold})")
+    return f"IF({prompt} IS NULL, NULL, {marked})"
+
+
+def plain_findings(findings: Column, wrapped: Column) -> Column:
+    """Array of sentences on what a link tries to do, in a fixed order; wrapped: its wrapper links."""
+    said = F.transform(findings, lambda f: F.array(f["category"], f["rule"]))
+    names = F.coalesce(F.flatten(said), F.array().cast("array<string>"))
+    lines = F.array_compact(F.array(*[F.when(F.array_contains(names, name), sentence) for name, sentence in V.PLAIN], F.when(F.size(wrapped) > 0, V.PLAIN_WRAPPED)))
+    weak = F.arrays_overlap(names, F.array(F.lit("memory-weak"), F.lit("trust-weak")))
+    return F.when((F.size(lines) == 0) & weak, F.array(F.lit(V.PLAIN_WEAK))).otherwise(lines)
+
+
 def rule_table(spark) -> DataFrame:
     return spark.createDataFrame([(k, c, w, d, p) for k, (c, w, d, p) in V.RULES.items()], "id string, category string, weight int, description string, patterns array<string>")

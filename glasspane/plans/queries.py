@@ -11,8 +11,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import base64_texts_sql, hidden_kinds_sql, prompt_template, scrubbed, slices, tag_text_sql
+from ..functions import fixed_values as V
+from ..functions.text import base64_texts_sql, bounded, hidden_kinds_sql, prompt_template, scrubbed, slices, tag_text_sql
 from ..operators import crawl, evaluation, links, pages, reviews
+from ..operators.rules import highlight_sql, plain_findings
 from ..sources.responses import packed
 from . import reports, sql
 
@@ -73,6 +75,8 @@ PAGE_REPLIES = [
 REVIEWED = [("LOOKS_SAFE", 0, 0), ("DANGEROUS", 9, 1), ("DANGEROUS", 10, 0), ("DANGEROUS", 5, 1), ("SUSPICIOUS", 0, 1), ("DANGEROUS", 7, 0)]
 
 
+#: Where the words are that a template's strong rules mark: start, end, rules; for templates that have some.
+MARKED = {1: [(24, 37, "MEM-001"), (38, 70, "TRU-001"), (71, 91, "MEM-002")], 2: [(0, 32, "OVR-001")], 3: [(0, 17, "MEM-001")], 4: [(0, 24, "EXF-001")], 5: [(0, 11, "MEM-002")]}
 #: Pages of a site that is visited.
 VISITED = 5
 
@@ -390,8 +394,22 @@ def site_visits(spark, sf_dir):
     return out.select("site", "status", "robots", F.size("pages").cast("long").alias("n_pages"), told(lambda p: p["url"]).alias("urls"), told(lambda p: p["content"]["verdict"]).alias("contents"), told(lambda p: F.array_join(F.transform(p["ai_links"], lambda a: a["verdict"]), ",")).alias("links"), F.col("llms_txt.verdict").alias("llms"))
 
 
+def highlighted_prompts(spark, sf_dir):
+    """Templates behind whole texts: the stretches in which their rules match, in characters of the whole prompt."""
+    rules = F.element_at(F.array(*[F.array(*map(F.lit, t[3])).cast("array<string>") for t in TEMPLATES]), (row_id() % T + 1).cast("int"))
+    rows = read(spark, sf_dir, "documents").select("doc_id", F.concat(body(), F.lit(" "), pick([t[0] for t in TEMPLATES], row_id())).alias("prompt"), rules.alias("rules"))
+    return bounded(rows).select("doc_id", F.inline(F.expr(highlight_sql("prompt", "rules")))).select("doc_id", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), F.array_join("rules", ",").alias("rules"))
+
+
+def plain_reasons(spark, sf_dir):
+    """What links try to do, in plain words: how many links for each sentence, links wrapped by a rule on their id."""
+    rows = with_link(spark, sf_dir).withColumn("url", F.when(row_id() % 3 == 0, F.concat(F.lit("https://r.example/go?url="), F.url_encode("url"))).otherwise(F.col("url")))
+    said = bounded(links.check_links(bounded(rows)).select("doc_id", "findings", "unwrapped_from")).select("doc_id", plain_findings(F.col("findings"), F.col("unwrapped_from")).alias("said"))
+    return said.select(F.explode("said").alias("sentence")).groupBy("sentence").agg(F.count("*").alias("n"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (site_visits, followed_links, sql_chunk_places, planted_rules, reviewed_pages, ai_review_summary, evaluation_items, wrong_verdicts, link_verdicts, link_findings, link_prompts, document_link_verdicts, nested_redirects, encoding_rounds, prompt_params, hidden_characters, tag_smuggling, base64_payloads, page_links, article_links, page_chunk_places, page_verdicts, review_candidates, flagged_candidates, text_files, link_templates, site_summary, site_status, review_listing, anonymised_texts, prompt_templates, confusion_matrix, evaluation_sets, review_policy, annotation_slices, conversation_prompts)
+    found = (site_visits, highlighted_prompts, plain_reasons, followed_links, sql_chunk_places, planted_rules, reviewed_pages, ai_review_summary, evaluation_items, wrong_verdicts, link_verdicts, link_findings, link_prompts, document_link_verdicts, nested_redirects, encoding_rounds, prompt_params, hidden_characters, tag_smuggling, base64_payloads, page_links, article_links, page_chunk_places, page_verdicts, review_candidates, flagged_candidates, text_files, link_templates, site_summary, site_status, review_listing, anonymised_texts, prompt_templates, confusion_matrix, evaluation_sets, review_policy, annotation_slices, conversation_prompts)
     return {f.__name__: f for f in found}
 
 
@@ -429,6 +447,9 @@ def oracle_sql() -> dict[str, str]:
     chunk_places = f"SELECT place AS \"where\", how, count(*) AS n FROM pages JOIN (VALUES {', '.join(f'({i}, {quoted(s[1])}, {quoted(places[s[1]])})' for i, s in enumerate(SNIPPETS) if s[1] in places)}) v(t, place, how) ON page_id % {len(SNIPPETS)} = t WHERE contains(html, '</article>') GROUP BY 1, 2"
     asked = chosen([t[1] for t in TEMPLATES], "page_id")
     order = lambda v: f"CASE {v} WHEN 'DANGEROUS' THEN 2 WHEN 'SUSPICIOUS' THEN 1 ELSE 0 END"
+    marks = ", ".join(f"({t}, {a}, {b}, '{r}')" for t, found in MARKED.items() for a, b, r in found)
+    spoken = dict(V.PLAIN)
+    reasons = ", ".join(f"({t}, {quoted(x)})" for t, found in enumerate(TEMPLATES) for x in [*(spoken[c] for c in V.STRONG if c in {category[r][0] for r in found[3]}), *[V.PLAIN_WEAK] * (found[3] == ["MEM-003"])])
     visited = f"""WITH p AS (SELECT page_id, page_id // {VISITED} AS n, page_id % {VISITED} AS k, coalesce(html, '') <> '' AS told, {content} AS content, {link_at} AS link FROM pages),
         s AS (SELECT n, CASE n % 8 WHEN 2 THEN 'robots_disallowed' WHEN 4 THEN 'unreachable' WHEN 5 THEN 'no_html:200' WHEN 6 THEN 'no_html:0' WHEN 7 THEN 'no_html:503' ELSE CASE WHEN told THEN 'ok' ELSE 'no_html:200' END END AS status FROM p WHERE k = 0),
         r AS (SELECT s.n, list(p.page_id ORDER BY k) AS ids, list('https://' || CASE WHEN s.n % 8 = 3 THEN 'www.' ELSE '' END || 's' || s.n || '.example' || CASE k WHEN 0 THEN '/' ELSE CASE WHEN k = {VISITED - 1} THEN '/private/' ELSE '/' END || 'blog/p-' || page_id || '-of-the-many-long-words' END ORDER BY k) AS urls,
@@ -436,6 +457,9 @@ def oracle_sql() -> dict[str, str]:
         SELECT 's' || s.n || '.example' AS site, status, CASE WHEN status = 'robots_disallowed' THEN 'disallowed' WHEN status <> 'unreachable' THEN 'allowed' END AS robots, coalesce(len(ids), 0) AS n_pages, coalesce(array_to_string(urls, ' '), '') AS urls, coalesce(array_to_string(contents, ' '), '') AS contents, coalesce(array_to_string(links, ' '), '') AS links, CASE WHEN status = 'ok' AND s.n % 3 = 0 THEN 'SUSPICIOUS' END AS llms FROM s LEFT JOIN r ON s.n = r.n"""
     return {
         "site_visits": visited,
+        "highlighted_prompts": f"SELECT doc_id, length(coalesce(text, '')) + 1 + a AS start, length(coalesce(text, '')) + 1 + b AS \"end\", r AS rules FROM documents JOIN (VALUES {marks}) m(t, a, b, r) ON doc_id % {T} = t WHERE length(lower(coalesce(text, ''))) = length(coalesce(text, ''))",
+        "plain_reasons": f"""SELECT sentence, count(*) AS n FROM (SELECT s.sentence FROM documents JOIN (VALUES {reasons}) s(t, sentence) ON doc_id % {T} = t WHERE s.sentence <> {quoted(V.PLAIN_WEAK)} OR doc_id % 3 <> 0
+            UNION ALL SELECT {quoted(V.PLAIN_WRAPPED)} FROM documents WHERE doc_id % 3 = 0) GROUP BY sentence""",
         "followed_links": rf"""
             WITH k AS (SELECT page_id, url, regexp_replace(lower(regexp_extract(url, '^(?:https?:)?//([^/?#]+)', 1)), '^www\.', '') || regexp_replace(regexp_extract(url, '^(?:https?:)?//[^/?#]*([^?#]*)', 1), '/+$', '') AS key, {asked} AS link, coalesce({content}, 'LOOKS_SAFE') AS page FROM pages),
             f AS (SELECT key, arg_min(page, url) AS page FROM k GROUP BY key),
