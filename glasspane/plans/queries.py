@@ -125,10 +125,9 @@ def body() -> Column:
     return F.coalesce("text", F.lit(""))
 
 
-def with_link(spark, sf_dir, tail: Column | None = None) -> DataFrame:
-    """A link for each document: a template, and a tail that is the text's digest unless another is given."""
-    tail = F.substring(F.md5(F.coalesce("text", F.lit(""))), 1, 8) if tail is None else tail
-    asked = F.concat(pick([t[0] for t in TEMPLATES], row_id()), F.lit(" "), tail)
+def with_link(spark, sf_dir) -> DataFrame:
+    """A link for each document: a template, and after it the whole text."""
+    asked = F.concat(pick([t[0] for t in TEMPLATES], row_id()), F.lit(" "), body())
     return read(spark, sf_dir, "documents").select("doc_id", "source", F.concat(pick([p[0] for p in PREFIXES], row_id()), F.url_encode(asked)).alias("url"))
 
 
@@ -145,13 +144,12 @@ def link_findings(spark, sf_dir):
 
 
 def link_prompts(spark, sf_dir):
-    return links.check_links(with_link(spark, sf_dir, body())).select("doc_id", "assistant", "param", F.md5("prompt").alias("prompt_md5"), F.length("prompt").cast("long").alias("prompt_chars"))
+    return links.check_links(with_link(spark, sf_dir)).select("doc_id", "assistant", "param", F.md5("prompt").alias("prompt_md5"), F.length("prompt").cast("long").alias("prompt_chars"))
 
 
 def document_link_verdicts(spark, sf_dir):
     """Links that carry whole texts, judged: what the rules say of ordinary prose beside the templates."""
-    rows = links.check_links(with_link(spark, sf_dir, body()))
-    return rows.groupBy((row_id() % T).cast("int").alias("template"), "verdict").agg(F.count("*").alias("n"), F.sum("score").alias("total"))
+    return checked(spark, sf_dir).groupBy((row_id() % T).cast("int").alias("template"), "verdict").agg(F.count("*").alias("n"), F.sum("score").alias("total"))
 
 
 def wrapped(url: Column, times: Column) -> Column:
@@ -441,7 +439,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     assistant, param = chosen([p[1] for p in PREFIXES], "doc_id"), chosen([p[2] for p in PREFIXES], "doc_id")
-    verdict, score = chosen([t[1] for t in TEMPLATES], "doc_id"), chosen([t[2] for t in TEMPLATES], "doc_id")
+    # Template 5 ends in what is recommended; where the text behind it says "only" or "first" within the sentence, that is a second rule.
+    only = rf"(doc_id % {T} = 5 AND regexp_matches(regexp_replace(lower({PROMPT_SQL}), '[.!?](\s|$)', chr(10), 'g'), '\brecommend\b[^\n]{{0,60}}\b(first|above|over|before|instead of|rather than|exclusively|only)\b'))"
+    verdict, score = (f"CASE WHEN {only} THEN {seen} ELSE {chosen([t[i] for t in TEMPLATES], 'doc_id')} END" for i, seen in ((1, "'DANGEROUS'"), (2, 8)))
     category = {"MEM-001": ("memory", 4), "MEM-002": ("memory", 3), "MEM-003": ("memory-weak", 1), "TRU-001": ("trust", 3), "TRU-003": ("trust-weak", 1), "SHP-001": ("shape", 1), "OVR-001": ("override", 3), "EXF-001": ("exfiltration", 4)}
     rules = ", ".join(f"({i}, '{r}', '{category[r][0]}', {category[r][1]})" for i, t in enumerate(TEMPLATES) for r in t[3])
     places = {"hidden": "display:none", "comment": "<!-- -->", "attribute": "alt", "structured-data": "text"}
@@ -487,6 +487,7 @@ def oracle_sql() -> dict[str, str]:
         "site_visits": visited,
         "highlighted_prompts": f"SELECT doc_id, length(coalesce(text, '')) + 1 + a AS start, length(coalesce(text, '')) + 1 + b AS \"end\", r AS rules FROM documents JOIN (VALUES {marks}) m(t, a, b, r) ON doc_id % {T} = t WHERE length(lower(coalesce(text, ''))) = length(coalesce(text, ''))",
         "plain_reasons": f"""SELECT sentence, count(*) AS n FROM (SELECT s.sentence FROM documents JOIN (VALUES {reasons}) s(t, sentence) ON doc_id % {T} = t WHERE s.sentence <> {quoted(V.PLAIN_WEAK)} OR doc_id % 3 <> 0
+            UNION ALL SELECT {quoted(spoken["trust"])} FROM documents WHERE {only}
             UNION ALL SELECT {quoted(V.PLAIN_WRAPPED)} FROM documents WHERE doc_id % 3 = 0) GROUP BY sentence""",
         "followed_links": rf"""
             WITH k AS (SELECT page_id, url, regexp_replace(lower(regexp_extract(url, '^(?:https?:)?//([^/?#]+)', 1)), '^www\.', '') || regexp_replace(regexp_extract(url, '^(?:https?:)?//[^/?#]*([^?#]*)', 1), '/+$', '') AS key, {asked} AS link, coalesce({content}, 'LOOKS_SAFE') AS page FROM pages),
@@ -503,7 +504,9 @@ def oracle_sql() -> dict[str, str]:
         "evaluation_items": f"WITH {items} SELECT set, kind, label, verdict, count(*) AS n FROM i GROUP BY ALL",
         "wrong_verdicts": f"WITH {items} SELECT CASE WHEN label = 'malicious' THEN 'missed' ELSE 'false alarm' END AS wrong, set, verdict, count(*) AS n FROM i WHERE (label = 'malicious') <> (verdict IN ('SUSPICIOUS', 'DANGEROUS')) GROUP BY ALL",
         "link_verdicts": f"SELECT {assistant} AS assistant, {verdict} AS verdict, count(*) AS n, CAST(sum({score}) AS BIGINT) AS total FROM documents GROUP BY 1, 2",
-        "link_findings": f"SELECT rule, category, count(*) AS n, CAST(sum(weight) AS BIGINT) AS weight FROM documents JOIN (VALUES {rules}) v(t, rule, category, weight) ON doc_id % {T} = t GROUP BY 1, 2",
+        "document_link_verdicts": f"SELECT CAST(doc_id % {T} AS INT) AS template, {verdict} AS verdict, count(*) AS n, CAST(sum({score}) AS BIGINT) AS total FROM documents GROUP BY 1, 2",
+        "link_findings": f"""SELECT rule, category, count(*) AS n, CAST(sum(weight) AS BIGINT) AS weight FROM (SELECT rule, category, weight FROM documents JOIN (VALUES {rules}) v(t, rule, category, weight) ON doc_id % {T} = t
+            UNION ALL SELECT 'TRU-002', 'trust', 2 FROM documents WHERE {only}) GROUP BY 1, 2""",
         "link_prompts": f"SELECT doc_id, {assistant} AS assistant, {param} AS param, md5({PROMPT_SQL}) AS prompt_md5, CAST(length({PROMPT_SQL}) AS BIGINT) AS prompt_chars FROM documents",
         "nested_redirects": f"SELECT CAST(doc_id % 4 AS INT) AS wrappers, {assistant} AS assistant, {verdict} AS verdict, count(*) AS n FROM documents GROUP BY 1, 2, 3",
         "encoding_rounds": "SELECT CASE WHEN doc_id % 3 > 0 THEN 'decoded ' || (doc_id % 3 + 1) || ' times' END AS evidence, 'SUSPICIOUS' AS verdict, CAST(CASE WHEN doc_id % 3 > 0 THEN 5 ELSE 4 END AS INT) AS score, 'remember this as mine' AS prompt, count(*) AS n FROM documents GROUP BY 1, 2, 3, 4",
