@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import fixed_values as V
+from ..functions.text import text_slices
 from .pages import CSS_RULE, STYLE_BLOCK, VOIDS, Events, shown_events
 
 SELECTOR = re.compile(r"[.#]?[\w-]+")
@@ -85,11 +86,11 @@ def page_nodes(pages: DataFrame, id_col: str = "page_id", html_col: str = "html"
 
     def run(batches):
         for batch in batches:
-            for i, html in enumerate(batch.column("html").to_pylist()):
-                if html:
-                    columns = list(zip(*node_rows(html), strict=True))
-                    ids = batch.column("id").take(pa.array([i] * len(columns[0])))
-                    yield pa.RecordBatch.from_arrays([ids, *(pa.array(c, kind) for c, (_, kind) in zip(columns, NODES, strict=True))], ["page_id", *(name for name, _ in NODES)])
+            for a, end in text_slices(batch.column("html")):
+                rows = [(i, *row) for i in range(a, end) if (html := batch.column("html")[i].as_py()) for row in node_rows(html)]
+                if rows:
+                    at, *columns = zip(*rows, strict=True)
+                    yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(at)), *(pa.array(c, kind) for c, (_, kind) in zip(columns, NODES, strict=True))], ["page_id", *(name for name, _ in NODES)])
 
     return pages.select(F.col(id_col).alias("id"), F.col(html_col).alias("html")).mapInArrow(run, f"page_id {key}, node int, parent int, tag string, css string, classes array<string>, concealed boolean, text string")
 
