@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import fresh, group_bounds, read_table, record_batch, settle, streamed_groups, text_column
+from .common import fresh, group_bounds, read_table, record_batch, settle, streamed_groups, text_column, text_parts
 from .components import components, forest
 
 SHINGLE, SEED, DISTANCE, GROUP = 3, 42, 3, 1024
@@ -156,6 +156,13 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
+def sliced(batches):
+    """Batches of about PART_BYTES of text: what a task makes of them is not held for thousands of texts at a time."""
+    for batch in batches:
+        for a, end, *_ in text_parts(text_column(batch, "text")):
+            yield batch.slice(a, end - a)
+
+
 def shingle_set(text: bytes) -> np.ndarray:
     return np.unique(np.array(shingle_hashes(text, STAGE_SHINGLE), np.uint64))
 
@@ -177,7 +184,7 @@ def band_keys(shingles: np.ndarray) -> np.ndarray:
 
 def prints_of(docs: DataFrame) -> DataFrame:
     def run(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             sets = [shingle_set(t.as_buffer().to_pybytes()) for t in text_column(batch, "text")]
             yield record_batch(PRINTS, batch.column("doc_id"), [class_of(x) for x in sets], [len(x) for x in sets], pa.array([band_keys(x) for x in sets], pa.list_(pa.int64())))
 
@@ -186,7 +193,7 @@ def prints_of(docs: DataFrame) -> DataFrame:
 
 def sets_of(docs: DataFrame) -> DataFrame:
     def run(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             sets = [shingle_set(t.as_buffer().to_pybytes()) for t in text_column(batch, "text")]
             yield record_batch(SETS, [class_of(x) for x in sets], pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64())))
 
