@@ -139,7 +139,8 @@ def links(classes: DataFrame, group: int = GROUP) -> DataFrame:
     first = settle(verified(dealt(classes, keys(numbers(BLOCKS), F.lit(0))), group), "simhash-links")
     large = first.where("b is null").select("t", "fp", F.col("a").alias("node"))
     inner = F.element_at(F.array(*[numbers(part) for part in INNER]), F.col("t") + 1)
-    second = verified(dealt(large, keys(inner, F.col("t") * len(INNER[0]))), 1 << 13)
+    # Settled as well: what reads it has a Python worker of its own, and a task would else hold two.
+    second = settle(verified(dealt(large, keys(inner, F.col("t") * len(INNER[0]))), 1 << 13), "simhash-links")
     return first.where("b is not null").select("a", "b").unionByName(second.select("a", "b"))
 
 
