@@ -43,7 +43,7 @@ U = np.uint64
 FIRST, SECOND, THIRD = U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F), U(0xFF51AFD7ED558CCD)
 BASES = [0x5851F42D4C957F2D, 0xD1342543DE82EF95]
 #: A word's name is the sum of a random number for each of its bytes and their places, so that two words share one with
-#: probability 2**-64; longer words are hashed one by one.
+#: probability 2**-64; longer words are hashed one by one. A power of two.
 SHORT = 64
 TABLE = np.random.default_rng(42).integers(0, 1 << 64, SHORT * 256, dtype=U)
 SPACE = np.isin(np.arange(256), [32, *range(9, 14)])
@@ -98,7 +98,7 @@ class Words:
         at = np.flatnonzero(solid)
         place = np.arange(len(at)) - np.repeat(first, sizes)
         with np.errstate(over="ignore"):
-            self.names = np.add.reduceat(TABLE[(place % SHORT) << 8 | raw[at]], first) if len(first) else np.zeros(0, U)
+            self.names = np.add.reduceat(TABLE[(place & (SHORT - 1)) << 8 | raw[at]], first) if len(first) else np.zeros(0, U)
         for i in np.flatnonzero(sizes > SHORT).tolist():
             self.names[i] = xxhash.xxh64_intdigest(raw[starts[i] : ends[i]].tobytes(), 42)
 
@@ -136,19 +136,27 @@ def paired(names: np.ndarray, row: np.ndarray, start: np.ndarray, level: int):
     return out[keep], row[keep], start[keep]
 
 
+def below(starts: np.ndarray, n: int) -> np.ndarray:
+    """For each place from 0 to n how many of these different places lie before it."""
+    out = np.zeros(n + 1, np.int64)
+    out[starts + 1] = 1
+    return np.cumsum(out, out=out)
+
+
 def window_keys(w: Words, at: np.ndarray, size: int, digests: Digests) -> np.ndarray:
     """The key of each window, from what its core keeps of the first round."""
     n = len(w.names)
     run, run_row, run_start = runs(w.names, w.row, np.arange(n), 1)
     left = np.append(is_left(run, 1), True)
     names, _, start = paired(run, run_row, run_start, 1)
-    run_start, start = np.append(run_start, n), np.append(start, n)
-    run_of = np.searchsorted(run_start, np.arange(n), "right") - 1
+    run_of = below(run_start, n)[1:] - 1
+    run_start = np.append(run_start, n)
     first = run_of[at] + 1
     first = np.minimum(first + ~left[first], len(run))
     last = run_of[at + size - 1]
     last -= (last > 0) & left[last - 1]
-    low, high = np.searchsorted(start, run_start[first]), np.searchsorted(start, run_start[last])
+    before = below(start, n)
+    low, high = before[run_start[first]], before[run_start[last]]
     stretch = names.copy()
     for i in range(1, CORE):
         stretch[: len(names) - i] = mixed(stretch[: len(names) - i], names[i:], 4 + i)
