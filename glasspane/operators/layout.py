@@ -1,18 +1,19 @@
 """Pages as tables of nodes: what a reader can see of a text, by the styles of the elements around it.
 
 A page is read once into rows (page, node, parent). Everything that is handed down a tree (why something is hidden, colours,
-the background, the size of letters, the block) is the nearest value among a node and its ancestors; `nearest` finds it for
-all pages together by pointer doubling, in as many joins as the logarithm of the deepest tree, and no page has to fit one task.
+the background, the size of letters, the block) is the nearest value among a node and its ancestors; `nearest` deals the nodes
+out by page, once, and finds it for many pages together by pointer doubling, in the logarithm of the deepest tree.
 """
 
 from __future__ import annotations
 
 import re
-import tempfile
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -25,19 +26,6 @@ SELECTOR = re.compile(r"[.#]?[\w-]+")
 NODES = [("node", pa.int32()), ("parent", pa.int32()), ("tag", pa.string()), ("css", pa.string()), ("classes", pa.list_(pa.string())), ("concealed", pa.bool_()), ("text", pa.string())]
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df written to the folder in spark.checkpoint.dir. In local mode without one, a temporary folder is taken; elsewhere that is an error."""
-    spark = df.sparkSession
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        path = "file://" + tempfile.mkdtemp(prefix="glasspane-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    spark.sparkContext.setCheckpointDir(path)
-    return df.checkpoint()
-
-
 def style_rules(html: str) -> dict[str, str]:
     """Declarations of a page's style blocks by their lone selector: a tag, .class or #id; later ones follow earlier ones."""
     out: dict[str, str] = {}
@@ -95,19 +83,61 @@ def page_nodes(pages: DataFrame, id_col: str = "page_id", html_col: str = "html"
     return pages.select(F.col(id_col).alias("id"), F.col(html_col).alias("html")).mapInArrow(run, f"page_id {key}, node int, parent int, tag string, css string, classes array<string>, concealed boolean, text string")
 
 
-def nearest(nodes: DataFrame, columns: list[str], settled: Callable[[DataFrame], DataFrame] = checkpointed) -> DataFrame:
-    """nodes (page_id, node, parent, columns) with each column's nearest value that is not null, from the node up to the root.
-
-    Every round joins rows that still look upwards with what their pointers have found, so the way looked at doubles. A row
-    stops when all its columns have a value or it has passed the root. Parents that are not in the table end the way.
+def whole_pages(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """From batches sorted by page: tables of whole pages, of `least` rows or more but for the last, and where each page ends."""
+    held, rows, wanted = [], 0, least
+    for batch in batches:
+        held.append(batch)
+        rows += batch.num_rows
+        if rows >= wanted:
+            table = pa.Table.from_batches(held).combine_chunks()
+            ends = page_ends(table)
+            if len(ends) > 1:
+                yield table.slice(0, ends[-2]), ends[:-1]
+                table = table.slice(ends[-2])
+            held, rows, wanted = table.to_batches(), len(table), max(least, 2 * len(table))
+    if rows:
+        table = pa.Table.from_batches(held).combine_chunks()
+        yield table, page_ends(table)
+
+
+def page_ends(table: pa.Table) -> np.ndarray:
+    return pc.run_end_encode(table.column("page_id").combine_chunks()).run_ends.to_numpy() if len(table) else np.zeros(0, np.int32)
+
+
+def holders(table: pa.Table, ends: np.ndarray, column: str) -> np.ndarray:
+    """For each row of whole pages, sorted by page and node: the row of the nearest value, -1 without one."""
+    first = np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0)) << 32
+    key, parent = first + table.column("node").to_numpy(), table.column("parent")
+    wanted = first + pc.fill_null(parent, 0).to_numpy()
+    up = np.minimum(np.searchsorted(key, wanted), len(key) - 1)
+    known = (key[up] == wanted) & ~parent.is_null().to_numpy() & ~table.column("page_id").is_null().to_numpy()
+    up = np.where(known, up, -1)
+    at = np.where(table.column(column).is_null().to_numpy(), -1, np.arange(len(key)))
+    while len(rest := np.flatnonzero((at < 0) & (up >= 0))):
+        # Both are read before either is written: each round looks twice as far up.
+        at[rest], up[rest] = at[up[rest]], up[up[rest]]
+    return at
+
+
+def nearest(nodes: DataFrame, columns: list[str], kept: Sequence[str] = (), least: int = 1 << 14) -> DataFrame:
+    """nodes (page_id, node, parent, columns) with each column's nearest value that is not null, from the node up to the root;
+    columns of `kept` stay as they are.
+
+    The nodes of a page meet in one task, as its html did, and many pages are gone through together by pointer doubling.
+    Parents that are not in the table end the way.
     """
-    state = settled(nodes.select("page_id", "node", F.col("parent").alias("up"), *columns))
-    open_ = F.col("up").isNotNull() & ~(F.lit(True) if not columns else F.forall(F.array(*[F.col(c).isNotNull() for c in columns]), lambda x: x))
-    while state.where(open_).limit(1).count():
-        above = state.select("page_id", F.col("node").alias("up"), F.col("up").alias("__up"), *[F.col(c).alias(f"__{c}") for c in columns])
-        moved = state.where(open_).join(above, ["page_id", "up"], "left").select("page_id", "node", F.col("__up").alias("up"), *[F.coalesce(c, f"__{c}").alias(c) for c in columns])
-        state = settled(state.where(~open_).select("page_id", "node", "up", *columns).unionByName(moved))
-    return state.drop("up")
+
+    def run(batches):
+        for table, ends in whole_pages(batches, least):
+            found = []
+            for c in columns:
+                at = holders(table, ends, c)
+                found.append(table.column(c).take(pa.array(at, mask=at < 0)))
+            yield from pa.table([*(table.column(c) for c in ("page_id", "node", *kept)), *found], ["page_id", "node", *kept, *columns]).to_batches()
+
+    rows = nodes.select("page_id", "node", "parent", *kept, *columns).repartition("page_id").sortWithinPartitions("page_id", "node")
+    return rows.mapInArrow(run, rows.drop("parent").schema)
 
 
 def declared(name: str) -> Column:
@@ -159,29 +189,30 @@ def own_reason() -> Column:
     )
 
 
-def seen_texts(nodes: DataFrame, settled: Callable[[DataFrame], DataFrame] = checkpointed) -> DataFrame:
+def seen_texts(nodes: DataFrame) -> DataFrame:
     """(page_id, node, text, reason, block, tag) of the texts of page_nodes; reason: why one can't be seen, empty where it can.
 
     What hides an element hides all in it, the nearest reason counts. Then a text may have letters of under two pixels, be
     transparent, or have nearly the colour of the nearest opaque background; before images colours are not judged. block and
     tag are of the nearest element that is laid out as a block, 0 and body outside of all.
     """
-    nodes = settled(nodes)
-    shape = declared("display")
+    shape = F.when(F.col("css") != "", declared("display"))
     behind = declared("background(?:-color|-image)?")
     painted = colour(declared("background(?:-color)?"))
     back = F.when(behind.rlike(r"url\(|gradient\("), F.array().cast("array<double>")).when(painted[3] > 0.9, painted)
     laid_out = F.when(shape.isNotNull(), ~shape.startswith("inline") & (shape != "contents")).otherwise(F.col("tag").isin(V.BLOCK_TAGS))
     root = F.col("parent").isNull()
-    elements = nodes.where("text IS NULL").select(
-        "page_id", "node", "parent",
-        F.when(root, F.lit("")).otherwise(own_reason()).alias("reason"),
-        F.when(root, F.array(*map(F.lit, [255.0, 255.0, 255.0, 1.0]))).otherwise(back).alias("back"),
-        F.when(root, F.array(*map(F.lit, [0.0, 0.0, 0.0, 1.0]))).otherwise(colour(declared("color"))).alias("fore"),
-        F.when(root, F.lit(16.0)).otherwise(pixels(declared("font-size"))).alias("letters"),
+    # Most elements declare nothing: only the others are looked at.
+    said = lambda value, first: F.when(root, first).when(F.col("css") != "", value)
+    own = nodes.where("page_id IS NOT NULL").select(
+        "page_id", "node", "parent", "text",
+        F.when(root, F.lit("")).when((F.col("css") != "") | (F.size("classes") > 0) | F.col("concealed"), own_reason()).alias("reason"),
+        said(back, F.array(*map(F.lit, [255.0, 255.0, 255.0, 1.0]))).alias("back"),
+        said(colour(declared("color")), F.array(*map(F.lit, [0.0, 0.0, 0.0, 1.0]))).alias("fore"),
+        said(pixels(declared("font-size")), F.lit(16.0)).alias("letters"),
         F.when(root, F.struct(F.lit(0).alias("node"), F.lit("body").alias("tag"))).when(laid_out, F.struct("node", "tag")).alias("block"),
     )
-    found = nearest(elements, ["reason", "back", "fore", "letters", "block"], settled).withColumnRenamed("node", "parent")
+    found = nearest(own, ["reason", "back", "fore", "letters", "block"], ["text"]).where("text IS NOT NULL")
     apart = F.aggregate(F.zip_with(F.slice("fore", 1, 3), F.slice("back", 1, 3), lambda a, b: F.abs(a - b)), F.lit(0.0), lambda s, x: s + x)
     why = (
         F.when(F.col("reason") != "", F.col("reason"))
@@ -190,7 +221,7 @@ def seen_texts(nodes: DataFrame, settled: Callable[[DataFrame], DataFrame] = che
         .when((F.size("back") > 0) & (apart < V.COLOUR_DISTANCE), "text same colour as background")
         .otherwise("")
     )
-    return nodes.where("text IS NOT NULL").select("page_id", "node", "parent", "text").join(found, ["page_id", "parent"]).select("page_id", "node", "text", why.alias("reason"), F.col("block.node").alias("block"), F.col("block.tag").alias("tag"))
+    return found.select("page_id", "node", "text", why.alias("reason"), F.col("block.node").alias("block"), F.col("block.tag").alias("tag"))
 
 
 def seen_chunks(texts: DataFrame) -> DataFrame:
