@@ -13,12 +13,17 @@ null id get the component of their class and never name one; an empty table give
 These values are those of op2. The pipeline's stage has its own: it links documents whose sets of 5-word shingles have a
 Jaccard similarity of 0.8 or more (`similar`). At 0.8, 64-bit fingerprints differ in 10 bits on average and often in more
 than 15; pigeonhole blocks for such a radius would have runs of 3 bits or tens of thousands of choices a document. So the
-candidates come from minima of hashes of the set (bands of 5 minima, 30 bands: a pair at 0.8 shares none with probability
-7e-6), and each is checked by its exact similarity. Equal sets are one class from the start.
+stage's fingerprints have 2,560 bits, each set as in op2, and their 160 runs of 16 bits are the blocks: two sets at 0.8
+agree in a bit with probability 0.85, and share no run with probability 6e-6. Classes under one run are compared by the
+Hamming distance of 128 bits (at 0.8: 19 of them differ, 4 more or less; over 44 in one pair of a thousand million), and what
+is near is checked by its exact similarity. Sets of 4 and 5 shingles, where a shingle more turns more bits, also meet under
+the sets of 4 that they hold; smaller ones are similar to none but equal sets. Equal sets are one class from the start.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -28,16 +33,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import fresh, group_bounds, read_table, record_batch, settle, streamed_groups, text_column, text_parts
+from .common import fresh, group_bounds, read_table, record_batch, settle, small_batches, streamed_groups, text_column, text_parts
 from .components import components, forest
 
 SHINGLE, SEED, DISTANCE, GROUP = 3, 42, 3, 1024
-#: Of the pipeline's stage: words a shingle, least similarity as a fraction, bands and minima in each. Candidates of up to
-#: PAIRED classes under a band are paired in place; of more, their sets are searched together, PIECE shingles at a time.
-STAGE_SHINGLE, ABOVE, BELOW, BANDS, MINIMA, PAIRED, PIECE = 5, 4, 5, 30, 5, 32, 1 << 20
-#: Odd factors of the minima's hashes.
-FACTORS = np.random.default_rng(SEED).integers(0, 1 << 63, BANDS * MINIMA, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-PRINTS = pa.schema([("doc_id", pa.int64()), ("cls", pa.int64()), ("n", pa.int32()), ("keys", pa.list_(pa.int64()))])
+#: Of the pipeline's stage: words a shingle, least similarity as a fraction; words of 64 bits in a fingerprint, bits of 128 in
+#: which near ones differ at most, parts of the blocks that are dealt out one after the other. Near classes under a block are
+#: paired where they are up to PAIRED; more are searched together, PIECE shingles at a time. Blocks of more than MOST classes
+#: are dealt once more, in pieces that meet two by two.
+STAGE_SHINGLE, ABOVE, BELOW, WIDE, APART, ROUNDS, PAIRED, PIECE, MOST = 5, 4, 5, 40, 44, 4, 32, 1 << 20, 1 << 13
+#: Odd factors of the hashes behind each word of a fingerprint; the lowest bit of each byte.
+FACTORS = np.random.default_rng(SEED).integers(0, 1 << 63, WIDE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+MIX, LOW = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0x0101010101010101)
+PRINTS = pa.schema([("doc_id", pa.int64()), ("cls", pa.int64()), ("n", pa.int32()), ("keys", pa.list_(pa.int32())), ("x", pa.int64()), ("y", pa.int64())])
+MET = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("many", pa.bool_()), ("key", pa.int32()), ("n", pa.int32()), ("x", pa.int64()), ("y", pa.int64())])
 SETS = pa.schema([("cls", pa.int64()), ("shingles", pa.list_(pa.int64()))])
 OUT = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
 FOUND = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("t", pa.int32()), ("fp", pa.int64())])
@@ -173,23 +182,39 @@ def class_of(shingles: np.ndarray) -> int:
     return xxhash.xxh64_intdigest(shingles.tobytes(), SEED) - (1 << 63)
 
 
-def band_keys(shingles: np.ndarray) -> np.ndarray:
-    """One number for each band; none for an empty set."""
-    if not len(shingles):
-        return np.zeros(0, np.int64)
-    least = np.full(len(FACTORS), np.iinfo(np.uint64).max)
-    for i in range(0, len(shingles), 1024):
-        np.minimum(least, (shingles[i : i + 1024, None] * FACTORS).min(axis=0), out=least)
-    return np.array([xxhash.xxh64_intdigest(band.tobytes(), k) for k, band in enumerate(least.reshape(BANDS, MINIMA))], np.uint64).view(np.int64)
+def wide_fingerprint(shingles: np.ndarray) -> np.ndarray:
+    """WIDE words: each bit is set if over half of the set's hashes for its word have it set, in one fixed order of the bits."""
+    counts = np.zeros((8, WIDE, 8), np.int64)
+    for i in range(0, len(shingles), 255):
+        h = shingles[i : i + 255, None] * FACTORS
+        h = (h ^ (h >> np.uint64(32))) * MIX
+        h ^= h >> np.uint64(29)
+        for bit in range(8):  # every eighth bit at a time: sums of up to 255 stay within their byte
+            counts[bit] += ((h >> np.uint64(bit)) & LOW).sum(axis=0, dtype=np.uint64).view(np.uint8).reshape(WIDE, 8)
+    return np.packbits(counts * 2 > len(shingles)).view(np.uint64)
+
+
+def band_keys(shingles: np.ndarray, prints: np.ndarray | None = None) -> np.ndarray:
+    """The runs of 16 bits of the fingerprint, each with its number; for 4 or 5 shingles also a number for each 4 of them."""
+    if len(shingles) < 4:
+        return np.zeros(0, np.int32)
+    runs = (wide_fingerprint(shingles) if prints is None else prints).view(np.uint16).astype(np.int32)
+    fours = [shingles] if len(shingles) == 4 else [np.delete(shingles, i) for i in range(5)] if len(shingles) == 5 else []
+    return np.concatenate([np.arange(len(runs), dtype=np.int32) << 16 | runs, np.array([class_of(x) & (1 << 30) - 1 | 1 << 30 for x in fours], np.int32)])
 
 
 def prints_of(docs: DataFrame) -> DataFrame:
+    """(doc_id, cls, n, keys, x, y): each text's class, number of shingles, blocks, and the first 128 bits of its fingerprint."""
+
     def run(batches):
         for batch in sliced(batches):
             sets = [shingle_set(t.as_buffer().to_pybytes()) for t in text_column(batch, "text")]
-            yield record_batch(PRINTS, batch.column("doc_id"), [class_of(x) for x in sets], [len(x) for x in sets], pa.array([band_keys(x) for x in sets], pa.list_(pa.int64())))
+            prints = [wide_fingerprint(x) for x in sets]
+            keys = pa.array([band_keys(x, p) for x, p in zip(sets, prints, strict=True)], pa.list_(pa.int32()))
+            first = np.array([p[:2] for p in prints], np.uint64).reshape(-1, 2).view(np.int64)
+            yield record_batch(PRINTS, batch.column("doc_id"), [class_of(x) for x in sets], [len(x) for x in sets], keys, first[:, 0], first[:, 1])
 
-    return docs.mapInArrow(run, "doc_id long, cls long, n int, keys array<long>")
+    return docs.mapInArrow(run, "doc_id long, cls long, n int, keys array<int>, x long, y long")
 
 
 def sets_of(docs: DataFrame) -> DataFrame:
@@ -231,30 +256,104 @@ def similar_sets(sizes: np.ndarray, flat: np.ndarray) -> tuple[np.ndarray, np.nd
     return np.array(a, np.int64), np.array(b, np.int64)
 
 
+def hits(near: Callable[[np.ndarray, np.ndarray], np.ndarray], bounds: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Row numbers of all near pairs within each group, those at one distance in the table at a time."""
+    end = np.repeat(bounds[1:], np.diff(bounds))
+    left, d = np.arange(len(end)), 1
+    while len(left := left[end[left] > left + d]):
+        hit = left[near(left, left + d)]
+        yield hit, hit + d
+        d += 1
+
+
+def forest_of(parts: Iterator[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    held, kept = [(np.zeros(0, np.int64), np.zeros(0, np.int64))], 0
+    for part in parts:
+        held.append(part)
+        kept += len(part[0])
+        if kept > 1 << 18:
+            held, kept = [forest(*map(np.concatenate, zip(*held, strict=True)))], 0
+    return forest(*map(np.concatenate, zip(*held, strict=True)))
+
+
+def near_classes(dealt_out: DataFrame, by: list[str], most: int) -> DataFrame:
+    """From (key, cls, n, x, y), by which it is dealt out and sorted: (a, b, many): all near pairs of small near groups under a key,
+    or with many the links of a forest of a large one; and classes of keys with more than `most` as (a, null, null, key, n, x, y).
+    """
+    paired = PAIRED
+
+    def run(batches):
+        for whole, t in streamed_groups(batches, by, most):
+            cls, n, key = (t.column(c).to_numpy() for c in ("cls", "n", "key"))
+            x, y = (t.column(c).to_numpy().view(np.uint64) for c in ("x", "y"))
+            if not whole:
+                yield record_batch(MET, cls, pa.nulls(len(t), pa.int64()), pa.nulls(len(t), pa.bool_()), key, n, x.view(np.int64), y.view(np.int64))
+                continue
+
+            def near(i, j):
+                apart = np.bitwise_count(x[i] ^ x[j]) + np.bitwise_count(y[i] ^ y[j])
+                return (apart <= APART) & (BELOW * np.minimum(n[i], n[j]) >= ABOVE * np.maximum(n[i], n[j]))
+
+            node, root = forest_of(hits(near, group_bounds(t, by)))
+            group = np.arange(len(t))
+            group[node] = root
+            size = np.bincount(group, minlength=len(t))[group]
+            rows = np.flatnonzero((size > 1) & (size <= paired))
+            rows = rows[np.argsort(group[rows], kind="stable")]
+            bounds = np.flatnonzero(np.diff(group[rows], prepend=-1, append=-1))
+            large = size[node] > paired
+            found = [(node[large], root[large])]
+            found += [(rows[i], rows[j]) for i, j in hits(lambda i, j: near(rows[i], rows[j]), bounds)] if len(rows) else []
+            a, b = (cls[np.concatenate(side)] for side in zip(*found, strict=True))
+            gone = pa.nulls(len(a), pa.int32()), pa.nulls(len(a), pa.int32()), pa.nulls(len(a), pa.int64()), pa.nulls(len(a), pa.int64())
+            yield record_batch(MET, np.minimum(a, b), np.maximum(a, b), np.arange(len(a)) < large.sum(), *gone)
+
+    sorted_ = dealt_out.repartition(*by).sortWithinPartitions(*by)
+    return sorted_.mapInArrow(run, "a long, b long, many boolean, key int, n int, x long, y long")
+
+
+def in_pieces(rows: DataFrame, pieces: F.Column) -> DataFrame:
+    """Rows with i and j: pieces of a large key, by a hash of cls, meet two by two, so every pair of its rows is under one (key, i, j)."""
+    own = F.pmod(F.xxhash64("cls"), pieces).cast("int")
+    with_each = F.transform(F.sequence(F.lit(0), pieces - 1), lambda q: F.struct(F.least(own, q).alias("i"), F.greatest(own, q).alias("j")))
+    return rows.withColumn("_d", F.explode(with_each)).select(*rows.columns, "_d.i", "_d.j")
+
+
+def candidates(classes: DataFrame, most: int) -> DataFrame:
+    """(a, b, many) of near_classes under all blocks of classes (cls, n, keys, x, y)."""
+    steps = []
+    for r in range(ROUNDS):  # the shuffle files of one part are gone before the next
+        part = F.filter("keys", lambda k: k.bitwiseAND(F.lit(ROUNDS - 1)) == r)
+        steps.append(settle(near_classes(classes.select("cls", "n", "x", "y", F.explode(part).alias("key")), ["key"], most), "similar-met", sweep=True))
+    met = reduce(DataFrame.unionByName, steps)
+    large = met.where("b IS NULL").select("key", F.col("a").alias("cls"), "n", "x", "y")
+    large = large.join(large.groupBy("key").agg(F.count("*").alias("members")), "key")
+    again = in_pieces(large, F.ceil(F.col("members") / (most // 2)).cast("int")).drop("members")
+    # Pieces are held whole, however uneven they are.
+    second = settle(near_classes(again, ["key", "i", "j"], 1 << 30), "similar-met", sweep=True)
+    return met.where("b IS NOT NULL").unionByName(second).select("a", "b", "many")
+
+
 def similar(docs: DataFrame, prints: DataFrame) -> DataFrame:
     """(a, b): links between classes of sets, with the components of all candidates that are similar enough.
 
-    docs: doc_id, text; prints: their classes and bands.
+    docs: doc_id, text; prints: their classes, blocks and fingerprints.
     """
-    classes = prints.groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("keys").alias("keys"))
-    bands = settle(classes.select("cls", "doc_id", "n", F.explode("keys").alias("key")), "similar-bands")
-    shared = bands.groupBy("key").agg(F.count("*").alias("members"), F.sum("n").alias("total")).where("members > 1")
-    met = settle(bands.join(shared, "key"), "similar-met")
-    pair = f"filter(flatten(transform(m, x -> transform(m, y -> named_struct('a', x.cls, 'b', y.cls, 'na', x.n, 'nb', y.n)))), p -> p.a < p.b AND {BELOW} * least(p.na, p.nb) >= {ABOVE} * greatest(p.na, p.nb))"
-    few = met.where(F.col("members") <= PAIRED).groupBy("key").agg(F.collect_list(F.struct("cls", "n")).alias("m"))
-    pairs = settle(few.select(F.explode(F.expr(pair)).alias("p")).select("p.*").distinct(), "similar-pairs")
-    many = met.where(F.col("members") > PAIRED)
+    first = [F.first(c).alias(c) for c in ("n", "keys", "x", "y")]
+    classes = settle(prints.groupBy("cls").agg(F.min("doc_id").alias("doc_id"), *first), "similar-classes", sweep=True)
+    met = candidates(classes, MOST)
+    pairs = settle(met.where("NOT many").select("a", "b").distinct(), "similar-pairs")
+    # A large near group is searched once, whatever number of blocks it shares.
+    groups = components(met.where("many").select("a", "b")).select(F.col("node").alias("cls"), F.col("component").alias("key"))
+    many = settle(groups.join(classes.select("cls", "n"), "cls"), "similar-many")
     needed = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).unionByName(many.select("cls")).distinct()
-    ids = met.select("cls", "doc_id").distinct().join(needed, "cls", "left_semi").select("doc_id").distinct()
+    ids = classes.select("cls", "doc_id").join(needed, "cls", "left_semi").select("doc_id").distinct()
     sets = settle(sets_of(docs.join(ids, "doc_id", "left_semi")).dropDuplicates(["cls"]), "similar-sets")
     side = lambda c, x: sets.select(F.col("cls").alias(c), F.col("shingles").alias(x))
-    common = F.size(F.array_intersect("x", "y"))
-    close = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").where((ABOVE + BELOW) * common >= ABOVE * (F.col("na") + F.col("nb"))).select("a", "b")
-    # Pieces of a large group meet two by two: every pair of its sets is in one of the searches, and none is too large.
-    pieces = F.ceil(F.col("total") / PIECE).cast("int")
-    own = F.pmod(F.xxhash64("cls"), pieces).cast("int")
-    with_each = F.transform(F.sequence(F.lit(0), pieces - 1), lambda q: F.struct(F.least(own, q).alias("i"), F.greatest(own, q).alias("j")))
-    dealt_out = many.select("key", "cls", F.explode(with_each).alias("_d")).select("key", "cls", "_d.i", "_d.j").join(sets, "cls")
+    common, total = F.size(F.array_intersect("x", "y")), F.size("x") + F.size("y")
+    close = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").where((ABOVE + BELOW) * common >= ABOVE * total).select("a", "b")
+    shared = many.groupBy("key").agg(F.sum("n").alias("total"))
+    dealt_out = in_pieces(many.join(shared, "key"), F.ceil(F.col("total") / PIECE).cast("int")).select("key", "cls", "i", "j").join(sets, "cls")
 
     def search(table):
         shingles, cls = table.column("shingles").combine_chunks(), table.column("cls").to_numpy()
@@ -278,6 +377,7 @@ def similar_documents(docs: DataFrame) -> DataFrame:
 def stage_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group stays, that with the smallest doc_id, and one row of that, that of the least
     content hash where rows with one id differ; rows without an id stay."""
+    small_batches(spark)
     found = settle(similar_documents(docs), "simhash-groups")
     gone_id, row = fresh(docs, "gone_id"), fresh(docs, "row")
     gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias(gone_id)).distinct()
