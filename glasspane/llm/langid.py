@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_mod, keep_rows, read_table, record_batch, segment_sums, text_column, text_parts
+from .common import crc_mod, keep_rows, read_table, record_batch, segment_sums, small_batches, text_column, text_parts
 
 ORDER = 4
 #: Expected number of documents per language that are counted.
@@ -206,6 +206,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the documents with a determined language whose posterior is at least 0.5."""
+    small_batches(spark)
     model = spark.sparkContext.broadcast(train(docs))
 
     def keep(batch):

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Regex, Tokenizer, decoders, models, normalizers
 
-from .common import read_table, record_batch, text_column, text_parts
+from .common import read_table, record_batch, small_batches, text_column, text_parts
 
 #: Kinds of pieces and models in the protobuf.
 NORMAL, UNKNOWN, USER_DEFINED, UNIGRAM, BPE = 1, 2, 4, 1, 2
@@ -249,4 +249,5 @@ def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, decodes and ids of every document that is left."""
+    small_batches(spark)
     return encode(docs, default_model())
