@@ -30,12 +30,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table, record_batch, segment_sums, settle
+from .common import read_table, record_batch, release, segment_sums, settle, small_batches
 from .sentencepiece_codec import Codec, default_model
 
 #: Characters of text in a block, and of those cut and encoded at a time; pieces of text that a task remembers from one block
-#: to the next, unless many are longer than LONG.
-BLOCK, PART, REMEMBERED, LONG = 1 << 23, 1 << 20, 1 << 18, 64
+#: to the next, unless many are longer than LONG. SLICE: pieces that the library of A encodes at once.
+BLOCK, PART, REMEMBERED, LONG, SLICE = 1 << 23, 1 << 20, 1 << 18, 64, 1 << 12
 #: Pieces begin before spaces that follow one of these, which no tokenizer takes for white space, if more than spaces follow.
 SOLID = r"!-~À-ɏ"
 PIECE, ODD_END, CAREFUL = re.compile(r" +[^ ]+(?: +\Z)?"), re.compile(f"[^ {SOLID}] "), re.compile(f"(?<=[{SOLID}])(?= +[^ ])")
@@ -68,6 +68,10 @@ class Aligner:
         return {k: self.__dict__[k] for k in ("spec", "model", "codec", "cuts")}
 
     def start(self) -> None:
+        """Load the libraries, unless a task before in this worker has: two copies would be held for a while."""
+        self.forget()
+        if "a" in self.__dict__:
+            return
         from sentencepiece import SentencePieceProcessor
         from tokenizers import Tokenizer
 
@@ -84,7 +88,6 @@ class Aligner:
         #: Ids as written: those of A, of B behind them, both with what stands between ids; then the same with what ends A's or B's share.
         self.half = len(self.bytes_a) + len(self.bytes_b)
         self.written = [b"%d%c" % (i, c) for last in (b",,", b"|;") for side, c in zip((self.bytes_a, self.bytes_b), last, strict=True) for i in range(len(side))]
-        self.forget()
 
     def forget(self) -> None:
         """numbers: of pieces; of each: the groups as text, n_a, n_b, n_groups and n_links, whether they spell it, and its links' pairs."""
@@ -114,7 +117,8 @@ class Aligner:
 
     def learn(self, new: list[str]) -> None:
         """Encode pieces, merge the ends of their tokens, and remember what comes of it."""
-        ids = [[e.ids for e in self.a.encode_batch_fast(new, add_special_tokens=False)], self.b.encode([p[1:] for p in new], num_threads=1)]
+        # The library's encodings are many times as large as their ids.
+        ids = [[e.ids for i in range(0, len(new), SLICE) for e in self.a.encode_batch_fast(new[i : i + SLICE], add_special_tokens=False)], self.b.encode([p[1:] for p in new], num_threads=1)]
         spells = self.spelled(new, ids)
         if not spells.all():
             ids = [[x if good else [] for x, good in zip(side, spells.tolist(), strict=True)] for side in ids]
@@ -209,9 +213,13 @@ def blocks(docs: DataFrame, byte_level: str, sentence_piece: str, id_col: str =
                 if held >= BLOCK:
                     yield aligner.block(number, ids, texts, keep_groups)
                     number, ids, texts, held = number + 1, [], [], 0
+                    release()
         if ids:
             yield aligner.block(number, ids, texts, keep_groups)
+        aligner.forget()
+        release()
 
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     return settle(rows.mapInPandas(run, BLOCKS), "aligned-blocks", sweep=True)
 
@@ -235,6 +243,7 @@ def alignment(docs: DataFrame, byte_level: str, sentence_piece: str, id_col: str
     counted = asked.join(pair_counts(blocked), "pair").select(F.col("block").alias("of"), "at", "n", "best_a", "best_b")
 
     def scored(left: pa.Table, right: pa.Table) -> pa.Table:
+        release()  # of the group before
         rows = left.column("row").to_numpy()
         whole, documents = left.filter(pa.array(rows == -1)), left.filter(pa.array(rows != -1))
         links, sizes = (np.frombuffer(whole.column(c)[0].as_py(), np.int32) for c in ("links", "sizes"))
