@@ -428,7 +428,7 @@ def spread_spans(contexts: DataFrame, lengths: list[int], keep: str) -> DataFram
     key, latest, window = ["h", "reach", "same"], F.lit((1 << 63) - 1), lengths[0]
     rows = contexts.withColumn("same", F.md5("context")).withColumn("owners", F.transform("owners", lambda o: F.struct(F.coalesce(o["doc"], latest).alias("doc"), o["at"].alias("at"), o["sha"].alias("sha"))))
     distinct = rows.groupBy(*key).agg(F.sum(F.size("owners")).alias("n"), F.min(F.array_min("owners")).alias("first"), F.first("before").alias("before"), F.first("context").alias("context"))
-    distinct = settle(distinct.withColumn("row", F.monotonically_increasing_id()), "hot-contexts")
+    distinct = settle(distinct.withColumn("row", F.monotonically_increasing_id()), "hot-contexts", sweep=True)
     right, left = (agreements(distinct, lengths, keep, way).select("row", *[F.col(c).alias(f"{c}_{way:d}") for c in ("extent", "low", "high")]) for way in (False, True))
     several = F.col("n") > 1
     low, high = ([F.expr(f"int(shiftright(reach, {BITS * (2 * (len(lengths) - k) - side)}) & {(1 << BITS) - 1})") for k in range(len(lengths))] for side in (1, 2))
@@ -436,7 +436,7 @@ def spread_spans(contexts: DataFrame, lengths: list[int], keep: str) -> DataFram
     agreed = settle(distinct.join(right, "row").join(left, "row").withColumns({
         "right": F.when(several, F.length("context") - F.col("before")).otherwise(F.col("extent_0")),
         "left": F.when(several, F.col("before")).otherwise(F.col("extent_1")),
-    }), "hot-agreed")
+    }), "hot-agreed", sweep=True)
     trimmed = agreed.withColumn("x", F.greatest(low[0], window - F.col("right"))).withColumn("to", F.least(high[0], "left")).where("x <= to")
     windows = trimmed.select("row", "h", "n", "first", "before", "context", F.explode(F.sequence("x", "to")).alias("x"))
     windows = windows.select("row", "n", "first", "x", F.unhex(F.md5(F.expr(f"concat(substring(context, before - x + 1, {window}), CAST(concat_ws(',', h, x) AS BINARY))"))).alias("d"))
@@ -476,23 +476,23 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, keep
     lengths = sorted({window, passage}, reverse=True)
     if not 0 < gram <= passage or window >> BITS:
         raise ValueError(f"gram <= passage <= window < {1 << BITS} must hold")
-    rows = settle(contents_of(docs, lengths, gram, id_col, text_col), "contents")
+    rows = settle(contents_of(docs, lengths, gram, id_col, text_col), "contents", sweep=True)
     contents = rows.groupBy("sha").agg(F.count("*").alias("copies"), F.min("doc_id").alias("doc"), *[F.first(c).alias(c) for c in ("hashes", "places", "reaches")])
     anchors = contents.where(F.size("hashes") > 0).select("sha", "doc", F.explode(F.arrays_zip("hashes", "places", "reaches")).alias("a"))
-    anchors = settle(anchors.select("sha", "doc", F.col("a.hashes").alias("h"), F.col("a.places").alias("at"), F.col("a.reaches").alias("reach")), "anchors")
+    anchors = settle(anchors.select("sha", "doc", F.col("a.hashes").alias("h"), F.col("a.places").alias("at"), F.col("a.reaches").alias("reach")), "anchors", sweep=True)
     # A table of its own: a join of two exchanges, whose hot keys can be split at run time.
-    twice = settle(anchors.groupBy("h").agg(F.count("*").alias("n")).where("n > 1"), "anchors-twice")
+    twice = settle(anchors.groupBy("h").agg(F.count("*").alias("n")).where("n > 1"), "anchors-twice", sweep=True)
     shared = anchors.join(twice, "h").groupBy("sha").agg(F.first("doc").alias("doc"), F.sort_array(F.collect_list(F.struct("at", "h", "n", "reach"))).alias("anchors"))
     texts = docs.select(F.col(id_col).cast("long").alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("sha", F.unhex(F.sha2("text", 256)))
-    candidates = settle(texts.join(shared, "sha").where(F.col("_id").eqNullSafe(F.col("doc"))).select("sha", "doc", "text", "anchors"), "candidates")
+    candidates = settle(texts.join(shared, "sha").where(F.col("_id").eqNullSafe(F.col("doc"))).select("sha", "doc", "text", "anchors"), "candidates", sweep=True)
     discard(anchors, twice)
-    found = settle(group_spans(contexts_of(candidates, lengths, group), lengths, keep, group), "spans")
+    found = settle(group_spans(contexts_of(candidates, lengths, group), lengths, keep, group), "spans", sweep=True)
     spans = found.where("sha is not null").select("sha", "length", "start", "end")
     hot = found.where("sha is null").select("h", "reach", "before", "context", "owners")
     if not hot.isEmpty():
         # Many places may be few contexts, as in near copies: those are a group like others.
         few = hot.groupBy("h").agg(F.count_distinct(F.md5("context"), "reach").alias("kinds")).where(F.col("kinds") <= group).select("h")
-        again = settle(group_spans(hot.join(few, "h").withColumn("hot", F.lit(False)), lengths, keep, max(group, HELD)), "spans-again")
+        again = settle(group_spans(hot.join(few, "h").withColumn("hot", F.lit(False)), lengths, keep, max(group, HELD)), "spans-again", sweep=True)
         rest = hot.join(few, "h", "left_anti").unionByName(again.where("sha is null").select(*hot.columns))
         spans = spans.unionByName(again.where("sha is not null").select(*spans.columns)).unionByName(spread_spans(rest, lengths, keep))
     by_content = spans.groupBy("sha").agg(F.collect_list(F.struct("length", "start", "end")).alias("spans"))

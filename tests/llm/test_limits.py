@@ -1,8 +1,12 @@
 """What operators hold at once: memory of Python workers, shuffle files, and the work of verification."""
 
+import random
+import re
+import time
+
 import public_tokenizers
 
-from glasspane.llm import sentencepiece_codec, token_alignment
+from glasspane.llm import sentencepiece_codec, suffix_dedup, token_alignment
 
 
 def model_bytes():
@@ -29,3 +33,19 @@ def test_aligner_loads_its_libraries_once_a_worker_and_encodes_in_slices():
     assert block["n_a"][0] == len(library.encode(" " + text, add_special_tokens=False).ids)
     aligner.start()  # the worker's next task
     assert aligner.a is counting and not aligner.numbers and not aligner.said
+
+
+def test_shuffle_files_behind_settled_tables_go(spark):
+    def shuffles():
+        return set(re.findall(r"shuffle_(\d+)_", spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString(" ")))
+
+    rng = random.Random(3)
+    part = " ".join(f"word{rng.randrange(10**6)}" for _ in range(60))
+    docs = spark.createDataFrame([(i, f"{rng.random()} {part} {rng.random()}") for i in range(40)], "doc_id long, text string")
+    before = shuffles()
+    out = suffix_dedup.remove_repeats(docs)
+    until = time.time() + 10
+    while (left := shuffles() - before) and time.time() < until:
+        time.sleep(0.2)
+    assert not left
+    assert all(r.n_removed >= 400 for r in out.collect())
