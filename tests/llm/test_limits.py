@@ -3,10 +3,12 @@
 import random
 import re
 import time
+import tracemalloc
 
+import numpy as np
 import public_tokenizers
 
-from glasspane.llm import sentencepiece_codec, suffix_dedup, token_alignment
+from glasspane.llm import decontaminate, sentencepiece_codec, suffix_dedup, token_alignment
 
 
 def model_bytes():
@@ -49,3 +51,22 @@ def test_shuffle_files_behind_settled_tables_go(spark):
         time.sleep(0.2)
     assert not left
     assert all(r.n_removed >= 400 for r in out.collect())
+
+
+def test_driver_holds_few_copies_of_the_svds_matrix(spark):
+    rng = np.random.default_rng(4)
+    rows = spark.createDataFrame([(rng.integers(0, decontaminate.BUCKETS, 60).tolist(),) for _ in range(400)], "feats array<int>")
+    idf = np.ones(decontaminate.BUCKETS)
+    tracemalloc.start()
+    try:
+        found = decontaminate.randomised_svd(rows, idf)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 4.5 * found.nbytes
+    # Directions are orthogonal over the rows, each of unit length there.
+    a = np.zeros((400, decontaminate.BUCKETS), np.float32)
+    for i, r in enumerate(rows.collect()):
+        np.add.at(a[i], r.feats, 1)
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    assert np.allclose((a @ found).T @ (a @ found), np.eye(decontaminate.RANK), atol=1e-2)
