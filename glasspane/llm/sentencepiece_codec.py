@@ -5,8 +5,10 @@ it: the normaliser (compiled character map, extra white space, dummy prefix), th
 scores, or for BPE models the merges that the scores imply) and byte fallback. Batches are encoded and decoded by the
 library's own threads. Where the normaliser only writes the marker for a space and no piece has a marker behind another
 sign, no piece crosses from a word to the space after it; texts are then cut there, as the library's metaspace splitting
-does, and each distinct piece of text is encoded and decoded once and looked up from then on. Every text (or a share, by a hash of the text, where asked for) is encoded by the sentencepiece
-library as well, and a difference fails the task; the decoded text of every row is compared with the text that went in.
+does, and each distinct piece of text is encoded and decoded once and looked up from then on. Every distinct piece is encoded by
+the sentencepiece library as well when it is first met, and a difference fails the task. As no token crosses a cut, that
+covers every text; verify="texts" encodes every whole text by that library besides, as is always done where texts are not
+cut (verify_one_in: a share of them, by a hash of the text). The decoded text of every row is compared with the text that went in.
 
 Defined cases: null text is empty, no ids; control pieces written out in a text are ordinary text, as in the original
 library; repeated rows get equal ids; an empty table gives an empty result.
@@ -32,8 +34,8 @@ from .common import read_table, record_batch, small_batches, text_column, text_p
 #: Kinds of pieces and models in the protobuf.
 NORMAL, UNKNOWN, USER_DEFINED, UNIGRAM, BPE = 1, 2, 4, 1, 2
 MARK = "▁"
-#: One text in so many is encoded by the sentencepiece library, too: all of them.
-VERIFY_ONE_IN = 1
+#: One text in so many is encoded by the sentencepiece library, too: all of them; by their pieces, each distinct one once, or as whole texts.
+VERIFY_ONE_IN, VERIFY = 1, "pieces"
 THREADS = 2
 #: A stretch of text is spaces (or markers) and what follows them up to the next. What is remembered is given up beyond so many tokens,
 #: and after a batch with so many characters in longer stretches.
@@ -133,8 +135,8 @@ class Stretches:
 class Codec:
     """The rebuilt pipeline, made once per worker, and the original library for verification."""
 
-    def __init__(self, data: bytes, verify_one_in: int = VERIFY_ONE_IN, threads: int = THREADS):
-        self.data, self.verify_one_in, self.threads = data, verify_one_in, threads
+    def __init__(self, data: bytes, verify_one_in: int = VERIFY_ONE_IN, threads: int = THREADS, verify: str = VERIFY):
+        self.data, self.verify_one_in, self.threads, self.verify = data, verify_one_in, threads, verify
         model = parse_model(data)
         self.spec = build_tokenizer(model).to_str()
         usable = [p for p, _, kind in model["pieces"] if kind in (NORMAL, USER_DEFINED)]
@@ -179,6 +181,8 @@ class Codec:
             known = self.known
             if new := list(dict.fromkeys(s for s in chain.from_iterable(stretches) if s not in known.number)):
                 ids = self.library_ids(self.cut_tokenizer, new)
+                if self.verify_one_in == 1 and self.verify == "pieces":
+                    self.check_stretches(new, ids)
                 known.add(new, ids, [x == y for x, y in zip(self.cut_tokenizer.decode_batch(ids, skip_special_tokens=False), new, strict=True)])
             at = np.fromiter(map(known.number.__getitem__, chain.from_iterable(stretches)), np.int64)
             cuts = np.concatenate([[0], np.cumsum(np.fromiter(map(len, stretches), np.int64, len(texts)))])
@@ -190,13 +194,23 @@ class Codec:
             if len(known.ids) > REMEMBERED or sum(len(s) for s in new if len(s) > STRETCH) > REMEMBERED:
                 del self.known
         starts = np.concatenate([[0], np.cumsum(sizes)])
-        if self.verify_one_in:
+        if self.verify_one_in and not (self.cut_spec and self.verify_one_in == 1 and self.verify == "pieces"):
             some = [i for i, t in enumerate(texts) if self.verify_one_in == 1 or hashlib.blake2b(t.encode("utf-8"), digest_size=4).digest()[0] % self.verify_one_in == 0]
             for i, want in zip(some, self.original.encode([texts[i] for i in some], num_threads=1), strict=True):
                 if not np.array_equal(flat[starts[i] : starts[i + 1]], want):
                     raise ValueError(f"not the ids of the sentencepiece library for a text of {len(texts[i])} characters")
         return flat, starts, exact
 
+    def check_stretches(self, new: list[str], ids: list[list[int]]) -> None:
+        """Fail unless the sentencepiece library, which puts the first marker itself, gives stretches the same ids."""
+        wanted = self.original.encode([s[1:] for s in new], num_threads=1)
+        if " " in new or MARK in new:  # a lone marker, at the end of a text; as a text it would be empty
+            word, marked = self.original.encode(["a", "a "], num_threads=1)
+            wanted = [want if len(s) > 1 else marked[len(word) :] for s, want in zip(new, wanted, strict=True)]
+        if wanted != ids:
+            bad = next(s for s, i, want in zip(new, ids, wanted, strict=True) if i != want)
+            raise ValueError(f"not the ids of the sentencepiece library for a stretch of {len(bad)} characters")
+
     @staticmethod
     def library_ids(tokenizer: Tokenizer, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -209,10 +223,10 @@ class Codec:
         return self.tokenizer.decode_batch(ids, skip_special_tokens=False)
 
 
-def encode(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col: str = "text", verify_one_in: int = VERIFY_ONE_IN) -> DataFrame:
+def encode(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col: str = "text", verify_one_in: int = VERIFY_ONE_IN, verify: str = VERIFY) -> DataFrame:
     """doc_id, n_tokens, decodes (the ids give back the text), ids for each row. model_file: read by the driver."""
     with open(model_file, "rb") as f:
-        shared = docs.sparkSession.sparkContext.broadcast(Codec(f.read(), verify_one_in))
+        shared = docs.sparkSession.sparkContext.broadcast(Codec(f.read(), verify_one_in, verify=verify))
 
     def run(batches):
         for batch in batches:

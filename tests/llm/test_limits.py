@@ -7,6 +7,7 @@ import tracemalloc
 
 import numpy as np
 import public_tokenizers
+import pytest
 
 from glasspane.llm import decontaminate, sentencepiece_codec, suffix_dedup, token_alignment
 
@@ -37,6 +38,49 @@ def test_aligner_loads_its_libraries_once_a_worker_and_encodes_in_slices():
     assert aligner.a is counting and not aligner.numbers and not aligner.said
 
 
+def test_texts_are_verified_once_for_each_distinct_stretch():
+    codec, seen = sentencepiece_codec.Codec(model_bytes()), []
+    original = codec.original
+
+    class Counting:
+        @staticmethod
+        def encode(texts, num_threads):
+            seen.extend(texts)
+            return original.encode(texts, num_threads=num_threads)
+
+    codec.__dict__["original"] = Counting
+    text = "The quick brown fox jumps over the lazy dog."
+    wanted = original.encode(text)
+    for _ in range(50):
+        assert codec.encode([text]) == [wanted]
+    assert sum(map(len, seen)) <= len(text)
+
+
+def test_ids_of_stretches_are_those_of_whole_texts():
+    """No token crosses a cut, so verifying stretches verifies texts."""
+    whole, cut = (sentencepiece_codec.Codec(model_bytes(), verify=v) for v in ("texts", "pieces"))
+    rng = random.Random(5)
+    signs = ["a", "the", "Zürich", "  ", " ", "▁", "\n", "\t", "日本", "🙂", "​", "<s>", "0.5", "　", ",", "'s", "é"]
+    texts = [" ", "  ", "▁", "a ", "a▁", " a", "▁ ▁", "\n ", *("".join(rng.choices(signs, k=rng.randrange(1, 30))) for _ in range(2000))]
+    want = whole.original.encode(texts)
+    assert cut.encode(texts) == whole.encode(texts) == want
+
+
+def test_a_stretch_with_other_ids_is_told():
+    codec = sentencepiece_codec.Codec(model_bytes())
+    original = codec.original
+
+    class Other:
+        @staticmethod
+        def encode(texts, num_threads):
+            return [ids[::-1] if t == "wrongly-encoded" else ids for t, ids in zip(texts, original.encode(texts), strict=True)]
+
+    codec.__dict__["original"] = Other
+    codec.encode(["all is well "])
+    with pytest.raises(ValueError, match="not the ids"):
+        codec.encode(["all is wrongly-encoded here"])
+
+
 def test_shuffle_files_behind_settled_tables_go(spark):
     def shuffles():
         return set(re.findall(r"shuffle_(\d+)_", spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString(" ")))
