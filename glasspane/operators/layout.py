@@ -231,5 +231,5 @@ def seen_chunks(texts: DataFrame) -> DataFrame:
     runs = texts.withColumn("__start", starts).withColumn("__run", F.sum(F.col("__start").cast("int")).over(order))
     said = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("node", "text"))), lambda x: x["text"]), "")
     out = runs.groupBy("page_id", "__run").agg(F.min("node").alias("ord"), said.alias("text"), F.first("reason").alias("how"), F.first("tag").alias("tag"))
-    text = F.substring(F.trim(F.regexp_replace("text", r"(?U)\s+", " ")), 1, V.CHUNK_CHARS)
+    text = F.trim(F.regexp_replace("text", r"(?U)\s+", " "))
     return out.select("page_id", "ord", text.alias("text"), F.when(F.col("how") == "", "visible").otherwise("hidden").alias("where"), "how", "tag").where("text <> ''")
