@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -43,3 +45,15 @@ def tally(reports: DataFrame) -> DataFrame:
 def exit_code(reports: DataFrame) -> DataFrame:
     """One row: 2 if anything is dangerous, 1 if suspicious, else 0."""
     return reports.agg(F.coalesce(F.max(rank(F.col("verdict"))), F.lit(0)).alias("code"))
+
+
+def written(df: DataFrame) -> DataFrame:
+    """df, computed once: a new table in the folder of spark.checkpoint.dir, or where that is unset a local checkpoint. Its plan is
+    the table's."""
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        return df.localCheckpoint()
+    path = f"{folder}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
